@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing, rules
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+from quern.llm import linededup, mixing, neardup, packing, rules
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
     return rules.apply_policy(rules.measures(docs).withColumn("failed", rules.failed())).where("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their boilerplate lines; n_chars follows the text."""
+    return linededup.deduplicated(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed(docs)
@@ -24,7 +33,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: Hash rounding, minimal hashes and tokens have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 
