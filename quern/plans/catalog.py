@@ -1,6 +1,467 @@
-"""All queries of the library by name, and their SQL."""
+"""All queries of the library by name, and their SQL for DuckDB.
+
+Table queries run on the given tables; literal ones carry the fixed vocabularies in rows
+that both engines get. Every query is evaluated at ``AS_OF``.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import date, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern import config as C
+from quern.functions import rules as R
+from quern.functions import text as T
+from quern.operators import cluster, inbox, news, procure, reports
+from quern.sources import files
+from quern.streaming import inbox as stream
+
+AS_OF = date(1998, 1, 1)
+NOW = datetime(2026, 3, 3, 12)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def quoted(*words: str) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def hits_sql(text: str, words) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({text}, {quoted(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+def any_sql(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted(w)})" for w in words) + ")"
+
+
+# --- reports -------------------------------------------------------------------------
+
+
+def rfqs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as opportunities: the tracker table of the report queries."""
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.select(
+        F.col("o_orderkey").alias("cr_number"), F.concat(F.lit("Order of "), "c_name").alias("title"), F.col("n_name").alias("agency"),
+        F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderdate").cast("date")).alias("due_date"), ((F.col("o_orderkey") * 7919) % 101 / 100).alias("relevance_score"),
+        F.substring("o_orderpriority", 1, 1).isin("1", "2").alias("is_mwbe_sdvob"), F.when(F.col("o_orderstatus") == "O", "new").when(F.col("o_orderstatus") == "F", "processed").otherwise("quoted").alias("status"),
+    )
+
+
+RFQS = """WITH rfqs AS (
+  SELECT o_orderkey AS cr_number, 'Order of ' || c_name AS title, n_name AS agency,
+    CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE END AS due_date, ((o_orderkey * 7919) % 101)::DOUBLE / 100::DOUBLE AS relevance_score,
+    substr(o_orderpriority, 1, 1) IN ('1', '2') AS is_mwbe_sdvob,
+    CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'processed' ELSE 'quoted' END AS status
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+"""
+_D = f"DATE '{AS_OF}'"
+
+
+def _report(name: str, n: int, where: str, tail: str, key: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return reports.report(spark, name, rfqs(spark, d), AS_OF, n)
+
+    run.__name__ = key
+    query(f"{RFQS} SELECT {reports.COLUMNS} FROM rfqs WHERE {where} {tail}")(run)
+
+
+_report("top", 25, f"relevance_score >= 0.80::DOUBLE AND (due_date IS NULL OR due_date >= {_D})", "ORDER BY is_mwbe_sdvob DESC, relevance_score DESC, due_date ASC NULLS FIRST, cr_number LIMIT 25", "rfq_top")
+_report("flagged", 0, f"is_mwbe_sdvob AND (due_date IS NULL OR due_date >= {_D})", "", "rfq_flagged")
+_report("due", 14, f"due_date >= {_D} AND due_date <= {_D} + 14", "", "rfq_due")
+_report("open", 0, f"due_date >= {_D}", "", "rfq_open")
+_report("detail", 100, "cr_number = 100", "", "rfq_detail")
+
+
+@query(f"{RFQS} SELECT status, count(*)::BIGINT AS cnt FROM rfqs GROUP BY status")
+def rfq_summary_status(spark, d):
+    return reports.report(spark, "by_status", rfqs(spark, d), AS_OF)
+
+
+@query(f"{RFQS} SELECT count(*)::BIGINT AS total, count(*) FILTER (is_mwbe_sdvob)::BIGINT AS flagged, count(*) FILTER (due_date BETWEEN {_D} AND {_D} + 14)::BIGINT AS due_soon, count(*) FILTER (relevance_score >= 0.90::DOUBLE)::BIGINT AS relevant FROM rfqs")
+def rfq_summary_kpi(spark, d):
+    return reports.report(spark, "kpi", rfqs(spark, d), AS_OF)
+
+
+_BANDS = "CASE WHEN due_date IS NULL THEN 'unknown' WHEN {0} < 0 THEN 'expired' WHEN {0} <= 3 THEN 'critical' WHEN {0} <= 7 THEN 'urgent' WHEN {0} <= 14 THEN 'normal' ELSE 'low' END".format(f"(due_date - {_D})")
+
+
+@query(f"{RFQS} SELECT cr_number, (due_date - {_D})::INT AS days_until_due, coalesce((due_date - {_D}) <= 7, false) AS is_urgent, cr_number || ' - ' || rtrim(substr(title, 1, 60)) || ' - ' || agency AS folder_name, {_BANDS} AS urgency FROM rfqs")
+def urgency_bands(spark, d):
+    x = procure.derived(rfqs(spark, d), AS_OF)
+    return x.select("cr_number", "days_until_due", "is_urgent", "folder_name", procure.urgency(F.col("days_until_due")).alias("urgency"))
+
+
+@query(f"{RFQS} SELECT cr_number, CASE WHEN due_date IS NULL THEN 'ASAP' ELSE strftime(greatest(due_date - 5, {_D} + 3), '%Y-%m-%d') END AS deadline FROM rfqs")
+def quote_deadline(spark, d):
+    return rfqs(spark, d).select("cr_number", procure.quote_deadline(F.col("due_date"), F.lit(AS_OF)).alias("deadline"))
+
+
+@query(f"{RFQS} SELECT cr_number, status, CASE WHEN status = 'new' THEN 'processed' ELSE status END AS after_process, CASE WHEN status IN ('quoted', 'processed') THEN 'analyzed' ELSE status END AS after_analyze FROM rfqs")
+def status_machine(spark, d):
+    step = lambda a: procure.next_status(F.col("status"), F.lit(a), F.lit(1), F.lit(1))
+    return rfqs(spark, d).select("cr_number", "status", step("process").alias("after_process"), step("analyze").alias("after_analyze"))
+
+
+@query(f"{RFQS} SELECT cr_number, CASE WHEN cr_number % 10 = 0 THEN 'proposed' ELSE status END AS status, CASE WHEN cr_number % 10 = 0 THEN 'changed' ELSE title END AS title FROM rfqs WHERE cr_number % 2 = 0 OR cr_number % 10 = 0 UNION ALL SELECT cr_number, 'proposed', 'changed' FROM rfqs WHERE cr_number % 10 = 5")
+def rfq_upsert(spark, d):
+    all_ = rfqs(spark, d).select("cr_number", "status", "title")
+    batch = all_.where("cr_number % 5 = 0").withColumns({"status": F.lit("proposed"), "title": F.lit("changed")})
+    return procure.upserted(all_.where("cr_number % 2 = 0"), batch)
+
+
+# --- costs and bids ------------------------------------------------------------------
+
+_COST = "SELECT l_orderkey, sum(coalesce(l_extendedprice / l_quantity, 0) * coalesce(nullif(l_quantity, 0), 1)) AS cost FROM lineitem GROUP BY l_orderkey"
+
+
+def _costs(spark, d):
+    item = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_quantity").alias("quantity"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))  # an order's few items
+    return rows.select("l_orderkey", procure.cost(F.col("items")).alias("cost"))
+
+
+@query(f"SELECT l_orderkey, round(cost, 2) AS cost FROM ({_COST})")
+def cost_basis(spark, d):
+    return _costs(spark, d).select("l_orderkey", F.round("cost", 2).alias("cost"))
+
+
+@query(f"SELECT l_orderkey, round(cost * 1.08::DOUBLE, 4) AS low, round(cost * 1.15::DOUBLE, 4) AS mid, round(cost * 1.25::DOUBLE, 4) AS high, 'low' AS confidence FROM ({_COST})")
+def fallback_bid(spark, d):
+    f = procure.fallback(F.col("cost"), 4)
+    return _costs(spark, d).select("l_orderkey", *[f[k].alias(k) for k in ("low", "mid", "high")], f["confidence"].alias("confidence"))
+
+
+def _bid_input(spark, d):
+    p = table(spark, d, "part")
+    asks = p.select(F.col("p_partkey").alias("cr_number"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice")).otherwise(0.0).alias("cost"))
+    deals = p.where("p_size <= 3").select(F.col("p_partkey").alias("deal"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(F.col("p_partkey") % 7 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("revenue"), F.col("p_partkey").alias("ord"))
+    return asks, deals
+
+
+_TOP = f"""WITH t AS (
+  SELECT p_partkey, p_size, p_retailprice, list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '\\b[a-z]{{3,}}\\b')), lambda w: NOT list_contains([{quoted(*C.STOP_WORDS)}], w)) AS w
+  FROM part),
+d AS (SELECT p_partkey AS deal, p_retailprice AS revenue, w FROM t WHERE p_size <= 3 AND p_partkey % 7 <> 0),
+s AS (
+  SELECT t.p_partkey AS cr_number, CASE WHEN t.p_partkey % 3 = 0 THEN t.p_retailprice ELSE 0 END AS cost, d.deal, d.revenue,
+    len(list_intersect(t.w, d.w))::DOUBLE / (len(t.w) + len(d.w) - len(list_intersect(t.w, d.w)))::DOUBLE AS similarity
+  FROM t, d WHERE len(t.w) > 0 AND len(d.w) > 0 AND len(list_intersect(t.w, d.w)) > 0),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY cr_number ORDER BY similarity DESC, deal) AS rank FROM s WHERE similarity > 0.1::DOUBLE QUALIFY rank <= {C.COMPARABLES})
+"""
+
+
+@query(f"{_TOP} SELECT cr_number, deal, revenue, round(similarity, 6) AS similarity, rank::INT AS rank FROM top")
+def comparables(spark, d):
+    return procure.comparables(*_bid_input(spark, d)).select("cr_number", "deal", "revenue", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(
+    f"""{_TOP}, g AS (SELECT cr_number, cost, count(*) AS n, avg(revenue) AS a, min(revenue) AS lo, max(revenue) AS hi, avg(similarity) AS sim FROM top GROUP BY cr_number, cost),
+  p AS (SELECT p_partkey AS cr_number, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice ELSE 0 END AS cost FROM part)
+SELECT p.cr_number, coalesce(n, 0)::BIGINT AS n,
+  round(CASE WHEN n IS NULL THEN p.cost * 1.08::DOUBLE ELSE lo * (1 + 0.15::DOUBLE * 0.5::DOUBLE) END, 7) AS low,
+  round(CASE WHEN n IS NULL THEN p.cost * 1.15::DOUBLE WHEN p.cost > 0 THEN (a * 1.15::DOUBLE + p.cost * 1.15::DOUBLE) / 2 ELSE a * 1.15::DOUBLE END, 7) AS mid,
+  round(CASE WHEN n IS NULL THEN p.cost * 1.25::DOUBLE ELSE hi * (1 + 0.15::DOUBLE * 1.5::DOUBLE) END, 7) AS high,
+  CASE WHEN n >= 5 AND sim > 0.25::DOUBLE THEN 'high' WHEN n >= 3 AND sim > 0.15::DOUBLE THEN 'medium' ELSE 'low' END AS confidence
+FROM p LEFT JOIN g ON p.cr_number = g.cr_number"""
+)
+def bid_range(spark, d):
+    b = procure.bids(*_bid_input(spark, d), digits=7)
+    return b.select("cr_number", F.col("n").cast("bigint").alias("n"), "low", "mid", "high", "confidence")
+
+
+@query()
+def vendor_match(spark, d):
+    """Parts by contacts: a fuzzy join without an SQL form."""
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("text"))
+    s = table(spark, d, "supplier")
+    reps = s.select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("brand#"), (F.col("s_suppkey") % 5 + 1).cast("string"), (F.col("s_nationkey") % 5 + 1).cast("string")).alias("text"), F.concat(F.lit("rep"), (F.col("s_suppkey") % 20).cast("string"), F.lit("@example.com")).alias("rep_email"), F.col("s_name").alias("rep_name"), F.col("s_name").alias("distributor_name"))
+    return procure.quote_requests(procure.matches(items, reps)).select("rep_email", "rep_name", "distributor_name", F.size("items").alias("n_items"), F.size("distributors").alias("n_distributors"))
+
+
+# --- text ----------------------------------------------------------------------------
+
+_VOCABULARY = ("the", "tion", "ment", "eau", "lich", "ing", "que", "ung", "mente", "ado")
+
+
+@query(f"SELECT doc_id, round(least({hits_sql('lower(text)', _VOCABULARY)}::DOUBLE / 1.5::DOUBLE, 1::DOUBLE), 6) AS score, least({hits_sql('lower(text)', _VOCABULARY)}::DOUBLE / 1.5::DOUBLE, 1::DOUBLE) >= 0.9::DOUBLE AS relevant FROM documents")
+def relevance_score(spark, d):
+    s = procure.relevance(F.col("text"), _VOCABULARY)
+    return table(spark, d, "documents").select("doc_id", F.round(s, 6).alias("score"), (s >= C.RELEVANT).alias("relevant"))
+
+
+_PLAIN = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_SPLIT = "string_split(regexp_replace({0}, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_slice({_SPLIT.format('trim(text)')}, 1, 3), ' ') AS sentences, CASE WHEN length({_PLAIN}) > 80 THEN regexp_replace(substr({_PLAIN}, 1, 79), ' [^ ]*$', '') || '…' ELSE {_PLAIN} END AS short FROM documents")
+def first_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.first_sentences(F.col("text"), 3).alias("sentences"), T.truncate(T.clean_text(F.col("text")), 80).alias("short"))
+
+
+@query()
+def mail_summary(spark, d):
+    """A fold over sentences."""
+    return table(spark, d, "documents").select("doc_id", T.summary_of_mail(F.col("text"), F.lit("")).alias("summary"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stripped FROM pages")
+def strip_html(spark, d):
+    return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("stripped"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS cleaned FROM pages")
+def clean_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned"))
+
+
+@query()
+def url_canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+_BARE = "regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')"
+
+
+@query(f"SELECT page_id, {_BARE} AS bare, 'page-' || substr(sha256('page:' || {_BARE}), 1, 12) AS id FROM pages")
+def story_id(spark, d):
+    bare = F.regexp_replace(F.regexp_replace("url", "[#?].*$", ""), "/+$", "")
+    return table(spark, d, "pages").select("page_id", bare.alias("bare"), T.story_id(F.lit("page"), bare).alias("id"))
+
+
+@query(f"SELECT {_BARE} AS bare, count(*)::BIGINT AS n, min(page_id) AS first FROM pages GROUP BY 1 HAVING count(*) > 1")
+def url_dupes(spark, d):
+    bare = F.regexp_replace(F.regexp_replace("url", "[#?].*$", ""), "/+$", "")
+    return table(spark, d, "pages").groupBy(bare.alias("bare")).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+
+
+# --- clusters and ranking --------------------------------------------------------------
+
+
+def stories(spark, d):
+    """Documents as stories: the first line is the title, equal texts share a URL."""
+    src = F.element_at(F.array(*[F.lit(s) for s in C.SOURCE_PRIORITY]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("ord"), src.alias("source"), F.substring(F.split("text", "\n")[0], 1, 200).alias("title"), F.concat(F.lit("https://x.example/"), F.sha2("text", 256)).alias("url"),
+        F.concat(F.lit("https://x.example/"), F.sha2("text", 256)).alias("canonical_url"), (F.lit(NOW) - F.make_dt_interval(hours=(F.col("doc_id") * 13 % 96).cast("int"))).alias("published_at"),
+        F.substring("text", 1, 300).alias("snippet"), F.lit(None).cast("string").alias("content"), F.element_at(F.array(*[F.lit(t) for t in C.SECTION_ORDER]), (F.col("doc_id") % 5 + 1).cast("int")).alias("topic"),
+        F.lit(None).cast("string").alias("subtopic"), R.lookup(src, C.SOURCE_PRIORITY, C.SOURCE_DEFAULT).alias("source_priority"), src.isin(*C.OFFICIAL).alias("is_official_source"),
+    )
+
+
+def _case(key: str, table_: dict) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table_.items()) + " END"
+
+
+_SOURCE = f"[{quoted(*C.SOURCE_PRIORITY)}][(doc_id % 7 + 1)::INT]"
+_CLUSTERS = f"""WITH s AS (
+  SELECT doc_id AS ord, {_SOURCE} AS source, text, {_case(_SOURCE, C.SOURCE_PRIORITY)} AS priority, [{quoted(*C.SECTION_ORDER)}][(doc_id % 5 + 1)::INT] AS topic, (doc_id * 13 % 96)::DOUBLE AS age FROM documents),
+g AS (
+  SELECT min(ord) AS seed, count(DISTINCT source)::INT AS sources, count(*)::BIGINT AS members, first(ord ORDER BY priority DESC, ord) AS ord, array_to_string(list(source ORDER BY ord), ',') AS all_sources FROM s GROUP BY text)
+"""
+
+
+@query(f"{_CLUSTERS} SELECT substr(sha256('cluster:' || seed), 1, 10) AS cluster_id, ord, sources AS cross_source_count, members, all_sources FROM g")
+def exact_clusters(spark, d):
+    c = cluster.summarised(cluster.clustered(stories(spark, d), fuzzy=False))
+    return c.select("cluster_id", "ord", "cross_source_count", "members", F.array_join(F.transform("all_sources", lambda x: x["source"]), ",").alias("all_sources"))
+
+
+@query()
+def fuzzy_clusters(spark, d):
+    """Order-dependent clustering by titles and URLs: an imperative fold."""
+    return cluster.clustered(stories(spark, d)).select("ord", "seed")
+
+
+_SAID = "lower(substr(string_split(text, chr(10))[1], 1, 200) || ' ' || substr(text, 1, 300) || ' ')"
+_BOOST = "least(greatest(" + ", ".join(f"CASE WHEN {any_sql(_SAID, w)} THEN {b}::DOUBLE ELSE 0 END" for _, w, b in C.TEAMS) + ") / 0.15::DOUBLE, 1::DOUBLE)"
+_SCORED = f"""{_CLUSTERS}, r AS (
+  SELECT s.*, g.sources FROM g JOIN s ON s.ord = g.ord),
+x AS (
+  SELECT ord, topic, round(least(
+    (CASE WHEN age <= 0 THEN 1 WHEN age >= 72 THEN 0 ELSE exp(-2::DOUBLE * age / 72) END) * 0.3::DOUBLE + priority * 0.2::DOUBLE + {_case('topic', C.TOPIC_PRIORITY)} * 0.15::DOUBLE
+    + {_BOOST} * 0.1::DOUBLE + (CASE WHEN sources <= 1 THEN 0 WHEN sources = 2 THEN 0.5::DOUBLE ELSE 1 END) * 0.15::DOUBLE + (CASE WHEN source = 'city_of_buffalo' THEN 1 ELSE 0 END) * 0.1::DOUBLE, 1::DOUBLE), 4) AS score
+  FROM r)
+"""
+
+
+def _scored(spark, d):
+    return news.scored(cluster.summarised(cluster.clustered(stories(spark, d), fuzzy=False)), F.lit(NOW))
+
+
+@query(f"{_SCORED} SELECT ord, topic, score FROM x ORDER BY score DESC, ord LIMIT 10")
+def rank_topn(spark, d):
+    return news.top(_scored(spark, d), 10).select("ord", "topic", "score")
+
+
+@query(f"{_SCORED} SELECT ord, topic, list_position([{quoted(*C.SECTION_ORDER)}], topic)::INT AS section, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ord)::INT AS rank FROM x QUALIFY rank <= 5")
+def grouped_sections(spark, d):
+    return news.sections(_scored(spark, d)).where("rank <= 5").select("ord", "topic", "section", "rank")
+
+
+@query()
+def news_digest(spark, d):
+    """The digest's text, assembled from the ten best stories."""
+    return news.digest(news.top(_scored(spark, d), 10), NOW)
+
+
+# --- mail ----------------------------------------------------------------------------
+
+_MAIL_WORDS = {"sales": ("tion ", "eau "), "newsletter": ("lich",), "response": ("the ", "ing ", "ent", "ado"), "urgent": ("whst",)}
+
+
+def mails(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"), F.substring("text", 1, 40).alias("subject"),
+        F.col("role").alias("sender"), F.when(F.col("role") == "system", "no-reply@mailchimp.com").when(F.col("conv_id") % 5 == 0, F.concat(F.lit("news@"), F.lit("substack.com"))).otherwise(F.concat("role", F.lit("@example.com"))).alias("sender_email"),
+        F.lit("me@example.com").alias("to"), F.lit(None).cast("timestamp").alias("date"), F.substring("text", 1, 60).alias("snippet"), F.substring("text", 1, 5000).alias("body_plain"),
+        F.when(F.col("conv_id") % 7 == 0, F.create_map(F.lit("list-unsubscribe"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")).alias("headers"), (F.col("turn") > 0).alias("is_reply"),
+    )
+
+
+_MAIL = f"""WITH m AS (
+  SELECT conv_id * 100 + turn AS ord, role, conv_id, turn, lower(substr(text, 1, 40) || ' ' || substr(text, 1, 2000) || ' ' || substr(text, 1, 60)) AS t, lower(substr(text, 1, 40) || ' ' || substr(text, 1, 1000)) AS u, length(substr(text, 1, 5000)) AS n FROM conversations),
+k AS (
+  SELECT *, {hits_sql('t', _MAIL_WORDS['sales'])} AS sales, {hits_sql('t', _MAIL_WORDS['newsletter'])} AS news, {hits_sql('t', _MAIL_WORDS['response'])} AS resp FROM m),
+s AS (
+  SELECT *, (CASE WHEN role = 'system' OR conv_id % 5 = 0 THEN -0.6::DOUBLE ELSE 0::DOUBLE END) + (CASE WHEN role = 'system' THEN -0.4::DOUBLE ELSE 0::DOUBLE END) + (CASE WHEN conv_id % 7 = 0 THEN -0.5::DOUBLE ELSE 0::DOUBLE END)
+    + least(sales, 4) * -0.15::DOUBLE + (CASE WHEN news > 0 THEN -0.3::DOUBLE ELSE 0::DOUBLE END) + least(resp, 5) * 0.1::DOUBLE + (CASE WHEN turn > 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END)
+    + (CASE WHEN n > 0 AND n < 2000 THEN 0.1::DOUBLE ELSE 0::DOUBLE END) + 0.15::DOUBLE AS score FROM k),
+c AS (
+  SELECT *, CASE WHEN score >= 0 THEN 'needs_response' WHEN news > 0 AND sales = 0 THEN 'newsletter' WHEN sales > 0 THEN 'sales' WHEN role = 'system' OR conv_id % 5 = 0 THEN 'automated' ELSE 'informational' END AS category,
+    CASE WHEN contains(u, 'whst') THEN 'HIGH' WHEN score >= 0.4::DOUBLE THEN 'HIGH' WHEN score >= 0.1::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM s)
+"""
+
+
+def _classified(spark, d):
+    return inbox.classified(mails(spark, d), "me@example.com", _MAIL_WORDS)
+
+
+@query(f"{_MAIL} SELECT ord, round(score, 6) AS score, category FROM c")
+def mail_classify(spark, d):
+    return _classified(spark, d).select("ord", F.round("score", 6).alias("score"), "category")
+
+
+@query(f"{_MAIL} SELECT ord, priority, CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS rank FROM c")
+def mail_priority(spark, d):
+    return _classified(spark, d).select("ord", "priority", inbox.priority_rank(F.col("priority")).alias("rank"))
+
+
+@query(f"{_MAIL} SELECT count(*) FILTER (category = 'needs_response')::BIGINT AS needs_response, count(*) FILTER (category <> 'needs_response')::BIGINT AS skipped, count(*) FILTER (category = 'sales')::BIGINT AS sales, count(*) FILTER (category = 'newsletter')::BIGINT AS newsletter, count(*) FILTER (category = 'automated')::BIGINT AS automated FROM c")
+def digest_counts(spark, d):
+    return inbox.counts(_classified(spark, d))
+
+
+_EVENTS_NOW = datetime(2024, 1, 20)
+
+
+@query("SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.ts < TIMESTAMP '2024-01-10' AND p.event_id % 3 = 0 AND p.event_id = e.event_id) AND event_id % 11 <> 0")
+def state_antijoin(spark, d):
+    e = table(spark, d, "events").withColumn("msg_id", F.col("event_id"))
+    return inbox.unseen(e, e.where("ts < TIMESTAMP '2024-01-10' AND event_id % 3 = 0"), e.where("event_id % 11 = 0")).select("event_id")
+
+
+@query("WITH p AS (SELECT user_id::VARCHAR AS msg_id, max(ts) AS processed_at FROM events GROUP BY 1) SELECT msg_id, processed_at FROM p WHERE processed_at > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
+def state_prune(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("msg_id")).agg(F.max("ts").alias("processed_at"))
+    return inbox.pruned(e, _EVENTS_NOW)
+
+
+@query()
+def stream_dedupe(spark, d):
+    """Events as a stream: one row per user and day window, by state under a watermark."""
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return stream.drained(stream.deduplicated(rows.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts"), "quern_stream_dedupe").select("user_id", "ts")
+
+
+# --- literals ------------------------------------------------------------------------
+
+_TYPES = ("MWBE and SDVOB Discretionary", "SDVOB Set-Aside", "SDVOB Discretionary", "MWBE Discretionary", "Discretionary", "Continuous Recruitment", "General", "", "Contractor Ads", "Requests for Information")
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else quoted(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+
+
+_PT = "CASE WHEN contains(x, 'mwbe') AND contains(x, 'sdvob') AND contains(x, 'discretionary') THEN 'mwbe_sdvob_discretionary' WHEN contains(x, 'sdvob') AND contains(x, 'set') AND contains(x, 'aside') THEN 'sdvob_set_aside' WHEN contains(x, 'sdvob') AND contains(x, 'discretionary') THEN 'sdvob_discretionary' WHEN contains(x, 'mwbe') AND contains(x, 'discretionary') THEN 'mwbe_discretionary' WHEN contains(x, 'discretionary') THEN 'discretionary' WHEN contains(x, 'continuous') THEN 'continuous' ELSE 'general' END"
+
+
+@query(f"SELECT ad_type, {_PT} AS procurement_type, {_PT} IN ('mwbe_sdvob_discretionary', 'sdvob_set_aside', 'sdvob_discretionary', 'mwbe_discretionary') AS flagged, NOT {any_sql('x', C.EXCLUDED_TYPES)} AS competitive FROM (SELECT ad_type, lower(ad_type) AS x FROM {_values([(t,) for t in _TYPES])} t(ad_type))")
+def proc_type(spark, d):
+    rows = spark.sql(f"SELECT * FROM {_values([(t,) for t in _TYPES])} t(ad_type)")
+    k = procure.procurement_type(F.col("ad_type"))
+    return rows.select("ad_type", k["procurement_type"].alias("procurement_type"), k["flagged"].alias("flagged"), procure.competitive(F.col("ad_type")).alias("competitive"))
+
+
+_NUMBERS = ("$1,234.50", "-5", "1.2.3", "", "n/a", "7 ea")
+
+
+@query(f"SELECT x, try_cast(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE) AS value FROM {_values([(v,) for v in _NUMBERS])} t(x)")
+def safe_float(spark, d):
+    return spark.sql(f"SELECT * FROM {_values([(v,) for v in _NUMBERS])} t(x)").select("x", T.safe_float(F.col("x")).alias("value"))
+
+
+_DATES = ("3/4/2026", "03/04/26", "March 4, 2026", "2026-03-04", "")
+
+
+@query(f"SELECT x, coalesce(CASE WHEN regexp_matches(x, '/[0-9]{{4}}$') THEN try_strptime(x, '%m/%d/%Y') END, CASE WHEN regexp_matches(x, '/[0-9]{{2}}$') THEN try_strptime(x, '%m/%d/%y') END, try_strptime(x, '%B %d, %Y'))::DATE AS value FROM {_values([(v,) for v in _DATES])} t(x)")
+def date_parse(spark, d):
+    return spark.sql(f"SELECT * FROM {_values([(v,) for v in _DATES])} t(x)").select("x", T.parse_date(F.col("x")).alias("value"))
+
+
+_GOALS = ("<strong>MBE Goal:</strong> 15.5%", "<strong>MBE Goal:</strong> 3% <strong>MBE Goal:</strong> 4 %", "none", "<strong>WBE Goal:</strong> 9%")
+
+
+@query(f"SELECT x, try_cast(list_extract(regexp_extract_all(x, '(?is)<strong>[^<]*mbe\\s*goal[^<]*</strong>\\s*(?:<[^>]*>)?\\s*([0-9.]+)\\s*%', 1), -1) AS DOUBLE) AS mbe FROM {_values([(v,) for v in _GOALS])} t(x)")
+def goal_extract(spark, d):
+    return spark.sql(f"SELECT * FROM {_values([(v,) for v in _GOALS])} t(x)").select("x", T.goal(F.col("x"), "mbe").alias("mbe"))
+
+
+_SHEET = (("a", 0, "Quote 7", "", ""), ("a", 1, "Item Description", "Qty", "Unit Price"), ("a", 2, "Licenses", "3", "$10.50"), ("a", 3, "", "1", "2"), ("b", 0, "only one: price", "", ""), ("b", 1, "x", "1", "2"))
+
+
+@query(f"SELECT file, row_idx, c0 AS description, c0 AS part_number, try_cast(regexp_replace(c1, '[^0-9.]', '', 'g') AS DOUBLE) AS quantity, try_cast(regexp_replace(c2, '[^0-9.]', '', 'g') AS DOUBLE) AS unit_price FROM {_values(_SHEET)} t(file, row_idx, c0, c1, c2) WHERE file = 'a' AND row_idx > 1 AND c0 <> ''")
+def header_map(spark, d):
+    rows = spark.sql(f"SELECT file, row_idx, array(c0, c1, c2) AS cells FROM {_values(_SHEET)} t(file, row_idx, c0, c1, c2)")
+    return files.line_items(rows).select("file", "row_idx", "description", "part_number", "quantity", "unit_price")
+
+
+_STORIES = (
+    ("Buffalo Bills win again", "", None, "wgrz"), ("Lake effect snow tonight", "", None, "wivb"), ("Crash causes detour", "", None, "wkbw"), ("Mayor speaks", "", None, "wgrz"),
+    ("Notice", "", None, "city_of_buffalo"), ("Lecture", "", None, "ub"), ("Plain story", "", "Sports", "wgrz"), ("Plain story", "", None, "wgrz"),
+)
+_TOPIC = " ".join(f"WHEN {any_sql('x', w)} THEN 'sports'" for _, w, _ in C.TEAMS) + f" WHEN contains(lower(coalesce(section, '')), 'sport') THEN 'sports' WHEN {any_sql('x', C.WEATHER)} THEN 'weather' WHEN {any_sql('x', C.TRAFFIC)} THEN 'traffic' WHEN {any_sql('x', C.CIVIC)} OR source = 'city_of_buffalo' THEN 'civic' WHEN source = 'ub' THEN 'education'"
+
+
+@query(f"SELECT title, section, source, CASE {_TOPIC} ELSE 'news' END AS topic FROM (SELECT *, lower(title || ' ' || snippet || ' ') AS x FROM {_values(_STORIES)} t(title, snippet, section, source))")
+def topic_cascade(spark, d):
+    rows = spark.sql(f"SELECT * FROM {_values(_STORIES)} t(title, snippet, section, source)")
+    t = news.topics(F.col("title"), F.col("snippet"), F.array().cast("array<string>"), F.col("section"), F.col("source"))
+    return rows.select("title", "section", "source", t["topic"].alias("topic"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR")
+def window_filter(spark, d):
+    return table(spark, d, "events").where(news.in_window(F.col("ts"), F.lit(_EVENTS_NOW), 24)).select("event_id")
