@@ -9,9 +9,11 @@ are found by equality alone. ``shape`` chooses the number of chunks so that a pa
 the similarity itself is within the distance but for one in a million.
 
 Links are confirmed on full shingle sets. Equal sets are one class from the start.
-Inside a key nothing is paired all with all: members are first compared with one of
-them, and what that links is one component; only members of different components
-are compared further, in blocks, by their signatures, before any pair is emitted.
+Links are confirmed on full sets, and pairs are never emitted for it. First a key's
+members are compared with its hub, the member that shares most keys with others; what
+a hub links is one component. Only members of different components of keys that still
+have several are compared further: hub by hub, in blocks of bounded size, by products
+of the blocks' membership matrices, of which a task returns a spanning forest.
 """
 
 from __future__ import annotations
@@ -30,10 +32,8 @@ from ._spark import durable, shuffle_partitions, small
 
 #: Slots in a chunk, of which one may differ.
 CHUNK = 4
-#: Members of a key that are compared in one go; a larger key is split into pairs of blocks.
-BLOCK = 2000
-#: Rounds in which a key's members are compared with one of them.
-STARS = 2
+#: Members of a block; a task compares two blocks. Their sets are multiplied in slices of COLUMNS.
+BLOCK, COLUMNS = 128, 4096
 
 
 def shape(similarity: float, miss: float = 1e-6) -> int:
@@ -173,52 +173,87 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return durable(moved.unionByName(new))
 
 
-def _across(members: DataFrame, limit: int, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of different components within the distance that share a key.
+def _forest(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, same: bool, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links across components among the rows (of two blocks, unless ``same``), without cycles."""
+    sizes = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    fresh = np.concatenate([[True], flat[1:] != flat[:-1]])
+    col = np.cumsum(fresh) - 1
+    shared = np.bincount(col) > 1  # what one row alone has is in no intersection
+    col, row = (np.cumsum(shared) - 1)[col[shared[col]]], row[shared[col]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(col, (at, at + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[i:j], col[i:j] - at] = 1
+        both += m @ m.T
+    ok = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+    ok &= comp[:, None] != comp[None]
+    if not same:
+        ok &= own[:, None] != own[None]
+    x, y = np.nonzero(np.triu(ok, 1))
+    top: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    out = []
+    for p, q in zip(x.tolist(), y.tolist()):
+        c, d = find(int(comp[p])), find(int(comp[q]))
+        if c != d:
+            top[max(c, d)] = min(c, d)
+            out.append((int(ids[p]), int(ids[q])))
+    return out
+
+
+def _across(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) between members of one hub that are in different components.
 
-    members: (key, id, comp, n, sig, total). A key of more than BLOCK members is dealt
-    out as pairs of blocks, so a task never holds more than two blocks of it.
+    rows: (hub, id, comp, inner), inner if the hub's own component. Blocks of inner
+    members are compared with blocks of others, never with each other.
     """
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "sig")
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, comp, n, own, i, j = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "own", "i", "j"))
-        sig = A.utf8(rows.column("sig"))[0].view(np.uint16).reshape(len(ids), -1)
-        a, b = [], []
-        same = i[0] == j[0]
-        for k in range(len(ids) - 1):
-            rest = slice(k + 1, None)
-            ok = (comp[rest] != comp[k]) & (100 * n[rest] >= percent * n[k]) & (100 * n[k] >= percent * n[rest])
-            if not same:
-                ok &= own[rest] != own[k]
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                at = at[(sig[at] != sig[k]).sum(axis=1) <= limit]
-                a.append(np.minimum(ids[at], ids[k]))
-                b.append(np.maximum(ids[at], ids[k]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cat(a)), pa.array(cat(b))], names=["a", "b"])
+    n = rows.groupBy("hub").agg(F.count_if("inner").alias("n_in"), F.count_if(~F.col("inner")).alias("n_out")).where("n_out > 0")
+    blocks_in, blocks_out = F.ceil(F.col("n_in") / BLOCK).cast("int"), F.ceil(F.col("n_out") / BLOCK).cast("int")
+    spread = lambda k: F.pmod(F.xxhash64("hub", "id"), k).cast("int")
+    none = F.array().cast("array<int>")
+    upto = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(none)
+    zero = F.lit(0)
+    placed = rows.join(n, "hub").withColumns(
+        {
+            "own": F.when(F.col("inner"), blocks_out + spread(F.greatest(F.lit(1), blocks_in))).otherwise(spread(blocks_out)),
+            "others": F.when(F.col("inner"), upto(zero, blocks_out)).otherwise(upto(zero, blocks_out + blocks_in)),
+        }
+    )
+    wide = placed.select("hub", "id", "comp", "own", "others").join(sets, "id")
+    dealt = wide.withColumn("other", F.explode("others")).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "set")
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, comp, own, i, j = (rows.column(c).to_numpy() for c in ("id", "comp", "own", "i", "j"))
+        if len(ids) > 1 and comp.min() != comp.max():
+            found = _forest(ids, comp, own, i[0] == j[0], [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")], percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            key, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+            key = [held.column(c).to_numpy() for c in ("hub", "i", "j")]
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
             for s, e in zip(cuts, cuts[1:]):
-                if e - s > 1:
-                    yield compare(held.slice(s, e - s))
+                yield from compare(held.slice(s, e - s))
             held = held.slice(cuts[-1])
-        if held is not None and held.num_rows > 1:
-            yield compare(held)
+        if held is not None:
+            yield from compare(held)
 
-    grouped = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    grouped = dealt.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -255,37 +290,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     sets = durable(whole.join(small(involved), "id", "left_semi").mapInArrow(sets_of, "id long, set binary"))
 
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    for r in range(STARS + 1):
-        now = members
-        if labels is not None:
-            now = now.join(labels, "id", "left").select("key", "id", "total", F.coalesce("comp", "id").alias("comp"))
-        else:
-            now = now.withColumn("comp", F.col("id"))
-        # Keys whose members are still of several components, with one member to compare all with.
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), (F.min if r % 2 == 0 else F.max)("id").alias("hub")).where("low <> high").select("key", "hub")
-        now = durable(now.join(durable(open_keys), "key"))
-        if now.isEmpty():
-            break
-        if r < STARS:
-            hubs = now.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-            pairs = _near(hubs, classes, limit, percent)
-        else:
-            more = now.drop("hub").join(classes.select("id", "n", "sig"), "id")
-            pairs = _across(more, limit, percent, parts)
-        ordered = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        if tested is not None:
-            ordered = ordered.join(tested, ["lo", "hi"], "left_anti")
-        ordered = durable(ordered)
-        new = durable(_linked(ordered.select("a", "b"), sets, percent))
-        labels = _merged(labels, new) if labels is not None or not new.isEmpty() else None
-        seen = ordered.select("lo", "hi")
-        tested = seen if tested is None else tested.unionByName(seen)
+    # A key's hub is the member that shares most keys with most others: the text that
+    # near copies were made from, if it is there.
+    weight = members.groupBy("id").agg(F.sum("total").alias("w"))
+    hubs = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub"))
+    members = durable(members.join(hubs, "key").select("key", "id", "hub"))
+    star = _near(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, limit, percent)
+    labels = _merged(None, durable(_linked(star, sets, percent)))
+
+    of = labels.select(F.col("id").alias("_i"), F.col("comp").alias("_c"))
+    now = members.join(of, F.col("id") == F.col("_i"), "left").select("key", "id", "hub", F.coalesce("_c", "id").alias("comp"))
+    several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    left = now.join(several, "key", "left_semi").select("hub", "id", "comp").distinct()
+    left = left.join(of, F.col("hub") == F.col("_i"), "left").select("hub", "id", "comp", (F.col("comp") == F.coalesce("_c", "hub")).alias("inner"))
+    labels = _merged(labels, durable(_across(durable(left), sets, percent, parts)))
 
     # From classes to documents: every document of a set has its class's component.
     top = classes.select("h1", "h2", "id")
-    top = top.join(labels, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("component_id")) if labels is not None else top.withColumnRenamed("id", "component_id")
+    top = top.join(labels, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("component_id"))
     out = found.join(top, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
