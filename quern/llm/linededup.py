@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import SPACE_RUN, durable, small
+from ._spark import SPACE_RUN, SPACES, durable, small
 
 #: Leading tokens that a template always has; tokens below which a line has none; tokens
 #: from which a quarter may be open.
@@ -34,7 +34,7 @@ VARIABLE = "(?<!\\S)[^\\s\\d]*+\\d\\S*"
 _PARTS = ", ".join(f"xxhash64(leaf, {q}, slice(t, 1, size(t) * {q} div 4), slice(t, size(t) * {q + 1} div 4 + 1, size(t)))" for q in range(4))
 #: From masked lines: (words, templates) of each.
 _TEMPLATES = f"""
-transform(_masked, line -> transform(array(filter(split(line, '{SPACE_RUN}'), x -> x <> '')), t -> named_struct(
+transform(_masked, line -> transform(array(CASE WHEN btrim(line, '{SPACES}') = '' THEN array() ELSE split(btrim(line, '{SPACES}'), '{SPACE_RUN}') END), t -> named_struct(
   'words', size(t),
   'keys', CASE WHEN size(t) < {LEAST} THEN array() ELSE
     transform(array(xxhash64(size(t), slice(t, 1, {DEPTH}))), leaf ->
@@ -48,10 +48,18 @@ def _lined(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_masked", masked).withColumn("_info", F.expr(_TEMPLATES)).drop("_masked")
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """(_row, keys): the distinct templates of each row."""
+    return _lined(docs.select("doc_id", "text")).select("_row", F.array_distinct(F.flatten("_info.keys")).alias("keys"))
+
+
 def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """(key, documents): the templates found in so many rows of ``docs`` at least."""
-    keys = _lined(docs.select("doc_id", "text")).select(F.explode(F.array_distinct(F.flatten("_info.keys"))).alias("key"))
-    return keys.groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= documents)
+    return _counted(_by_row(docs), documents)
+
+
+def _counted(by_row: DataFrame, documents: int) -> DataFrame:
+    return by_row.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= documents)
 
 
 def deduplicated(docs: DataFrame, documents: int = DOCUMENTS, copy: float = COPY) -> DataFrame:
@@ -63,9 +71,9 @@ def deduplicated(docs: DataFrame, documents: int = DOCUMENTS, copy: float = COPY
     there, is the new text's length.
     """
     lines = _lined(docs)
-    bad = small(durable(recurring(docs, documents).select("key")))
-    narrow = _lined(docs.select("doc_id", "text")).select("_row", F.explode(F.array_distinct(F.flatten("_info.keys"))).alias("key"))
-    of_row = narrow.join(bad, "key").groupBy("_row").agg(F.collect_set("key").alias("_bad"))
+    by_row = durable(_by_row(docs))
+    bad = small(durable(_counted(by_row, documents).select("key")))
+    of_row = by_row.select("_row", F.explode("keys").alias("key")).join(bad, "key").groupBy("_row").agg(F.collect_set("key").alias("_bad"))
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     joined = lines.join(of_row, "_row", "left").withColumn(
         "_all",
