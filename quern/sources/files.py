@@ -104,10 +104,10 @@ def _scan(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[dic
             for file, content in zip(pdf["path"], pdf["content"]):
                 try:
                     found = parse(file, bytes(content))
-                    rows += [{"file": file, "item_ord": i, "error": None} | r for i, r in enumerate(found)]
+                    rows += [dict.fromkeys(names) | {"file": file, "item_ord": i, "error": None} | r for i, r in enumerate(found)]
                 except Exception as e:  # noqa: BLE001  a broken file is recorded, as a source that fails is
-                    rows.append({"file": file, "item_ord": -1, "error": f"{type(e).__name__}: {e}"[:200]})
-            yield pd.DataFrame(rows, columns=["file", "item_ord", "error", *names])
+                    rows.append(dict.fromkeys(names) | {"file": file, "item_ord": -1, "error": f"{type(e).__name__}: {e}"[:200]})
+            yield pd.DataFrame(rows, columns=["file", "item_ord", "error", *names], dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, f"file string, item_ord long, error string, {schema}")
