@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import linededup, mixing, neardup, packing, rules
 
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
     return rules.apply_policy(rules.measures(docs).withColumn("failed", rules.failed())).where("kept").select(*docs.columns)
@@ -18,9 +19,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    Rows that are equal in every column are one, too.
+    """
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.distinct() if repeated else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
