@@ -69,19 +69,17 @@ def multipliers(histogram: DataFrame, goals: DataFrame) -> DataFrame:
             F.lit(0.0).alias("lam"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"), F.lit(float("inf")).alias("gap"),
         ).coalesce(1)
     )
-    hist = histogram.where("size > 0")
-    per_source = small(state) is not state
-    hint = F.broadcast if per_source else (lambda df: df)
+    keys = ["source", "source_size", "target", "mean", "full", "lam", "lo", "hi"]
+    hist = histogram.withColumnRenamed("source", "_s")
+    hint = F.broadcast if small(state) is not state else (lambda df: df)
     for _ in range(STEPS):
-        now = hint(state).withColumnRenamed("source", "_s")
         rate = _tilt(F.col("lam"), F.col("size"), F.col("mean"))
+        got = F.col("n") * F.col("size") * rate
+        # A source's state is part of its group, so a step is one join and one aggregation.
         sums = (
-            hist.join(now, F.col("source").eqNullSafe(F.col("_s")))
-            .groupBy("_s")
-            .agg(
-                F.sum(F.col("n") * F.col("size") * rate).alias("got"),
-                F.sum(F.when(rate < MOST, F.col("n") * F.col("size") * rate * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
-            )
+            hist.join(hint(state.drop("gap")), F.col("source").eqNullSafe(F.col("_s")))
+            .groupBy(*keys)
+            .agg(F.sum(got).alias("got"), F.sum(F.when(rate < MOST, got * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
         )
         over = F.col("got") - F.col("target")
         lo, hi = F.when(over < 0, F.col("lam")).otherwise(F.col("lo")), F.when(over > 0, F.col("lam")).otherwise(F.col("hi"))
@@ -90,16 +88,14 @@ def multipliers(histogram: DataFrame, goals: DataFrame) -> DataFrame:
         newton = F.col("lam") + F.greatest(-reach, F.least(reach, step))
         inside = (newton > lo) & (newton < hi)
         state = durable(
-            state.join(hint(sums), F.col("source").eqNullSafe(F.col("_s")), "left")
-            .select(
+            sums.select(
                 "source", "source_size", "target", "mean", "full",
-                F.when(F.col("got").isNull() | (F.abs(over) <= OPEN * F.col("target")), F.col("lam")).otherwise(F.when(inside, newton).otherwise((lo + hi) / 2)).alias("lam"),
-                F.coalesce(lo, F.col("lo")).alias("lo"), F.coalesce(hi, F.col("hi")).alias("hi"),
-                F.when(F.col("full") | F.col("got").isNull(), F.lit(0.0)).otherwise(F.abs(over) / F.greatest(F.lit(1.0), F.col("target"))).alias("gap"),
-            )
-            .coalesce(1)
+                F.when(F.abs(over) <= OPEN * F.col("target"), F.col("lam")).otherwise(F.when(inside, newton).otherwise((lo + hi) / 2)).alias("lam"),
+                lo.alias("lo"), hi.alias("hi"),
+                F.when(F.col("full"), F.lit(0.0)).otherwise(F.abs(over) / F.greatest(F.lit(1.0), F.col("target"))).alias("gap"),
+            ).coalesce(1)
         )
-        if not (state.agg(F.max("gap")).head()[0] or 0) > OPEN:
+        if state.where(F.col("gap") > OPEN).isEmpty():
             break
     return state.select("source", "source_size", "target", "mean", "full", "lam")
 
