@@ -7,9 +7,12 @@ one of its quarters left open, so that lines that differ in one field share a te
 wherever the field is. A template is a 64-bit hash. Templates that recur in several
 documents are boilerplate, and their lines are dropped from every document.
 
-A document most of whose words lie in recurring lines is a copy of others rather than
-a carrier of boilerplate: it is left whole, for near-duplicate detection to judge.
-Otherwise groups of copies would lose all their members' lines.
+A document most of whose words lie in recurring lines may be a copy of others rather
+than a carrier of boilerplate. It is one if a class of copies is found for it: equal
+texts, or documents that share lines of most words of the two together. A copy keeps the
+lines whose recurrence its class explains, for near-duplicate detection to judge: its
+class has most of a template's rows, or too few other bodies have it, a class being one
+body. It loses the others. Otherwise groups of copies would lose all their members' lines.
 
 DataFrame functions only. Templates are counted once per document and pre-aggregated,
 so a line that a third of all documents share sends one row from each task.
@@ -21,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import SPACE_RUN, SPACES, durable, small
+from .neardup import components
 
 #: Leading tokens that a template always has; tokens below which a line has none; tokens
 #: from which a quarter may be open.
 DEPTH, LEAST, OPEN = 2, 3, 8
 #: Documents from which a template recurs, and the share of a document's words in
-#: recurring lines above which it is a copy.
+#: recurring lines above which it may be a copy, and of two documents' words in lines
+#: they share above which they are copies.
 DOCUMENTS, COPY = 3, 0.6
 #: From a token's start; the possessive run keeps long tokens linear.
 VARIABLE = "(?<!\\S)[^\\s\\d]*+\\d\\S*"
@@ -49,8 +54,10 @@ def _lined(docs: DataFrame) -> DataFrame:
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
-    """(_row, keys): the distinct templates of each row."""
-    return _lined(docs.select("doc_id", "text")).select("_row", F.array_distinct(F.flatten("_info.keys")).alias("keys"))
+    """(_row, _body, words, keyed, lines): the templates of each row's lines, its words, and those in lines with a template."""
+    sized = lambda only: F.aggregate(F.filter("_info", only), F.lit(0), lambda a, x: a + x["words"])
+    lines = F.filter(F.transform("_info", lambda x, i: F.struct(i.alias("i"), x["words"].alias("words"), x["keys"].alias("keys"))), lambda x: F.size(x["keys"]) > 0)
+    return _lined(docs.select("doc_id", "text")).select("_row", F.xxhash64("text").alias("_body"), sized(lambda x: F.lit(True)).alias("words"), sized(lambda x: F.size(x["keys"]) > 0).alias("keyed"), lines.alias("lines"))
 
 
 def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
@@ -59,7 +66,48 @@ def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
 
 
 def _counted(by_row: DataFrame, documents: int) -> DataFrame:
-    return by_row.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= documents)
+    keys = by_row.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= documents)
+
+
+def _copies(of_row: DataFrame, counts: DataFrame, documents: int, copy: float) -> DataFrame:
+    """(_row, _worst): the rows that are copies, and their templates that recur outside their class.
+
+    A template that mostly rows carry that can't be copies needs no classes, if they are
+    enough. For the others, a template's carriers are compared with the longest and the
+    shortest of them, and equal texts are one class from the start: pairs are linear in
+    the rows.
+    """
+    able = durable(of_row.where(F.col("bad_words") > copy * F.col("words")))
+    if able.isEmpty():
+        return able.select("_row", F.array().cast("array<bigint>").alias("_worst"))
+    held = durable(able.select("_row", "_body", "rows", "keyed", F.inline("found")))
+    carried = held.select("key", "_row", "rows", "keyed").distinct()
+    inside = carried.groupBy("key").agg(F.sum("rows").alias("able"), F.max_by("_row", F.struct("keyed", "_row")).alias("long"), F.min_by("_row", F.struct("keyed", "_row")).alias("short"))
+    keys = durable(inside.join(counts, "key").select("key", "long", "short", "documents", (F.col("documents") - F.col("able")).alias("others")))
+
+    near = carried.join(keys.where((F.col("others") < documents) | (2 * F.col("others") < F.col("documents"))), "key").select(F.explode(F.array("long", "short")).alias("a"), F.col("_row").alias("b")).where("a <> b").distinct()
+    # A line that a document repeats is one row here, or pairs of documents would multiply.
+    places = durable(held.groupBy("_row", "keyed", "key").agg(F.collect_set(F.struct("i", F.col("words").alias("w"))).alias("at")))
+    of = lambda x: places.select(F.col("_row").alias(x), F.col("keyed").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), "key")
+    both = near.join(of("a"), "a").join(of("b"), ["b", "key"])
+    words = lambda c: F.aggregate(F.array_distinct(F.flatten(F.collect_list(c))), F.lit(0), lambda a, x: a + x["w"])
+    shared = both.groupBy("a", "b", "na", "nb").agg(words("at_a").alias("sa"), words("at_b").alias("sb"))
+    same = F.least("sa", "sb")
+    links = shared.where(same > copy * (F.col("na") + F.col("nb") - same)).select("a", "b")
+    first = able.groupBy("_body").agg(F.min("_row").alias("a"))
+    equal = able.join(first, "_body").where("_row <> a").select("a", F.col("_row").alias("b"))
+    labels = components(links.unionByName(equal)).select(F.col("id").alias("_row"), "comp")
+
+    classed = durable(able.select("_row", "rows").join(labels, "_row", "left").select("_row", "rows", F.coalesce("comp", "_row").alias("comp")))
+    several = classed.groupBy("comp").agg(F.sum("rows").alias("n")).where("n > 1").select("comp")
+    own = durable(carried.select("key", "_row").join(classed, "_row").groupBy("key", "comp").agg(F.sum("rows").alias("own")))
+    bodies = own.groupBy("key").agg(F.count("*").alias("classes")).join(keys, "key")
+    # A copy's own class is one of the classes.
+    outside = (2 * F.col("own") <= F.col("documents")) & (F.col("others") + F.col("classes") - 1 >= documents)
+    worst = own.join(bodies, "key").where(outside).select("key", "comp", F.lit(True).alias("worse"))
+    mine = classed.join(several, "comp", "left_semi").select("_row", "comp").join(carried.select("_row", "key"), "_row").join(worst, ["key", "comp"], "left")
+    return mine.groupBy("_row").agg(F.collect_set(F.when(F.col("worse"), F.col("key"))).alias("_worst"))
 
 
 def deduplicated(docs: DataFrame, documents: int = DOCUMENTS, copy: float = COPY) -> DataFrame:
@@ -72,26 +120,26 @@ def deduplicated(docs: DataFrame, documents: int = DOCUMENTS, copy: float = COPY
     """
     lines = _lined(docs)
     by_row = durable(_by_row(docs))
-    bad = small(durable(_counted(by_row, documents).select("key")))
-    of_row = by_row.select("_row", F.explode("keys").alias("key")).join(bad, "key").groupBy("_row").agg(F.collect_set("key").alias("_bad"))
+    counts = durable(_counted(by_row, documents))
+    held = by_row.select("_row", "_body", "words", "keyed", F.explode("lines").alias("line")).select("_row", "_body", "words", "keyed", F.col("line.i").alias("i"), F.col("line.words").alias("w"), F.explode("line.keys").alias("key"))
+    found = held.join(small(counts.select("key")), "key").groupBy("_row", "_body", "words", "keyed").agg(F.count("*").alias("n"), F.collect_set(F.struct("i", F.col("w").alias("words"), "key")).alias("found"))
+    bad_lines = F.array_distinct(F.transform("found", lambda x: F.struct(x["i"].alias("i"), x["words"].alias("words"))))
+    of_row = durable(found.withColumns({"rows": (F.col("n") / F.size("found")).cast("long"), "bad_words": F.aggregate(bad_lines, F.lit(0), lambda a, x: a + x["words"])}))
+    of_row = of_row.join(_copies(of_row, counts, documents, copy), "_row", "left").select("_row", F.coalesce("_worst", F.array_distinct("found.key")).alias("_bad"), F.col("_worst").isNotNull().alias("_copy"))
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     joined = lines.join(of_row, "_row", "left").withColumn(
         "_all",
         F.zip_with(split, "_info", lambda x, i: F.struct(x.alias("line"), i["words"].alias("words"), F.coalesce(F.arrays_overlap(i["keys"], F.col("_bad")), F.lit(False)).alias("bad"))),
     )
-    words = lambda only: F.aggregate("_all", F.lit(0), lambda a, x: a + F.when(only(x), x["words"]).otherwise(0))
     counted = joined.withColumns(
         {
             "n_lines": F.size(F.filter("_all", lambda x: x["words"] > 0)).cast("long"),
-            "is_copy": F.col("_bad").isNotNull() & (words(lambda x: x["bad"]) > copy * words(lambda x: F.lit(True))),
+            "n_dropped": F.size(F.filter("_all", lambda x: x["bad"])).cast("long"),
+            "is_copy": F.coalesce("_copy", F.lit(False)),
         }
     )
-    drop = F.col("_bad").isNotNull() & ~F.col("is_copy")
-    new = {
-        "n_dropped": F.when(drop, F.size(F.filter("_all", lambda x: x["bad"]))).otherwise(0).cast("long"),
-        "text": F.when(drop, F.array_join(F.transform(F.filter("_all", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).otherwise(F.col("text")),
-    }
-    out = counted.withColumns(new).drop("_row", "_info", "_bad", "_all")
+    new = F.when(F.col("n_dropped") > 0, F.array_join(F.transform(F.filter("_all", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).otherwise(F.col("text"))
+    out = counted.withColumn("text", new).drop("_row", "_info", "_bad", "_copy", "_all")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns, "n_lines", "n_dropped", "is_copy")
