@@ -262,9 +262,9 @@ def stories(spark, d):
     """Documents as stories: the first line is the title, equal texts share a URL."""
     src = F.element_at(F.array(*[F.lit(s) for s in C.SOURCE_PRIORITY]), (F.col("doc_id") % 7 + 1).cast("int"))
     return table(spark, d, "documents").select(
-        F.col("doc_id").alias("ord"), src.alias("source"), F.substring(F.split("text", "\n")[0], 1, 200).alias("title"), F.concat(F.lit("https://x.example/"), F.sha2("text", 256)).alias("url"),
+        F.col("doc_id").alias("ord"), src.alias("source"), F.split("text", "\n")[0].alias("title"), F.concat(F.lit("https://x.example/"), F.sha2("text", 256)).alias("url"),
         F.concat(F.lit("https://x.example/"), F.sha2("text", 256)).alias("canonical_url"), (F.lit(NOW) - F.make_dt_interval(hours=(F.col("doc_id") * 13 % 96).cast("int"))).alias("published_at"),
-        F.substring("text", 1, 300).alias("snippet"), F.lit(None).cast("string").alias("content"), F.element_at(F.array(*[F.lit(t) for t in C.SECTION_ORDER]), (F.col("doc_id") % 5 + 1).cast("int")).alias("topic"),
+        F.col("text").alias("snippet"), F.lit(None).cast("string").alias("content"), F.element_at(F.array(*[F.lit(t) for t in C.SECTION_ORDER]), (F.col("doc_id") % 5 + 1).cast("int")).alias("topic"),
         F.lit(None).cast("string").alias("subtopic"), R.lookup(src, C.SOURCE_PRIORITY, C.SOURCE_DEFAULT).alias("source_priority"), src.isin(*C.OFFICIAL).alias("is_official_source"),
     )
 
@@ -305,8 +305,12 @@ x AS (
 """
 
 
-def _scored(spark, d):
-    return news.scored(cluster.summarised(cluster.clustered(stories(spark, d), fuzzy=False)), F.lit(NOW))
+def _scored(spark, d, whole: bool = False):
+    """Scored clusters; unless ``whole``, of the prefixes that the SQL reads."""
+    s = stories(spark, d)
+    if not whole:
+        s = s.withColumns({"title": F.substring("title", 1, 200), "snippet": F.substring("snippet", 1, 300)})
+    return news.scored(cluster.summarised(cluster.clustered(s, fuzzy=False)), F.lit(NOW))
 
 
 @query(f"{_SCORED} SELECT ord, topic, score FROM x ORDER BY score DESC, ord LIMIT 10")
@@ -322,7 +326,7 @@ def grouped_sections(spark, d):
 @query()
 def news_digest(spark, d):
     """The digest's text, assembled from the ten best stories."""
-    return news.digest(news.top(_scored(spark, d), 10), NOW)
+    return news.digest(news.top(_scored(spark, d, whole=True), 10), NOW)
 
 
 # --- mail ----------------------------------------------------------------------------
