@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +16,13 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. One is set here only if none is, as in tests."""
+    """The cluster's checkpoint folder; where none is named, one beside the warehouse's tables, which all machines share."""
     jsc = spark.sparkContext._jsc.sc()
     found = jsc.getCheckpointDir()
     if found.isDefined():
         return found.get()
-    spark.sparkContext.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return jsc.getCheckpointDir().get()
 
 
@@ -42,10 +41,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``doc``: an operator's own columns beside it can't clash with the input's."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("doc"))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)

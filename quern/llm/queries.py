@@ -43,7 +43,8 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped", "is_copy")
+    out = linededup.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", "doc.text", "n_lines", "n_dropped", "is_copy")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

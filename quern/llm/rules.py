@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import SPACE_RUN, SPACES
+from ._spark import SPACE_RUN, SPACES, nested
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -57,16 +57,18 @@ transform(_split, w -> named_struct('n', size(w), 'chars', length(array_join(w,
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns MEASURES; a null text has no words and no lines.
+    """The input's rows as ``doc``, and MEASURES; a null text has no words and no lines.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a line is a ``\\n``-split part with a word.
-    Windows are compared by 64-bit hash.
+    Windows are compared by 64-bit hash. A very long text is measured whole, in one row.
+    Columns of the input may have any names; repeated rows are measured alike; no rows
+    give no rows.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("doc")[text], F.lit(""))
     bare = F.btrim(t, F.lit(SPACES))
     split = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    counted = docs.withColumn("_split", F.array(split)).withColumns(
+    counted = nested(docs).withColumn("_split", F.array(split)).withColumns(
         {
             "_w": F.expr(_OF_WORDS),
             "_l": F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))[0],
@@ -86,7 +88,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_exclaims": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
         "n_letters": without("\\p{L}+"),
     }
-    return counted.withColumns({k: v.cast("long") for k, v in found.items()}).drop("_w", "_l", "_split")
+    return counted.select("doc", *[v.cast("long").alias(k) for k, v in found.items()])
 
 
 def failed(rules: dict[str, str] = RULES) -> Column:
@@ -98,12 +100,18 @@ def failed(rules: dict[str, str] = RULES) -> Column:
     return out.cast("long")
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """``measures`` and the bits of the rules that each document fails."""
+    return measures(docs).withColumn("failed", failed())
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, measures and ``failed``: what every policy and report works on.
 
-    Null doc_ids and repeated rows are rows like any other; extra columns are left out.
+    Null doc_ids and repeated rows are rows like any other; extra columns are left out;
+    no rows make an empty ledger.
     """
-    return measures(docs.select("doc_id", "text")).drop("text").withColumn("failed", failed())
+    return judged(docs.select("doc_id", "text")).select("doc.doc_id", *MEASURES, "failed")
 
 
 def apply_policy(rows: DataFrame, policy: str | int = DEFAULT) -> DataFrame:
