@@ -26,7 +26,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+    mix = mixing.copies(_table(spark, sf_dir, "documents"))
+    return mix.select("doc.doc_id", "size", "source_size", "target", "taken", "doc.source", "rate", "copies")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
