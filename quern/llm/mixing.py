@@ -30,8 +30,6 @@ MOST = 3
 #: Newton's steps, bisections included, before the failure to converge is an error; the
 #: share of a target that the rates may leave open, which rounding then makes up.
 STEPS, OPEN = 200, 1e-4
-#: Ranges of hashes that a cell's documents are counted in, as a number of bits.
-BITS = 12
 #: Sizes within a factor of 2 ** (1 / OCTAVE) give one candidate for single copies.
 OCTAVE = 64
 
@@ -160,12 +158,15 @@ def _thresholds(slim: DataFrame, cells: DataFrame) -> DataFrame:
     """(_s, _z, most): the largest hash of a cell's documents that get one copy more than the others.
 
     slim: (source, size, h). A cell's documents are counted by ranges of hashes, so that
-    only the range with the threshold in it is sorted.
+    only the range with the threshold in it is sorted; there are as many ranges as rows
+    in a range of the largest cell, and so the square root of its rows in a task.
     """
-    uneven = cells.withColumn("more", F.col("m") % F.col("n")).where("more > 0").select(F.col("source").alias("_s"), F.col("size").alias("_z"), "more")
-    uneven = small(durable(uneven))
+    uneven = cells.withColumn("more", F.col("m") % F.col("n")).where("more > 0").select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "more")
+    uneven = durable(uneven)
+    bits = (uneven.agg(F.max("n")).head()[0] or 1).bit_length() // 2
+    uneven = small(uneven.drop("n"))
     at = lambda df: df.join(uneven, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    rows = at(slim).select("_s", "_z", "more", "h", F.shiftright("h", 63 - BITS).alias("range"))
+    rows = at(slim).select("_s", "_z", "more", "h", F.shiftright("h", 63 - bits).alias("range"))
     counts = rows.groupBy("_s", "_z", "more", "range").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("_s", "_z").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at_range = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("n") < F.col("more")))
