@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import linededup, mixing, neardup, packing, rules
+from quern.llm._spark import durable, nested, small, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
-    return rules.apply_policy(rules.measures(docs).withColumn("failed", rules.failed())).where("kept").select(*docs.columns)
+    return rules.apply_policy(rules.judged(docs)).where("kept").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their boilerplate lines; n_chars follows the text."""
-    return linededup.deduplicated(docs).select(*docs.columns)
+    """Documents without their boilerplate lines; n_chars follows the text.
+
+    Copies keep what makes them copies, which the next stage judges.
+    """
+    return linededup.deduplicated(docs, copy=linededup.COPY).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
-    Rows that are equal in every column are one, too.
+    Rows that are equal in every column are one, too. Rows of one doc_id with different
+    columns stay apart if their doc_id stays.
     """
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.distinct() if repeated else out
+    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = durable(kept.withColumnRenamed("doc_id", "kept_id"))
+    of = lambda ids: nested(docs).join(ids, F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))).select("doc.*")
+    return of(kept.where("n = 1")).unionByName(of(small(durable(kept.where("n > 1")))).distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each one's rows are written and read again."""
-    from quern.llm._spark import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs)
     return docs
-
-
