@@ -21,7 +21,7 @@ OFFICIAL = ("city_of_buffalo",)
 RANK_WEIGHTS = {"recency": 0.30, "source_priority": 0.20, "topic_priority": 0.15, "sports_boost": 0.10, "cross_source_boost": 0.15, "official_source_boost": 0.10}
 TITLE_RATIO, TITLE_HOURS, AGE_HOURS = 75.0, 24, 72
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "ocid", "ncid", "cmpid")
-SECTION_ORDER = ("news", "sports", "weather", "traffic", "civic", "education", "other")
+SECTION_ORDER = ("news", "sports", "civic", "weather", "traffic", "education", "other")
 
 # Fixed values (mail).
 BULK_DOMAINS = (
@@ -51,6 +51,8 @@ MIN_DAYS, RELEVANT, BOOST = 7, 0.9, 0.10
 STATUSES = ("new", "processed", "quoted", "analyzed", "proposed")
 MARGIN, SIMILAR, COMPARABLES = 0.15, 0.1, 10
 MATCH_RATIO = 55
+SUBFOLDERS = ("Source Documents", "Proposal", "Supporting Docs")
+SHOWN_ITEMS = 25
 SHEET_ALIASES = {
     "part_number": ("part", "part no", "part number", "sku", "item no", "item number", "item #", "item"),
     "description": ("description", "desc", "product name", "product", "name", "item description", "line item"),

@@ -24,8 +24,8 @@ def truncate(x: Column, n: int) -> Column:
 
 
 def first_sentences(x: Column, n: int) -> Column:
-    """The first n sentences, joined by one space [S6]."""
-    return F.array_join(F.slice(F.split(F.btrim(x), "(?<=[.!?])\\s+"), 1, n), " ")
+    """The first n sentences, joined by one space [S6]; nothing is stripped, so white space at an end is a part."""
+    return F.array_join(F.slice(F.split(x, "(?U)(?<=[.!?])\\s+"), 1, n), " ")
 
 
 def canonical_url(url: Column) -> Column:
@@ -131,11 +131,41 @@ def first_number(x: Column) -> Column:
 
 
 def goal(html: Column, label: str) -> Column:
-    """The last percentage that follows a bold label [S14]."""
-    found = F.regexp_extract_all(html, F.lit(f"(?is)<strong>[^<]*{label}\\s*goal[^<]*</strong>\\s*(?:<[^>]*>)?\\s*([0-9.]+)\\s*%"), F.lit(1))
+    """Of bold labels that are just ``label goal``, the last one's percentage [S14].
+
+    It is the first percentage anywhere in what follows the label: the text up to the
+    next tag, or, where a tag follows at once, that element with all it holds.
+    """
+    bold = F.lit(r"(?is)<strong\b[^>]*>((?:(?!</strong).)*)</strong\s*>(?=([^<]+|<([a-z][a-z0-9]*)\b[^>]*>.*?</\3\s*>|<[^>]*>|))")
+    pairs = F.arrays_zip(F.regexp_extract_all(html, bold, F.lit(1)).alias("label"), F.regexp_extract_all(html, bold, F.lit(2)).alias("after"))
+    name = lambda x: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), "(?U)^\\s+|\\s+$", ""), ":+$", ""))
+    ours = F.filter(pairs, lambda p: name(p["label"]) == f"{label} goal")
+    found = F.filter(F.transform(ours, lambda p: F.regexp_extract(p["after"], "([0-9.]+)\\s*%", 1)), lambda x: x != "")
     return F.try_element_at(found, F.lit(-1)).try_cast("double")
 
 
+def decoded_base64url(x: Column) -> Column:
+    """UTF-8 text of base64url data, padded or not, with U+FFFD for what isn't UTF-8; null if it isn't base64 [A17]."""
+    plain = F.regexp_replace(F.translate(x, "-_", "+/"), "[=\\s]", "")
+    padded = F.rpad(plain, F.ceil(F.length(plain) / 4).cast("int") * 4, "=")
+    raw = F.when(F.length(plain) % 4 != 1, F.try_to_binary(padded, F.lit("base64")))
+    return F.make_valid_utf8(raw.cast("string"))
+
+
+def rendered_html(x: Column) -> Column:
+    """The text of a mail's HTML, block elements on lines of their own [A17]; what has no tag stays as it is."""
+    out = F.regexp_replace(x, "(?is)<(style|script)\\b[^>]*>.*?</\\1\\s*>", "")
+    block = "<(?:div|p|tr|li)(?:\\s[^>]*)?>"
+    out = F.regexp_replace(out, "(?i)<br\\b[^>]*>|</(?:div|p|tr)\\s*>", "\n")
+    out = F.regexp_replace(out, f"(?i)(?!{block})<[^>]*>", "")
+    # A block begins a line, unless one begins there already.
+    out = F.regexp_replace(F.regexp_replace(out, f"(?i)(?<=[^\\n])(?:{block})+", "\n"), f"(?i){block}", "")
+    for a, b in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    text = F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "(?U)^\\s+|\\s+$", "")
+    return F.when(F.contains(x, F.lit("<")) & F.contains(x, F.lit(">")), text).otherwise(x)
+
+
 def age_of_story(at: Column, as_of: Column) -> Column:
     """Minutes below an hour, hours below a day, else days; floors, so the future is negative."""
     s = as_of.cast("double") - at.cast("double")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; where none is named, one beside the warehouse's tables, which all machines share."""
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return jsc.getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder, or in one of our own if none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    """A reliable checkpoint in the shared folder: lost executors don't lose it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

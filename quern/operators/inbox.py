@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from quern import config as C
 from quern.functions import rules as R
@@ -31,10 +32,10 @@ def parsed(stubs: DataFrame, full: DataFrame) -> DataFrame:
     """Stubs with their full records where there are any [A13, J6].
 
     stubs: JSON in ``json`` and ord. full: msg_id, headers (map), body, snippet, labels,
-    parts. Stubs without an id are dropped.
+    parts. Stubs without an id are dropped. A body is text, or a struct of plain and html.
     """
     s = stubs.select("ord", F.from_json("json", STUB).alias("j")).select("ord", "j.*").where(F.coalesce("id", F.lit("")) != "").withColumnRenamed("id", "msg_id")
-    f = full.select("msg_id", F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))).alias("headers"), "body", F.col("snippet").alias("full_snippet"), F.col("labels").alias("full_labels"), "parts")
+    f = full.select("msg_id", F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))).alias("headers"), _body_text(full).alias("body"), F.col("snippet").alias("full_snippet"), _labels(full).alias("full_labels"), "parts")
     m = s.join(f, "msg_id", "left")
     h = lambda k: F.col("headers")[k]
     subject = F.coalesce(h("subject"), "subject", F.lit(""))
@@ -51,6 +52,30 @@ def parsed(stubs: DataFrame, full: DataFrame) -> DataFrame:
     )
 
 
+def _body_text(full: DataFrame) -> Column:
+    """A body that is text, or a struct of which plain comes first, then text, then html [A15]."""
+    kind = full.schema["body"].dataType
+    if not isinstance(kind, StructType):
+        return F.col("body")
+    return F.coalesce(*[F.nullif(F.col(f"body.{f}"), F.lit("")) for f in ("plain", "text", "html") if f in kind.names], F.lit(""))
+
+
+def _labels(full: DataFrame) -> Column:
+    """Labels as a list; one string is a list of one [A15]."""
+    return F.col("labels") if isinstance(full.schema["labels"].dataType, ArrayType) else F.when(F.col("labels").isNotNull(), F.array("labels"))
+
+
+def searched(messages: DataFrame, query: str = "", most: int = 25) -> DataFrame:
+    """Unread messages of the inbox that hold the query's words, the first ``most`` by ord [A13]."""
+    text = F.lower(F.concat_ws(" ", "subject", "snippet", "sender_email"))
+    held = F.lit(True)
+    for word in query.lower().split():
+        held = held & F.contains(text, F.lit(word))
+    low = F.transform("labels", F.lower)
+    unread = F.array_contains(low, "unread") & F.array_contains(low, "inbox")
+    return messages.where(unread & held).orderBy("ord").limit(most)
+
+
 def unseen(messages: DataFrame, processed: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Messages in neither set [F4, J5]."""
     return messages.join(processed.select("msg_id"), "msg_id", "left_anti").join(dismissed.select("msg_id"), "msg_id", "left_anti")
@@ -165,6 +190,41 @@ def checked(messages: DataFrame, processed: DataFrame, dismissed: DataFrame, as_
     return {"new": new, "digest": digest(new, as_of), "processed": state}
 
 
+def state_counts(processed: DataFrame, drafts: DataFrame) -> DataFrame:
+    """One row: processed ids, drafts, and the last time that anything was processed [G20, Q12]."""
+    return processed.agg(F.count("*").alias("processed_count"), F.max("processed_at").alias("last_check")).join(drafts.agg(F.count("*").alias("draft_count"))).select("processed_count", "draft_count", "last_check")
+
+
+def dismissed_with(dismissed: DataFrame, msg_id: str) -> DataFrame:
+    """The dismissed ids and one more, once [Q12]."""
+    one = dismissed.sparkSession.createDataFrame([(msg_id,)], "msg_id string")
+    return dismissed.select("msg_id").union(one).distinct()
+
+
+def shown(messages: DataFrame, msg_id: str) -> DataFrame:
+    """One message's ``text``: its heads and up to 3,000 characters of its body [Q12]."""
+    line = lambda label, x: F.concat(F.lit(f"{label}: "), F.coalesce(x, F.lit("")))
+    who = F.concat("sender", F.lit(" <"), "sender_email", F.lit(">"))
+    text = F.concat_ws("\n", line("From", who), line("To", F.col("to")), line("Subject", F.col("subject")), line("Date", F.col("date").cast("string")), F.when(F.col("has_attachments"), "Attachments: Yes"), F.lit(""), F.substring("body_plain", 1, 3000))
+    return messages.where(F.col("msg_id") == msg_id).select("msg_id", text.alias("text"))
+
+
+def draft_shown(drafts: DataFrame, draft_id: str) -> DataFrame:
+    """One draft's ``text`` [A17, Q12]. drafts: draft_id, headers (map), data (base64url), snippet."""
+    h = lambda k, empty: F.coalesce(F.col("headers")[k], F.lit(empty))
+    heads = F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    body = F.coalesce(F.nullif(T.decoded_base64url(F.col("data")), F.lit("")), F.nullif(F.col("snippet"), F.lit("")), F.lit("(empty body)"))
+    rows = drafts.where(F.col("draft_id") == draft_id).withColumns({"headers": heads, "body": F.substring(T.rendered_html(body), 1, 3000)})
+    text = F.concat_ws("\n", F.concat(F.lit("From: "), h("from", "(unknown)")), F.concat(F.lit("To: "), h("to", "(unknown)")), F.concat(F.lit("Subject: "), h("subject", "(no subject)")), F.concat(F.lit("Date: "), h("date", "(not set)")), F.lit(""), "body")
+    return rows.select("draft_id", text.alias("text"))
+
+
+def prompt(messages: DataFrame) -> DataFrame:
+    """(ord, prompt): what a language model would be asked about each classified message [S23]; nothing is asked."""
+    lines = F.format_string("From: %s\nTo: %s\nSubject: %s\nIs Reply: %s\n\n%s\n\nRules say: %s (%.2f)", sender_display(F.col("sender"), F.col("sender_email")), "to", "subject", F.col("is_reply").cast("string"), F.substring("body_plain", 1, 1500), "category", "score")
+    return messages.select("ord", F.concat(F.lit("Classify this mail as needs_response, informational, newsletter, sales or automated, and sum it up in a line. Answer in JSON.\n\n"), lines).alias("prompt"))
+
+
 def with_draft(drafts: DataFrame, msg_id: str, body: str | None) -> DataFrame:
     """Drafts with one put, or removed if ``body`` is None [W9]."""
     rest = drafts.where(F.col("msg_id") != msg_id)

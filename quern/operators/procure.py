@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,28 +61,42 @@ def derived(rfqs: DataFrame, as_of: date) -> DataFrame:
     return rfqs.withColumns({"days_until_due": days, "is_urgent": F.coalesce(days <= 7, F.lit(False)), "folder_name": name})
 
 
-def disposed(new: DataFrame, stored: DataFrame, as_of: date) -> DataFrame:
-    """Rows whose key isn't stored, enriched, with ``disposition`` [F14, J4]. All are stored as new [T12]."""
+def scored_text() -> Column:
+    """What relevance is read from [F11]."""
+    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "category", "agency")], F.substring(F.coalesce("raw_text", F.lit("")), 1, 5000), F.coalesce("note", F.lit("")))
+
+
+def disposed(new: DataFrame, stored: DataFrame, as_of: date, enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows whose key isn't stored, classified, with ``disposition`` [F14, J4]. All are stored as new [T12].
+
+    Rows that pass the first two rules are enriched, as with their attachments, and scored;
+    the others keep a score of 0 and what they came with.
+    """
     fresh = new.join(stored.select("cr_number"), "cr_number", "left_anti")
-    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "category", "agency")], F.substring(F.coalesce("raw_text", F.lit("")), 1, 5000), F.coalesce("note", F.lit("")))
     kind = procurement_type(F.col("ad_type"))
-    rows = fresh.withColumns({"procurement_type": kind["procurement_type"], "is_mwbe_sdvob": kind["flagged"]})
-    rows = rows.withColumn("relevance_score", boosted(relevance(text), F.col("is_mwbe_sdvob")))
-    soon = F.datediff("due_date", F.lit(as_of)) < C.MIN_DAYS
-    why = R.first_match([(~competitive(F.col("ad_type")), "not_competitive"), (soon, "due_too_soon"), (F.col("relevance_score") >= C.RELEVANT, "kept")], "not_relevant")
-    return rows.withColumn("disposition", why).withColumn("status", F.lit("new"))
+    soon = F.coalesce(F.datediff("due_date", F.lit(as_of)) < C.MIN_DAYS, F.lit(False))
+    early = R.first_match([(~competitive(F.col("ad_type")), "not_competitive"), (soon, "due_too_soon")], F.lit(None).cast("string"))
+    rows = fresh.withColumns({"procurement_type": kind["procurement_type"], "is_mwbe_sdvob": kind["flagged"], "disposition": early})
+    passed = rows.where("disposition IS NULL")
+    passed = (enrich(passed) if enrich else passed).withColumn("relevance_score", boosted(relevance(scored_text()), F.col("is_mwbe_sdvob")))
+    passed = passed.withColumn("disposition", F.when(F.col("relevance_score") >= C.RELEVANT, "kept").otherwise("not_relevant"))
+    out = passed.unionByName(rows.where("disposition IS NOT NULL").withColumn("relevance_score", F.lit(0.0)), allowMissingColumns=True)
+    return out.withColumn("status", F.lit("new"))
 
 
 def upserted(table: DataFrame, batch: DataFrame, key: str = "cr_number") -> DataFrame:
-    """The table with the batch's rows in place of or beside its own [W1].
+    """The table with the batch's values in place of or beside its own [W1].
 
-    A batch's last row of a key (by ``ord`` if it has one) wins. Rows that aren't
-    touched pass through one anti-join; nothing is sorted.
+    A batch's last row of a key wins: by ``ord`` if it has one, else the greatest by its
+    columns in order. Columns that the batch lacks keep their values; in new rows they are
+    null. ``table`` has every column of the batch but ``ord``, and each key once.
     """
     cols = [c for c in batch.columns if c != "ord"]
-    by = F.struct("ord") if "ord" in batch.columns else F.struct(F.lit(0))
-    last = batch.groupBy(key).agg(F.max_by(F.struct(*cols), by).alias("r")).select("r.*")
-    return table.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    whole = F.struct(*cols)
+    last = batch.groupBy(key).agg(F.max_by(whole, F.struct("ord", *cols) if "ord" in batch.columns else whole).alias("b"))
+    j = table.select(F.col(key), F.struct(*table.columns).alias("t")).join(last, key, "full")
+    value = lambda c: F.when(F.col("b").isNotNull(), F.col("b")[c]).otherwise(F.col("t")[c]) if c in cols else F.col("t")[c]
+    return j.select(*[value(c).alias(c) for c in table.columns])
 
 
 def migrated(table: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
@@ -89,11 +105,34 @@ def migrated(table: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFr
 
 
 def with_status(table: DataFrame, moves: DataFrame) -> DataFrame:
-    """Statuses from (cr_number, status); unknown statuses are refused by being left out [W2, W3]."""
-    ok = moves.where(F.col("status").isin(*C.STATUSES)).select("cr_number", F.col("status").alias("_s"))
+    """Statuses from (cr_number, status, and ord if there is one); unknown statuses are refused by being left out [W2, W3].
+
+    Of several moves of a key the last by ``ord`` counts, else the one furthest along.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in C.STATUSES]), F.col("status"))
+    by = F.struct("ord", place) if "ord" in moves.columns else place
+    ok = moves.where(F.col("status").isin(*C.STATUSES)).groupBy("cr_number").agg(F.max_by("status", by).alias("_s"))
     return table.join(ok, "cr_number", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
+#: Columns that a point update may set (fixed values).
+FIELDS = ("procurement_type", "is_mwbe_sdvob", "sdvob_goal", "mbe_goal", "wbe_goal", "relevance_score", "odoo_lead_id", "gdrive_folder_id", "gdrive_folder_url", "status", "raw_text")
+
+
+def with_field(table: DataFrame, cr_number: str, field: str, value) -> DataFrame:
+    """One field of one key set [W2]; a field that may not be set is an error."""
+    if field not in FIELDS or field not in table.columns:
+        raise ValueError(f"not a column that can be set: {field}")
+    return table.withColumn(field, F.when(F.col("cr_number") == cr_number, F.lit(value).cast(table.schema[field].dataType)).otherwise(F.col(field)))
+
+
+def reset(table: DataFrame, cr_numbers: list[str], to: str = "new") -> DataFrame:
+    """The keys' rows back at a stage before the last [W3]; keys that aren't there change nothing."""
+    if to not in C.STATUSES[:-1]:
+        raise ValueError(f"can't reset to {to}")
+    return table.withColumn("status", F.when(F.col("cr_number").isin(*cr_numbers), F.lit(to)).otherwise(F.col("status")))
+
+
 def next_status(status: Column, action: Column, items: Column, matches: Column) -> Column:
     """A stage's effect on a row [W3, T13]."""
     return R.first_match(
@@ -135,20 +174,31 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in C.STOP_WORDS]))
 
 
+def _set_key(words: Column) -> Column:
+    return F.array_join(F.array_sort(words), " ")
+
+
 def comparables(rfqs: DataFrame, deals: DataFrame, least: float = C.SIMILAR, top: int = C.COMPARABLES) -> DataFrame:
     """(cr_number, deal, revenue, similarity, rank): the most similar won deals [J3, G19, K4].
 
-    A similarity over 0 needs a shared token, so an equality join on tokens and a count
-    lose nothing; deals keep their order among equals.
+    Similarity is one of sets of words, so equal sets are compared once: a similarity over
+    0 needs a shared word, and an equality join on words between different sets loses
+    nothing. A set's deals are equals, of which only the first ``top`` in their order can
+    be anyone's; deals and asks come back by their set.
     """
-    a = rfqs.select("cr_number", tokens(F.col("text")).alias("t")).withColumn("na", F.size("t"))
-    d = deals.where("revenue > 0").select("deal", "revenue", "ord", tokens(F.col("text")).alias("t")).withColumn("nd", F.size("t"))
-    left = a.select("cr_number", "na", F.explode("t").alias("w"))
-    right = d.select("deal", "revenue", "ord", "nd", F.explode("t").alias("w"))
-    both = left.join(right, "w").groupBy("cr_number", "na", "deal", "revenue", "ord", "nd").agg(F.count("*").alias("n"))
-    sim = F.col("n") / (F.col("na") + F.col("nd") - F.col("n"))
-    best = Window.partitionBy("cr_number").orderBy(F.desc("similarity"), "ord")
-    return both.select("cr_number", "deal", "revenue", "ord", sim.alias("similarity")).where(F.col("similarity") > least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("ord")
+    asks = rfqs.select("cr_number", _set_key(tokens(F.col("text"))).alias("a"))
+    won = deals.where("revenue > 0").select("deal", "revenue", "ord", _set_key(tokens(F.col("text"))).alias("d"))
+    first = won.where("d <> ''").withColumn("place", F.row_number().over(Window.partitionBy("d").orderBy("ord", "deal"))).where(F.col("place") <= top).drop("place")
+    words = lambda c: F.explode(F.split(F.col(c), " ")).alias("w")
+    size = lambda c: F.size(F.split(F.col(c), " "))
+    left = asks.where("a <> ''").select("a").distinct().select("a", words("a"))
+    right = won.where("d <> ''").select("d").distinct().select("d", words("d"))
+    both = left.join(right, "w").groupBy("a", "d").agg(F.count("*").alias("n"))
+    sim = (F.col("n") / (size("a") + size("d") - F.col("n"))).alias("similarity")
+    near = both.select("a", "d", sim).where(F.col("similarity") > least).join(first, "d")
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "ord", "deal")
+    ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return asks.join(ranked, "a").select("cr_number", "deal", "revenue", "similarity", "rank")
 
 
 def bids(rfqs: DataFrame, deals: DataFrame, margin: float = C.MARGIN, digits: int = 2) -> DataFrame:
@@ -177,23 +227,49 @@ def search_text(*parts: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.nullif(F.btrim(F.coalesce(F.col(p), F.lit(""))), F.lit("")) for p in parts]))
 
 
-def matches(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO, most_contacts: int = 100_000) -> DataFrame:
-    """(item, contact columns, ratio): every contact similar enough to an item [J2, K5].
+def _plain_words(text: Column) -> Column:
+    """The words that a ratio of sets compares: lower-case ASCII letters and digits."""
+    ascii_ = F.regexp_replace(F.lower(text), "[^\\x00-\\x7F]", "")
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(ascii_, "[^a-z0-9]", " "), " "), lambda w: w != ""))
+
 
-    items: item, text. contacts: ord, text, rep_email, rep_name, distributor_name. A ratio
-    of sets has no lossless equality key, so each distinct pair of texts is compared once;
-    the contact side, a list kept by hand, is broadcast if it is as small as that.
+def _candidates(texts: DataFrame, ctexts: DataFrame, least: int) -> DataFrame:
+    """Different (text, ctext) that can reach the ratio; none that does is lost.
+
+    Pairs that share a word meet by it. Of others the ratio is that of the sorted words,
+    whose lengths then lie within a factor, so they meet by a class of length.
+    """
+    r = (least - 0.5) / 100  # ratios are rounded
+    words = lambda df, c, w: df.select(c, _plain_words(F.col(c)).alias(w)).where(F.size(w) > 0)
+    a, b = words(texts, "text", "aw"), words(ctexts, "ctext", "bw")
+    by_word = a.select("text", F.explode("aw").alias("w")).join(b.select("ctext", F.explode("bw").alias("w")), "w").select("text", "ctext").distinct()
+    factor = math.log((2 - r) / r)
+    klass = lambda n: F.floor(F.log(n.cast("double")) / factor + 1e-9)
+    sized = lambda df, w, n: df.withColumn(n, F.length(F.array_join(w, " ")))
+    a = sized(a, "aw", "na").select("text", "aw", F.explode(F.array(*[klass(F.col("na")) + d for d in (-1, 0, 1)])).alias("k"))
+    b = sized(b, "bw", "nb").select("ctext", "bw", klass(F.col("nb")).alias("k"))
+    apart = a.join(b, "k").where(~F.arrays_overlap("aw", "bw")).select("text", "ctext")
+    return by_word.unionByName(apart)
+
+
+def matches(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO) -> DataFrame:
+    """(item, contact columns, ratio, rank): every contact similar enough to an item, ranked in it [J2, K5].
+
+    items: item, text. contacts: ord, text, rep_email, rep_name, distributor_name. Each
+    pair of different texts that can be similar is compared once. Equal ratios keep the
+    order of contacts.
     """
     c = contacts.where(F.length(F.trim("text")) > 0).select("ord", F.col("text").alias("ctext"), "rep_email", "rep_name", "distributor_name")
-    texts, ctexts = items.where(F.length(F.trim("text")) > 0).select("text").distinct(), c.select("ctext").distinct()
-    side = F.broadcast(ctexts) if contacts.limit(most_contacts + 1).count() <= most_contacts else ctexts
-    close = texts.join(side).withColumn("ratio", token_set_ratio("text", "ctext")).where(F.col("ratio") >= least)
-    return items.join(close, "text").join(c, "ctext").select("item", "ord", "rep_email", "rep_name", "distributor_name", "ratio")
+    given = items.where(F.length(F.trim("text")) > 0)
+    pairs = _candidates(given.select("text").distinct(), c.select("ctext").distinct(), least)
+    close = pairs.withColumn("ratio", token_set_ratio(F.col("text"), F.col("ctext"), least)).where(F.col("ratio") >= least)
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("ratio"), "ord"))
+    return given.join(close, "text").join(c, "ctext").select("item", "ord", "rep_email", "rep_name", "distributor_name", "ratio").withColumn("rank", rank)
 
 
 def quote_requests(matched: DataFrame) -> DataFrame:
     """Per rep the names of the first contact seen and the items in order of match [G15, G16, T15]."""
-    first = F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", -F.col("ratio"), F.col("ord")))
+    first = F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", "rank"))
     return matched.groupBy("rep_email").agg(first.alias("f"), F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set("distributor_name")).alias("distributors")).select("rep_email", "f.*", "items", "distributors")
 
 

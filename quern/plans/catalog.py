@@ -6,6 +6,7 @@ that both engines get. Every query is evaluated at ``AS_OF``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from quern import config as C
 from quern.functions import rules as R
 from quern.functions import text as T
-from quern.operators import cluster, inbox, news, procure, reports
+from quern.operators import cluster, inbox, news, procure, reports, stages
+from quern.operators.graph import shared_dir
 from quern.sources import files
 from quern.streaming import inbox as stream
 
@@ -121,11 +123,149 @@ def status_machine(spark, d):
     return rfqs(spark, d).select("cr_number", "status", step("process").alias("after_process"), step("analyze").alias("after_analyze"))
 
 
-@query(f"{RFQS} SELECT cr_number, CASE WHEN cr_number % 10 = 0 THEN 'proposed' ELSE status END AS status, CASE WHEN cr_number % 10 = 0 THEN 'changed' ELSE title END AS title FROM rfqs WHERE cr_number % 2 = 0 OR cr_number % 10 = 0 UNION ALL SELECT cr_number, 'proposed', 'changed' FROM rfqs WHERE cr_number % 10 = 5")
+@query(f"{RFQS} SELECT cr_number, CASE WHEN status = 'quoted' THEN 'proposed' ELSE status END AS status, title, CASE WHEN status = 'quoted' THEN NULL ELSE agency END AS agency, due_date FROM rfqs UNION ALL SELECT -1 - cr_number, 'new', 'added', NULL, NULL FROM rfqs WHERE status = 'quoted'")
 def rfq_upsert(spark, d):
-    all_ = rfqs(spark, d).select("cr_number", "status", "title")
-    batch = all_.where("cr_number % 5 = 0").withColumns({"status": F.lit("proposed"), "title": F.lit("changed")})
-    return procure.upserted(all_.where("cr_number % 2 = 0"), batch)
+    """All orders stored; a batch changes those that are quoted, says so twice, and adds a key for each."""
+    stored = rfqs(spark, d).select("cr_number", "status", "title", "agency", "due_date")
+    change = stored.where("status = 'quoted'").select("cr_number", "title", F.lit(None).cast("string").alias("agency"))
+    batch = [change.withColumns({"status": F.lit(s), "ord": F.lit(i)}) for i, s in enumerate(("analyzed", "proposed"))]
+    added = change.select((-1 - F.col("cr_number")).alias("cr_number"), F.lit("added").alias("title"), F.lit(None).cast("string").alias("agency"), F.lit("new").alias("status"), F.lit(0).alias("ord"))
+    return procure.upserted(stored, batch[0].unionByName(batch[1]).unionByName(added))
+
+
+# --- the table of requests and its stages -----------------------------------------------
+
+#: Words of the vocabulary, written out; requests get them by their key.
+_RELEVANT = "['software', 'license', 'saas', 'subscription', 'cloud', 'it services', 'technology', 'microsoft', 'adobe', 'vmware', 'citrix', 'oracle', 'cisco', 'dell', 'hewlett', 'ibm', 'sap', 'salesforce', 'aws', 'azure', 'google cloud', 'enterprise', 'renewal', 'maintenance', 'support agreement']"
+_AD_TYPES = "['General', 'SDVOB Discretionary', 'Discretionary', 'MWBE Discretionary', 'Contractor Ads', 'SDVOB Set-Aside', 'Continuous Recruitment', 'Requests for Information', 'General', 'MWBE and SDVOB Discretionary']"
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as scanned requests, before any is stored."""
+    at = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i + 1).cast("int"))
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        k.cast("string").alias("cr_number"), F.concat(at(C.RELEVANCE, k % 25), F.lit(" and "), at(C.RELEVANCE, k % 24), F.lit(" for all")).alias("title"), F.concat(F.lit("Office "), (k % 7).cast("string")).alias("agency"), at(C.RELEVANCE, k % 23).alias("category"),
+        F.when(k % 17 != 0, F.col("o_orderdate").cast("date")).alias("due_date"), at(("General", "SDVOB Discretionary", "Discretionary", "MWBE Discretionary", "Contractor Ads", "SDVOB Set-Aside", "Continuous Recruitment", "Requests for Information", "General", "MWBE and SDVOB Discretionary"), k % 10).alias("ad_type"),
+        F.concat(F.repeat(F.lit("x"), 4980), F.lit(" saas for azure")).alias("raw_text"), at(C.RELEVANCE, k % 22).alias("note"),
+    )
+
+
+# Only 15 of the text's last characters lie within the first 5,000; "saas" does, "azure" does.
+_REQUESTS = f"""WITH q AS (
+  SELECT o_orderkey AS k, o_orderkey::VARCHAR AS cr_number, {_RELEVANT} AS v, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE END AS due_date, {_AD_TYPES}[(o_orderkey % 10 + 1)::INT] AS ad_type FROM orders),
+t AS (
+  SELECT *, v[(k % 25 + 1)::INT] || ' and ' || v[(k % 24 + 1)::INT] || ' for all' AS title, 'Office ' || (k % 7) AS agency, v[(k % 23 + 1)::INT] AS category FROM q),
+w AS (
+  SELECT *, title || ' ' || category || ' ' || agency || ' ' || substr(repeat('x', 4980) || ' saas for azure', 1, 5000) || ' ' || v[(k % 22 + 1)::INT] AS said, ad_type IN ('SDVOB Discretionary', 'MWBE Discretionary', 'SDVOB Set-Aside', 'MWBE and SDVOB Discretionary') AS flagged FROM t),
+n AS (
+  SELECT *, least(len(list_filter(v, lambda x: contains(said, x)))::DOUBLE / 3.75::DOUBLE, 1::DOUBLE) AS hits FROM w),
+r AS (
+  SELECT *, CASE WHEN ad_type IN ('Contractor Ads', 'Requests for Information') THEN 'not_competitive' WHEN due_date - {_D} < 7 THEN 'due_too_soon' END AS early,
+    CASE WHEN flagged THEN least(hits + 0.1::DOUBLE, 1::DOUBLE) ELSE hits END AS s FROM n WHERE k % 9 <> 0),
+a AS (SELECT *, coalesce(early, CASE WHEN s >= 0.9::DOUBLE THEN 'kept' ELSE 'not_relevant' END) AS disposition, CASE WHEN early IS NULL THEN s ELSE 0 END AS score FROM r)
+"""
+
+
+def _disposed(spark, d):
+    new = requests(spark, d)
+    return procure.disposed(new, new.where("CAST(cr_number AS BIGINT) % 9 = 0").select("cr_number"), AS_OF)  # what was stored before, the anti-join's other side
+
+
+@query(f"{_REQUESTS} SELECT cr_number, disposition, round(score, 6) AS score, flagged AS is_mwbe_sdvob, 'new' AS status FROM a")
+def dispositions(spark, d):
+    return _disposed(spark, d).select("cr_number", "disposition", F.round("relevance_score", 6).alias("score"), "is_mwbe_sdvob", "status")
+
+
+def tracked(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as the keyed table: every order a request, its lines the items."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("description"), F.col("l_quantity").cast("double").alias("quantity"), F.lit("ea").alias("unit"), F.col("l_partkey").cast("string").alias("part_number"), F.lit("").alias("vendor"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_extendedprice").cast("double").alias("extended_price"), F.lit("").alias("notes"))
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("cr_number")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("n")).alias("line_items"))  # an order's few lines
+    status = F.element_at(F.array(*[F.lit(s) for s in ("new", "processed", "quoted", "analyzed", "proposed", "lost")]), (F.col("cr_number").cast("long") % 6 + 1).cast("int"))
+    kind = procure.procurement_type(F.col("ad_type"))
+    rows = requests(spark, d).withColumns({"status": status, "attachments": F.array(F.struct(F.lit("u").alias("url"), F.concat("cr_number", F.lit(".pdf")).alias("filename"))), "procurement_type": F.when(F.col("cr_number").cast("long") % 4 != 0, kind["procurement_type"]), "is_mwbe_sdvob": kind["flagged"], "sdvob_goal": F.lit(0.0), "mbe_goal": F.when(F.col("cr_number").cast("long") % 3 == 0, 15.5), "source_site": F.lit("site"), "relevance_score": F.lit(0.5)})
+    return stages.encoded(rows.drop("raw_text").withColumn("raw_text", F.lit("")).join(items, "cr_number", "left"))
+
+
+_TRACKED = f"""{_REQUESTS}, k AS (
+  SELECT n.*, ['new', 'processed', 'quoted', 'analyzed', 'proposed', 'lost'][(k % 6 + 1)::INT] AS status, CASE WHEN k % 3 = 0 THEN 15.5::DOUBLE END AS mbe_goal, coalesce(i.c, 0) AS n_items
+  FROM n LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) i ON n.k = i.l_orderkey)
+"""
+
+
+@query(f"{_TRACKED} SELECT cr_number, n_items::INT AS n_items, least(n_items, 25)::INT AS shown, greatest(n_items - 25, 0)::INT AS more, cr_number || '.pdf' AS attachment, coalesce(q.quantity, 0) AS quantity FROM k LEFT JOIN (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1) q ON k.k = q.l_orderkey")
+def items_round_trip(spark, d):
+    """Items and attachments as JSON text and back, under the display's cap."""
+    t = stages.decoded(tracked(spark, d))
+    n = F.size("line_items")
+    total = F.aggregate("line_items", F.lit(0.0), lambda a, x: a + x["quantity"])
+    return t.select("cr_number", n.alias("n_items"), F.size(F.slice("line_items", 1, C.SHOWN_ITEMS)).alias("shown"), F.greatest(n - C.SHOWN_ITEMS, F.lit(0)).alias("more"), F.get("attachment_paths", 0).alias("attachment"), total.alias("quantity"))
+
+
+@query(
+    f"""{_TRACKED} SELECT list_position(['new', 'processed', 'quoted', 'analyzed', 'proposed'], status)::INT AS section, status, count(*) OVER (PARTITION BY status)::BIGINT AS n, row_number() OVER (PARTITION BY status ORDER BY due_date ASC NULLS FIRST, cr_number)::INT AS rank, cr_number,
+  'CR# ' || cr_number || ' | ' || substr(title, 1, 45) || ' | Due: ' || coalesce(due_date::VARCHAR, 'TBD') || CASE WHEN due_date - {_D} <= 7 THEN ' URGENT' ELSE '' END || CASE WHEN flagged THEN ' [MWBE/SDVOB]' ELSE '' END
+    || CASE WHEN flagged AND mbe_goal IS NOT NULL THEN ' | MBE=15.5%' ELSE '' END || CASE WHEN n_items > 0 THEN ' | ' || n_items || ' items' ELSE '' END AS line
+FROM k WHERE status <> 'lost'"""
+)
+def status_listing(spark, d):
+    return stages.status_listing(tracked(spark, d), AS_OF)
+
+
+@query(f"{_TRACKED} SELECT cr_number, CASE status WHEN 'quoted' THEN 0 ELSE 1 END AS branch, row_number() OVER (PARTITION BY status ORDER BY due_date ASC NULLS FIRST, cr_number)::INT AS ord FROM k WHERE status IN ('quoted', 'processed')")
+def ready_order(spark, d):
+    return stages.ready(tracked(spark, d)).select("cr_number", "branch", "ord")
+
+
+_KIND = "CASE ad_type WHEN 'MWBE and SDVOB Discretionary' THEN 'mwbe_sdvob_discretionary' WHEN 'SDVOB Set-Aside' THEN 'sdvob_set_aside' WHEN 'SDVOB Discretionary' THEN 'sdvob_discretionary' WHEN 'MWBE Discretionary' THEN 'mwbe_discretionary' WHEN 'Discretionary' THEN 'discretionary' WHEN 'Continuous Recruitment' THEN 'continuous' ELSE 'general' END"
+
+
+@query(f"{_TRACKED} SELECT cr_number, {_KIND} AS procurement_type, CASE WHEN k % 5 = 0 THEN 15.5::DOUBLE ELSE mbe_goal END AS mbe_goal FROM k WHERE k % 4 = 0 OR (k % 5 = 0 AND mbe_goal IS NULL)")
+def backfill(spark, d):
+    """Types and goals again; only the rows that change."""
+    t = tracked(spark, d)
+    pages = t.select("cr_number", F.lit(None).cast("double").alias("sdvob_goal"), F.when(F.col("cr_number").cast("long") % 5 == 0, 15.5).alias("mbe_goal"), F.lit(None).cast("double").alias("wbe_goal"))
+    return stages.backfilled(t, pages)["changed"].select("cr_number", "procurement_type", "mbe_goal")
+
+
+@query(f"{_TRACKED} SELECT cr_number, '[' || cr_number || '] ' || title AS name, CASE WHEN due_date - {_D} <= 7 THEN '2' ELSE '1' END AS priority, due_date AS date_deadline, 'CR#: ' || cr_number || chr(10) || 'Agency: ' || agency || chr(10) || 'Category: ' || category || chr(10) || 'Ad Type: ' || ad_type || chr(10) || 'Location: ' || chr(10) || 'Division: ' || chr(10) || 'Source: site' || chr(10) || 'Note: ' || v[(k % 22 + 1)::INT] AS description FROM k WHERE status = 'new' AND k % 12 <> 0")
+def lead_values(spark, d):
+    """Leads of new requests, but of those that a deal's name has."""
+    t = tracked(spark, d)
+    deals = t.where("CAST(cr_number AS BIGINT) % 12 = 0").select(F.col("cr_number").cast("long").alias("id"), F.concat(F.lit("Old ["), "cr_number", F.lit("] deal")).alias("name"))
+    return stages.process(t, AS_OF, deals)["leads"].select("cr_number", "name", "priority", "date_deadline", "description")
+
+
+@query(f"{_TRACKED} SELECT cr_number, ord::INT AS ord, cr_number || ' - ' || rtrim(substr(title, 1, 60)) || ' - ' || agency || ['', '/Source Documents', '/Proposal', '/Supporting Docs'][ord + 1] AS path FROM k, (SELECT unnest([0, 1, 2, 3]) AS ord) WHERE status = 'new'")
+def folder_plan(spark, d):
+    return stages.process(tracked(spark, d), AS_OF)["folders"]
+
+
+@query(f"{_TRACKED} SELECT cr_number, CASE WHEN status = 'new' THEN 'processed' WHEN status IN ('processed', 'quoted') THEN 'analyzed' WHEN status = 'analyzed' THEN 'proposed' ELSE status END AS status FROM k")
+def stage_moves(spark, d):
+    """process, analyze and propose, each on the statuses of the start."""
+    t = tracked(spark, d)
+    none = spark.sql("SELECT CAST(NULL AS STRING) AS deal, '' AS text, CAST(0 AS DOUBLE) AS revenue, 0 AS ord WHERE false")
+    moved = [(stages.process(t, AS_OF), "new"), (stages.analyze(t, none), "processed"), (stages.analyze(t, none), "quoted"), (stages.propose(t, none, AS_OF), "analyzed")]
+    parts = [out["table"].join(t.where(F.col("status") == s).select("cr_number"), "cr_number", "left_semi").select("cr_number", "status") for out, s in moved]
+    rest = t.where("status IN ('proposed', 'lost')").select("cr_number", "status")
+    for p in parts:
+        rest = rest.unionByName(p)
+    return rest
+
+
+@query(f"{_TRACKED} SELECT cr_number, 'Proposal - ' || cr_number || ' - ' || title AS title, CASE WHEN flagged OR mbe_goal IS NOT NULL THEN 10 ELSE 9 END AS n_sections, CASE WHEN n_items > 0 THEN '1. item ' ELSE '[to be added]' END AS solution FROM k WHERE status = 'analyzed'")
+def proposals(spark, d):
+    t = tracked(spark, d)
+    none = spark.sql("SELECT CAST(NULL AS STRING) AS deal, '' AS text, CAST(0 AS DOUBLE) AS revenue, 0 AS ord WHERE false")
+    p = stages.propose(t, none, AS_OF)["proposals"]
+    solution = F.get("sections", 3)["text"]
+    return p.select("cr_number", "title", F.size("sections").alias("n_sections"), F.when(solution.startswith("1. item "), "1. item ").otherwise(solution).alias("solution"))
+
+
+@query(f"{_TRACKED} SELECT cr_number, n_items::INT AS n_items FROM k WHERE k = 100")
+def request_detail(spark, d):
+    return stages.detail(tracked(spark, d), "100").select("cr_number", "n_items")
 
 
 # --- costs and bids ------------------------------------------------------------------
@@ -153,14 +293,14 @@ def fallback_bid(spark, d):
 def _bid_input(spark, d):
     p = table(spark, d, "part")
     asks = p.select(F.col("p_partkey").alias("cr_number"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice")).otherwise(0.0).alias("cost"))
-    deals = p.where("p_size <= 3").select(F.col("p_partkey").alias("deal"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(F.col("p_partkey") % 7 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("revenue"), F.col("p_partkey").alias("ord"))
+    deals = p.select(F.col("p_partkey").alias("deal"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(F.col("p_partkey") % 7 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("revenue"), F.col("p_partkey").alias("ord"))
     return asks, deals
 
 
 _TOP = f"""WITH t AS (
   SELECT p_partkey, p_size, p_retailprice, list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '\\b[a-z]{{3,}}\\b')), lambda w: NOT list_contains([{quoted(*C.STOP_WORDS)}], w)) AS w
   FROM part),
-d AS (SELECT p_partkey AS deal, p_retailprice AS revenue, w FROM t WHERE p_size <= 3 AND p_partkey % 7 <> 0),
+d AS (SELECT p_partkey AS deal, p_retailprice AS revenue, w FROM t WHERE p_partkey % 7 <> 0),
 s AS (
   SELECT t.p_partkey AS cr_number, CASE WHEN t.p_partkey % 3 = 0 THEN t.p_retailprice ELSE 0 END AS cost, d.deal, d.revenue,
     len(list_intersect(t.w, d.w))::DOUBLE / (len(t.w) + len(d.w) - len(list_intersect(t.w, d.w)))::DOUBLE AS similarity
@@ -214,7 +354,7 @@ _PLAIN = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 _SPLIT = "string_split(regexp_replace({0}, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
 
 
-@query(f"SELECT doc_id, array_to_string(list_slice({_SPLIT.format('trim(text)')}, 1, 3), ' ') AS sentences, CASE WHEN length({_PLAIN}) > 80 THEN regexp_replace(substr({_PLAIN}, 1, 79), ' [^ ]*$', '') || '…' ELSE {_PLAIN} END AS short FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_slice({_SPLIT.format('text')}, 1, 3), ' ') AS sentences, CASE WHEN length({_PLAIN}) > 80 THEN regexp_replace(substr({_PLAIN}, 1, 79), ' [^ ]*$', '') || '…' ELSE {_PLAIN} END AS short FROM documents")
 def first_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_sentences(F.col("text"), 3).alias("sentences"), T.truncate(T.clean_text(F.col("text")), 80).alias("short"))
 
@@ -274,8 +414,10 @@ def _case(key: str, table_: dict) -> str:
 
 
 _SOURCE = f"[{quoted(*C.SOURCE_PRIORITY)}][(doc_id % 7 + 1)::INT]"
+#: The order of a digest's sections, written out.
+_SECTIONS = "['news', 'sports', 'civic', 'weather', 'traffic', 'education', 'other']"
 _CLUSTERS = f"""WITH s AS (
-  SELECT doc_id AS ord, {_SOURCE} AS source, text, {_case(_SOURCE, C.SOURCE_PRIORITY)} AS priority, [{quoted(*C.SECTION_ORDER)}][(doc_id % 5 + 1)::INT] AS topic, (doc_id * 13 % 96)::DOUBLE AS age FROM documents),
+  SELECT doc_id AS ord, {_SOURCE} AS source, text, {_case(_SOURCE, C.SOURCE_PRIORITY)} AS priority, {_SECTIONS}[(doc_id % 5 + 1)::INT] AS topic, (doc_id * 13 % 96)::DOUBLE AS age FROM documents),
 g AS (
   SELECT min(ord) AS seed, count(DISTINCT source)::INT AS sources, count(*)::BIGINT AS members, first(ord ORDER BY priority DESC, ord) AS ord, array_to_string(list(source ORDER BY ord), ',') AS all_sources FROM s GROUP BY text)
 """
@@ -293,7 +435,7 @@ def fuzzy_clusters(spark, d):
     return cluster.clustered(stories(spark, d)).select("ord", "seed")
 
 
-_SAID = "lower(substr(string_split(text, chr(10))[1], 1, 200) || ' ' || substr(text, 1, 300) || ' ')"
+_SAID = "lower(string_split(text, chr(10))[1] || ' ' || text || ' ')"
 _BOOST = "least(greatest(" + ", ".join(f"CASE WHEN {any_sql(_SAID, w)} THEN {b}::DOUBLE ELSE 0 END" for _, w, b in C.TEAMS) + ") / 0.15::DOUBLE, 1::DOUBLE)"
 _SCORED = f"""{_CLUSTERS}, r AS (
   SELECT s.*, g.sources FROM g JOIN s ON s.ord = g.ord),
@@ -305,12 +447,8 @@ x AS (
 """
 
 
-def _scored(spark, d, whole: bool = False):
-    """Scored clusters; unless ``whole``, of the prefixes that the SQL reads."""
-    s = stories(spark, d)
-    if not whole:
-        s = s.withColumns({"title": F.substring("title", 1, 200), "snippet": F.substring("snippet", 1, 300)})
-    return news.scored(cluster.summarised(cluster.clustered(s, fuzzy=False)), F.lit(NOW))
+def _scored(spark, d):
+    return news.scored(cluster.summarised(cluster.clustered(stories(spark, d), fuzzy=False)), F.lit(NOW))
 
 
 @query(f"{_SCORED} SELECT ord, topic, score FROM x ORDER BY score DESC, ord LIMIT 10")
@@ -318,7 +456,7 @@ def rank_topn(spark, d):
     return news.top(_scored(spark, d), 10).select("ord", "topic", "score")
 
 
-@query(f"{_SCORED} SELECT ord, topic, list_position([{quoted(*C.SECTION_ORDER)}], topic)::INT AS section, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ord)::INT AS rank FROM x QUALIFY rank <= 5")
+@query(f"{_SCORED} SELECT ord, topic, list_position({_SECTIONS}, topic)::INT AS section, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ord)::INT AS rank FROM x QUALIFY rank <= 5")
 def grouped_sections(spark, d):
     return news.sections(_scored(spark, d)).where("rank <= 5").select("ord", "topic", "section", "rank")
 
@@ -326,7 +464,7 @@ def grouped_sections(spark, d):
 @query()
 def news_digest(spark, d):
     """The digest's text, assembled from the ten best stories."""
-    return news.digest(news.top(_scored(spark, d, whole=True), 10), NOW)
+    return news.digest(news.top(_scored(spark, d), 10), NOW)
 
 
 # --- mail ----------------------------------------------------------------------------
@@ -337,15 +475,15 @@ _MAIL_WORDS = {"sales": ("tion ", "eau "), "newsletter": ("lich",), "response":
 def mails(spark, d):
     c = table(spark, d, "conversations")
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"), F.substring("text", 1, 40).alias("subject"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"), F.split("text", "\n")[0].alias("subject"),
         F.col("role").alias("sender"), F.when(F.col("role") == "system", "no-reply@mailchimp.com").when(F.col("conv_id") % 5 == 0, F.concat(F.lit("news@"), F.lit("substack.com"))).otherwise(F.concat("role", F.lit("@example.com"))).alias("sender_email"),
-        F.lit("me@example.com").alias("to"), F.lit(None).cast("timestamp").alias("date"), F.substring("text", 1, 60).alias("snippet"), F.substring("text", 1, 5000).alias("body_plain"),
+        F.lit("me@example.com").alias("to"), F.lit(None).cast("timestamp").alias("date"), F.col("text").alias("snippet"), F.substring("text", 1, 5000).alias("body_plain"),
         F.when(F.col("conv_id") % 7 == 0, F.create_map(F.lit("list-unsubscribe"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")).alias("headers"), (F.col("turn") > 0).alias("is_reply"),
     )
 
 
 _MAIL = f"""WITH m AS (
-  SELECT conv_id * 100 + turn AS ord, role, conv_id, turn, lower(substr(text, 1, 40) || ' ' || substr(text, 1, 2000) || ' ' || substr(text, 1, 60)) AS t, lower(substr(text, 1, 40) || ' ' || substr(text, 1, 1000)) AS u, length(substr(text, 1, 5000)) AS n FROM conversations),
+  SELECT conv_id * 100 + turn AS ord, role, conv_id, turn, lower(string_split(text, chr(10))[1] || ' ' || substr(text, 1, 2000) || ' ' || text) AS t, lower(string_split(text, chr(10))[1] || ' ' || substr(text, 1, 1000)) AS u, length(substr(text, 1, 5000)) AS n FROM conversations),
 k AS (
   SELECT *, {hits_sql('t', _MAIL_WORDS['sales'])} AS sales, {hits_sql('t', _MAIL_WORDS['newsletter'])} AS news, {hits_sql('t', _MAIL_WORDS['response'])} AS resp FROM m),
 s AS (
@@ -397,7 +535,7 @@ def stream_dedupe(spark, d):
     """Events as a stream: one row per user and day window, by state under a watermark."""
     schema = table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return stream.drained(stream.deduplicated(rows.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts"), "quern_stream_dedupe").select("user_id", "ts")
+    return stream.drained(stream.deduplicated(rows.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts"), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").select("user_id", "ts")
 
 
 # --- literals ------------------------------------------------------------------------
@@ -435,12 +573,37 @@ def date_parse(spark, d):
     return spark.sql(f"SELECT * FROM {_values([(v,) for v in _DATES])} t(x)").select("x", T.parse_date(F.col("x")).alias("value"))
 
 
-_GOALS = ("<strong>MBE Goal:</strong> 15.5%", "<strong>MBE Goal:</strong> 3% <strong>MBE Goal:</strong> 4 %", "none", "<strong>WBE Goal:</strong> 9%")
+#: Page text, and the percentage to find, written out.
+_GOALS = (
+    ("<strong>MBE Goal:</strong> 15.5%", 15.5), ("<strong>MBE Goal:</strong> up to 15.5 %", 15.5), ("<strong>MBE Goal:</strong> 3% <strong>MBE Goal:</strong> 4 %", 4.0), ("none", None), ("<strong>WBE Goal:</strong> 9%", None),
+    ("<strong>Total MBE Goal:</strong> 9%", None), ("<b>MBE Goal:</b> 9%", None), ("<strong class='x'> mbe goal: </strong><span>about 7%</span>", 7.0), ("<strong>MBE Goal:</strong> <span>7%</span>", None), ("<strong><em>MBE</em> Goal</strong>12% or 13%", 12.0),
+    ("<strong>MBE Goal:</strong><strong>WBE Goal:</strong> 5%", None), ("<strong>MBE Goal:</strong> 8% <strong>MBE Goal:</strong> none", 8.0),
+)
 
 
-@query(f"SELECT x, try_cast(list_extract(regexp_extract_all(x, '(?is)<strong>[^<]*mbe\\s*goal[^<]*</strong>\\s*(?:<[^>]*>)?\\s*([0-9.]+)\\s*%', 1), -1) AS DOUBLE) AS mbe FROM {_values([(v,) for v in _GOALS])} t(x)")
+@query(f"SELECT x, mbe::DOUBLE AS mbe FROM {_values(_GOALS)} t(x, mbe)")
 def goal_extract(spark, d):
-    return spark.sql(f"SELECT * FROM {_values([(v,) for v in _GOALS])} t(x)").select("x", T.goal(F.col("x"), "mbe").alias("mbe"))
+    return spark.sql(f"SELECT x FROM {_values(_GOALS)} t(x, mbe)").select("x", T.goal(F.col("x"), "mbe").alias("mbe"))
+
+
+#: Text, and its first two sentences, written out.
+_SENTENCES = (("One. Two! Three?", "One. Two!"), ("One.Two. Three", "One.Two. Three"), ("One.  \n Two. ", "One. Two."), ("One. ", "One. "), (" One. Two. Three.", " One. Two."), ("", ""), ("...  x? y", "... x?"))
+
+
+@query(f"SELECT x, want AS sentences FROM {_values(_SENTENCES)} t(x, want)")
+def sentence_cases(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in _SENTENCES], "x string").select("x", T.first_sentences(F.col("x"), 2).alias("sentences"))
+
+
+#: base64url of a body, and what is shown of it, written out.
+_BODIES = (
+    ("SGVsbG8gd29ybGQ", "Hello world"), ("PGRpdj5IaSA8Yj55b3U8L2I-PC9kaXY-PHA-QnllPC9wPg", "Hi you\nBye"), ("PHN0eWxlPmEge308L3N0eWxlPkE8YnI-QiAmYW1wOyBD", "A\nB & C"), ("w6nDqQ==", "éé"), ("", ""),
+)
+
+
+@query(f"SELECT x, shown FROM {_values(_BODIES)} t(x, shown)".replace("\n", "' || chr(10) || '"))
+def draft_bodies(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in _BODIES], "x string").select("x", F.substring(T.rendered_html(T.decoded_base64url(F.col("x"))), 1, 3000).alias("shown"))
 
 
 _SHEET = (("a", 0, "Quote 7", "", ""), ("a", 1, "Item Description", "Qty", "Unit Price"), ("a", 2, "Licenses", "3", "$10.50"), ("a", 3, "", "1", "2"), ("b", 0, "only one: price", "", ""), ("b", 1, "x", "1", "2"))
@@ -469,3 +632,89 @@ def topic_cascade(spark, d):
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR")
 def window_filter(spark, d):
     return table(spark, d, "events").where(news.in_window(F.col("ts"), F.lit(_EVENTS_NOW), 24)).select("event_id")
+
+
+_PDF = (("a", 0, "Part No.", "Item Description", "Qty (ea)", "Ext. Price"), ("a", 1, "7", "Licenses", "3", "$10.50"), ("a", 2, "8", "", "1", "2"), ("b", 0, "x", "y", "z", "w"), ("b", 1, "1", "2", "3", "4"), ("c", 0, "no", "header", "here", ""), ("c", 1, "Description", "Qty", "Price", ""), ("d", 0, "DESC:", "", "", ""), ("d", 1, "Only this", "", "", ""))
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 'Licenses', '7', 3::DOUBLE, 10.5::DOUBLE), ('d', 1, 'Only this', '', NULL, NULL)) t(file, row_idx, description, part_number, quantity, extended_price)")
+def pdf_items(spark, d):
+    """Tables of PDFs: the first row is the header, of letters and digits only, and must name a description."""
+    rows = spark.sql(f"SELECT file, row_idx, array(c0, c1, c2, c3) AS cells FROM {_values(_PDF)} t(file, row_idx, c0, c1, c2, c3)")
+    out = files.line_items(rows, C.TABLE_ALIASES, first_rows=1, normal=files.table_header, least=1, needs="description")
+    return out.select("file", "row_idx", "description", "part_number", "quantity", "extended_price")
+
+
+@query("SELECT page_id, dense_rank() OVER (ORDER BY src, url)::BIGINT - 1 AS file_no, item::BIGINT AS item FROM (SELECT page_id, url, page_id % 2 AS src, page_id AS item FROM pages)")
+def fan_in_order(spark, d):
+    """Two sources one after the other, files by path, items in their order."""
+    p = table(spark, d, "pages").select("page_id", F.col("url").alias("file"), F.col("page_id").cast("long").alias("item_ord"))
+    out = files.fan_in([p.where(F.col("page_id") % 2 == i) for i in (0, 1)])
+    return out.select("page_id", F.shiftright("ord", 24).alias("file_no"), (F.col("ord").bitwiseAND(F.lit((1 << 24) - 1)) - 1).alias("item"))
+
+
+_WORDS = {
+    "sales": "['unsubscribe', 'limited time', '% off', 'free trial', 'act now', 'exclusive offer', 'don''t miss', 'last chance', 'flash sale', 'promo code', 'coupon', 'discount', 'webinar', 'join us for', 'register now']",
+    "newsletter": "['newsletter', 'digest', 'weekly update', 'monthly update', 'roundup', 'recap', 'this week in', 'top stories']",
+    "response": "['?', 'please', 'could you', 'can you', 'would you', 'let me know', 'get back to', 'your thoughts', 'attached', 'invoice', 'proposal', 'quote', 'meeting', 'schedule', 'call', 'urgent', 'asap', 'priority']",
+}
+_URGENT = "['urgent', 'asap', 'time-sensitive', 'immediate', 'critical', 'emergency']"
+#: Words of mails, which conversations get by their number, so that every vocabulary is met.
+_SPICE = ("unsubscribe", "act now", "Flash Sale coupon", "weekly update", "Top Stories recap", "could you call?", "see attached invoice", "ASAP", "time-sensitive", "nothing", "please get back to me", "digest of the webinar", "CRITICAL: quote")
+_FROM = ("ann@example.com", "no-reply@shop.example", "news@substack.com", "newsletter-noreply@x.example", "Bounce@mailgun.org", "bob@sub.mailchimp.com")
+
+
+def _spiced(spark, d):
+    c = table(spark, d, "conversations")
+    at = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i + 1).cast("int"))
+    n = F.col("conv_id") + F.col("turn")
+    return c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.col("role").alias("sender"), at(_FROM, n % 6).alias("sender_email"), at(_SPICE, n % 13).alias("subject"), F.lit("me@example.com").alias("to"), F.lit(None).cast("timestamp").alias("date"),
+        at(_SPICE, (n + 4) % 11).alias("snippet"), F.substring("text", 1, 5000).alias("body_plain"), F.create_map().cast("map<string,string>").alias("headers"), (F.col("turn") > 0).alias("is_reply"),
+    )
+
+
+_LOCAL = "['ann', 'no-reply', 'news', 'newsletter-noreply', 'bounce', 'bob'][(n % 6 + 1)::INT]"
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id * 100 + turn AS ord, conv_id + turn AS n, turn, text FROM conversations),
+p AS (
+  SELECT *, lower([{quoted(*_SPICE)}][(n % 13 + 1)::INT]) AS subject, lower([{quoted(*_SPICE)}][((n + 4) % 11 + 1)::INT]) AS snippet, n % 6 IN (2, 4) AS bulk, n % 6 IN (1, 3, 4) AS noreply FROM m),
+t AS (SELECT *, subject || ' ' || lower(substr(text, 1, 2000)) || ' ' || snippet AS x, subject || ' ' || lower(substr(text, 1, 1000)) AS u FROM p),
+h AS (
+  SELECT *, {", ".join(f"len(list_filter({v}, lambda w: contains(x, w))) AS {k}" for k, v in _WORDS.items())}, len(list_filter({_URGENT}, lambda w: contains(u, w))) > 0 AS urgent FROM t),
+s AS (
+  SELECT *, (CASE WHEN bulk THEN -0.6::DOUBLE ELSE 0::DOUBLE END) + (CASE WHEN noreply THEN -0.4::DOUBLE ELSE 0::DOUBLE END) + 0::DOUBLE + least(sales, 4) * -0.15::DOUBLE + (CASE WHEN newsletter > 0 THEN -0.3::DOUBLE ELSE 0::DOUBLE END)
+    + least(response, 5) * 0.1::DOUBLE + (CASE WHEN turn > 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END) + (CASE WHEN length(substr(text, 1, 5000)) BETWEEN 1 AND 1999 THEN 0.1::DOUBLE ELSE 0::DOUBLE END) + 0.15::DOUBLE AS score FROM h)
+SELECT ord, round(score, 6) AS score, CASE WHEN score >= 0 THEN 'needs_response' WHEN (newsletter > 0 OR n % 6 = 3) AND sales = 0 THEN 'newsletter' WHEN sales > 0 THEN 'sales' WHEN noreply OR bulk THEN 'automated' ELSE 'informational' END AS category,
+  CASE WHEN urgent THEN 'HIGH' WHEN score >= 0.4::DOUBLE THEN 'HIGH' WHEN score >= 0.1::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM s"""
+)
+def mail_vocabularies(spark, d):
+    """Mails by the fixed vocabularies, which the SQL writes out."""
+    return inbox.classified(_spiced(spark, d), "me@example.com").select("ord", F.round("score", 6).alias("score"), "category", "priority")
+
+
+@query("SELECT count(DISTINCT user_id)::BIGINT AS processed_count, count(DISTINCT user_id) FILTER (user_id % 3 = 0)::BIGINT AS draft_count, max(ts) AS last_check FROM events")
+def state_counts(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("processed_at"))
+    drafts = e.where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("msg_id"))
+    return inbox.state_counts(e.withColumn("msg_id", F.col("user_id").cast("string")), drafts)
+
+
+@query(f"{_SCORED} SELECT string_split(text, chr(10))[1] AS headline, ['https://x.example/' || sha256(text)] AS source_urls, x.topic, NULL::VARCHAR AS subtopic, score, CASE WHEN s.age < 1 THEN '0m ago' WHEN s.age < 24 THEN s.age::INT || 'h ago' ELSE (s.age / 24)::INT - CASE WHEN (s.age / 24)::INT > s.age / 24 THEN 1 ELSE 0 END || 'd ago' END AS age, g.sources AS cross_sources FROM x JOIN s ON s.ord = x.ord JOIN g ON g.ord = x.ord ORDER BY score DESC, x.ord LIMIT 10")
+def compact_payload(spark, d):
+    return news.compact(news.top(_scored(spark, d), 10), NOW).drop("summary")
+
+
+@query("SELECT min(event_id) AS id FROM events WHERE event_id::VARCHAR = '77'")
+def deal_by_key(spark, d):
+    deals = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("Deal ["), F.col("event_id").cast("string"), F.lit("] x")).alias("name"))
+    return files.deal_of(deals, "77").select("id")
+
+
+@query("SELECT l_partkey, max(l_orderkey) AS l_orderkey, procurement_type, try_cast(regexp_replace('$' || l_partkey || '.50', '[^0-9.]', '', 'g') AS DOUBLE) AS value, date_trunc('day', max(l_shipdate))::DATE AS day FROM lineitem, (SELECT 'general' AS procurement_type) GROUP BY l_partkey, procurement_type")
+def typed_columns(spark, d):
+    """Types, numbers and dates from text, over a whole table."""
+    rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_orderkey").alias("l_orderkey"), F.max("l_shipdate").alias("s"))
+    return rows.select("l_partkey", "l_orderkey", procure.procurement_type(F.lit("General"))["procurement_type"].alias("procurement_type"), T.safe_float(F.concat(F.lit("$"), F.col("l_partkey").cast("string"), F.lit(".50"))).alias("value"), T.parse_date(F.date_format("s", "M/d/yyyy")).alias("day"))

@@ -11,17 +11,20 @@ import csv
 import io
 import re
 import zipfile
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
-from functools import reduce
+from datetime import datetime
+from functools import partial, reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import config as C
 from quern.functions import text as T
+from quern.operators.order import numbered
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -53,14 +56,14 @@ class Node:
         return set((self.attrs.get("class") or "").split())
 
     def find(self, selector: str) -> list[Node]:
-        """Descendants that fit ``tag.class.class[attr]``, comma-separated alternatives."""
+        """Descendants that fit ``tag.class.class[attr]`` or ``[attr='value']``, comma-separated alternatives."""
         out = []
         for n in self.all():
             if n is self:
                 continue
             for one in selector.split(","):
-                m = re.fullmatch(r"\s*([\w-]*)((?:\.[\w-]+)*)(?:\[([\w-]+)\])?\s*", one)
-                if m and (not m[1] or n.tag == m[1]) and set(m[2].split(".")[1:]) <= n.classes() and (not m[3] or m[3] in n.attrs):
+                m = re.fullmatch(r"\s*([\w-]*)((?:\.[\w-]+)*)(?:\[([\w-]+)(?:='([^']*)')?\])?\s*", one)
+                if m and (not m[1] or n.tag == m[1]) and set(m[2].split(".")[1:]) <= n.classes() and (not m[3] or (m[3] in n.attrs and m[4] in (None, n.attrs[m[3]]))):
                     out.append(n)
                     break
         return out
@@ -123,7 +126,7 @@ def _columns(schema: str) -> list[str]:
     return [*out, schema[start:]]
 
 
-STORY = "title string, url string, published string, snippet string, content string, author string, tags array<string>"
+STORY = "title string, url string, published array<string>, snippet string, content string, author string, tags array<string>"
 
 
 def _feed(file: str, content: bytes) -> list[dict]:
@@ -142,21 +145,29 @@ def _feed(file: str, content: bytes) -> list[dict]:
             continue
         link = text("link") or next((k.get("href") for k in kids.get("link", []) if k.get("href")), "")
         tags = [t for t in (k.get("term") or (k.text or "").strip() for k in kids.get("category", [])) if t]
-        out.append({"title": title, "url": link, "published": text("pubDate", "published", "updated", "date"), "snippet": text("description", "summary"), "content": text("encoded", "content"), "author": text("author", "creator"), "tags": tags})
+        out.append({"title": title, "url": link, "published": [t for t in map(text, ("pubDate", "published", "updated", "date")) if t], "snippet": text("description", "summary"), "content": text("encoded", "content"), "author": text("author", "creator"), "tags": tags})
     return out
 
 
+def _first_date(texts: Column) -> Column:
+    """The first of several date texts that can be parsed [A4]."""
+    return F.get(F.filter(F.transform(texts, T.parse_timestamp), lambda x: x.isNotNull()), 0)
+
+
 def _finished(raw: DataFrame, source: str, section: str | None, extra_tags: list[str]) -> DataFrame:
     clean = lambda c: F.nullif(T.clean_text(T.strip_html(F.col(c))), F.lit(""))
-    return raw.where("error IS NULL").select(
-        F.lit(source).alias("source"), T.clean_text(F.col("title")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), T.parse_timestamp(F.col("published")).alias("published_at"),
+    return raw.select(
+        F.lit(source).alias("source"), T.clean_text(F.col("title")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), _first_date(F.col("published")).alias("published_at"),
         "author", F.lit(section).cast("string").alias("section"), clean("snippet").alias("snippet"), clean("content").alias("content"),
-        F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in extra_tags]).cast("array<string>")).alias("tags"), "file", "item_ord",
+        F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in extra_tags]).cast("array<string>")).alias("tags"), "file", "item_ord", "error",
     )
 
 
 def feed(spark: SparkSession, path: str, source: str, section: str | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
-    """RSS or Atom files as raw stories [A3-A7]; ``tags`` are appended (``official``)."""
+    """RSS or Atom files as raw stories [A3-A7]; ``tags`` are appended (``official``).
+
+    A file that can't be read is one row with ``error`` and without a title, for the run's report.
+    """
     return _finished(_scan(spark, path, _feed, STORY), source, section, list(tags))
 
 
@@ -177,7 +188,7 @@ def listing(spark: SparkSession, path: str, source: str, host: str, cards: str,
             times = card.find("time")
             when = (times[0].attrs.get("datetime") or times[0].text()) if times else None
             notes = card.find(snippet) if snippet else []
-            out.append({"title": title, "url": host + href if host and not href.startswith("http") else href, "published": when, "snippet": notes[0].text() if notes else None, "content": None, "author": None, "tags": []})
+            out.append({"title": title, "url": host + href if host and not href.startswith("http") else href, "published": [when] if when else [], "snippet": notes[0].text() if notes else None, "content": None, "author": None, "tags": []})
         return out
 
     return _finished(_scan(spark, path, parse, STORY), source, section, list(tags))
@@ -185,22 +196,45 @@ def listing(spark: SparkSession, path: str, source: str, host: str, cards: str,
 
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """The fallback's rows if the primary scan has none [A10]."""
-    none = primary.limit(1).agg((F.count("*") == 0).alias("_none"))
+    none = primary.where("error IS NULL").limit(1).agg((F.count("*") == 0).alias("_none"))
     return primary.unionByName(fallback.join(F.broadcast(none)).where("_none").drop("_none"))
 
 
 def fan_in(sources: list[DataFrame]) -> DataFrame:
-    """Sources one after another, in list order, with ``ord`` [A1, A12, U1, T2]."""
-    numbered = [s.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)]
-    return reduce(lambda a, b: a.unionByName(b), numbered).withColumn("ord", F.col("source_ord").cast("long") * 10**12 + F.pmod(F.xxhash64("file"), F.lit(10**6)) * 10**6 + F.col("item_ord")).drop("source_ord")
+    """Sources one after another, in list order, with ``ord`` [A1, A12, U1, T2].
+
+    Order is that of the list, then of file paths, then of items in a file; ``ord`` is
+    unique. Files are numbered in sorted ranges, so no task sees all of them.
+    """
+    every = reduce(lambda a, b: a.unionByName(b), [s.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)])
+    places = numbered(every.select(F.col("source_ord").alias("_s"), F.col("file").alias("_f")).distinct(), F.col("_s"), F.col("_f"), name="_n")
+    ord_ = F.col("_n") * F.lit(1 << 24) + F.col("item_ord") + 1  # 16 million items in a file
+    return every.join(places, (F.col("source_ord") == F.col("_s")) & (F.col("file") == F.col("_f"))).withColumn("ord", ord_).drop("_s", "_f", "_n", "source_ord")
+
+
+def sound(rows: DataFrame) -> DataFrame:
+    """Rows of the files that could be read."""
+    return rows.where("error IS NULL").drop("error")
+
+
+def source_report(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(source, status, raw_count, error) of every source in ``names``: those without a row, too [A12].
+
+    A source failed if none of its files could be read. Spark runs all scans as one job,
+    so there's no time per source; the run's is in its own report.
+    """
+    seen = rows.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("raw_count"), F.min("error").alias("error"))
+    given = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("source"))
+    failed = (F.coalesce("raw_count", F.lit(0)) == 0) & F.col("error").isNotNull()
+    return given.join(seen, "source", "left").select("source", F.when(failed, "error").otherwise("ok").alias("status"), F.coalesce("raw_count", F.lit(0)).alias("raw_count"), "error")
 
 
 CARD = "cr_number string, title string, agency string, division string, issue_date string, due_date string, ad_end_date string, location string, category string, ad_type string, note string, detail_url string"
 LABELS = {"cr#": "cr_number", "agency": "agency", "division": "division", "issue date": "issue_date", "due date": "due_date", "ad end date": "ad_end_date", "location": "location", "category": "category", "ad type": "ad_type"}
 
 
-def rfq_cards(spark: SparkSession, path: str, host: str = "") -> DataFrame:
-    """Opportunity cards of saved listing pages [A18-A20, A22]; a folder holds the pages."""
+def rfq_cards(spark: SparkSession, path: str, host: str = "", max_pages: int = 0) -> DataFrame:
+    """Opportunity cards of saved listing pages [A18-A20]; a folder holds the pages, of which the first ``max_pages`` by path are read (0: all)."""
 
     def parse(file: str, content: bytes) -> list[dict]:
         out = []
@@ -225,21 +259,78 @@ def rfq_cards(spark: SparkSession, path: str, host: str = "") -> DataFrame:
         return out
 
     rows = _scan(spark, path, parse, CARD).where("error IS NULL")
+    if max_pages:
+        rows = rows.where(F.col("file").isin([r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path").limit(max_pages).collect()]))  # max_pages rows
     return rows.withColumns({c: T.parse_date(F.col(c)) for c in ("issue_date", "due_date", "ad_end_date")})
 
 
-def rfq_details(spark: SparkSession, path: str, marker: str = "Download") -> DataFrame:
-    """file, raw_text (up to 50,000), attachment URLs (distinct, first kept) and goals [A21, S14, U4]."""
+ATTACHMENTS = "array<struct<url:string,filename:string>>"
+#: What marks an attachment's address (fixed values).
+MARKERS = ("Step6Download", "GeneratePdf")
+
+
+def rfq_details(spark: SparkSession, path: str, markers: tuple[str, ...] = MARKERS, host: str = "") -> DataFrame:
+    """cr_number (from ``detail_<key>.html``), raw_text (up to 50,000), attachments (distinct addresses, first kept), goals [A21, S14, U4]."""
 
     def parse(file: str, content: bytes) -> list[dict]:
         html = content.decode(errors="replace")
         page = parse_html(html)
-        return [{"raw_text": page.text()[:50000], "attachments": list(dict.fromkeys(a.attrs["href"] for a in page.find("a[href]") if marker in a.attrs["href"])), "html": html}]
-
-    rows = _scan(spark, path, parse, "raw_text string, attachments array<string>, html string").where("error IS NULL")
+        found: dict[str, str] = {}
+        for a in page.find("a[href]"):
+            href = a.attrs["href"]
+            if any(m in href for m in markers):
+                url = href if href.startswith("http") else host + href
+                found.setdefault(url, a.attrs.get("download") or href.split("/")[-1].split("?")[0] or "attachment")
+        return [{"raw_text": page.text()[:50000], "attachments": [{"url": u, "filename": f} for u, f in found.items()], "html": html}]
+
+    rows = _scan(spark, path, parse, f"raw_text string, attachments {ATTACHMENTS}, html string").where("error IS NULL")
+    rows = rows.withColumn("cr_number", F.regexp_extract("file", "(?:detail_)?([^/]*)\\.[^./]*$", 1))
     return rows.withColumns({f"{g}_goal": T.goal(F.col("html"), g) for g in ("sdvob", "mbe", "wbe")}).drop("html")
 
 
+def assembled(cards: DataFrame, details: DataFrame, as_of: datetime, site: str = "nyscr") -> DataFrame:
+    """Requests from listing cards and detail pages [A22]: every card once, with its detail's text, attachments and goals if there is one.
+
+    Keyed by cr_number; a key's first card, by file and place, wins, and a page without a
+    card is left out.
+    """
+    first = cards.groupBy("cr_number").agg(F.min_by(F.struct(*[c for c in cards.columns if c != "cr_number"]), F.struct("file", "item_ord")).alias("c"))
+    one = details.groupBy("cr_number").agg(F.min_by(F.struct("raw_text", "attachments", "sdvob_goal", "mbe_goal", "wbe_goal"), "file").alias("d"))
+    text = lambda c: F.coalesce(F.col(f"c.{c}"), F.lit("")).alias(c)
+    return first.join(one, "cr_number", "left").select(
+        "cr_number", *[text(c) for c in ("title", "agency", "category", "division", "location", "ad_type", "note", "detail_url")], "c.issue_date", "c.due_date", "c.ad_end_date",
+        F.lit(site).alias("source_site"), F.coalesce("d.raw_text", F.lit("")).alias("raw_text"), F.coalesce("d.attachments", F.array().cast(ATTACHMENTS)).alias("attachments"),
+        "d.sdvob_goal", "d.mbe_goal", "d.wbe_goal", F.lit(as_of).cast("timestamp").alias("created_at"),
+    )
+
+
+ITEM = "struct<description:string,quantity:double,unit:string,part_number:string,vendor:string,unit_price:double,extended_price:double,notes:string>"
+
+
+def with_attachments(rfqs: DataFrame, pages: DataFrame, tables: DataFrame, sheet_rows: DataFrame) -> DataFrame:
+    """``rfqs`` (cr_number, raw_text, attachments) with ``line_items``, and PDF text after their own [A26, A27].
+
+    Attachments are routed by the ending of their names. pages: (filename, page, text) and
+    tables: (filename, table_idx, row_idx, cells) of PDFs, extracted before; sheet_rows:
+    (file, row_idx, cells) of sheets, by the last part of their path. Texts of files come
+    in the order of attachments, pages under one another; so do items.
+    """
+    listed = rfqs.select("cr_number", F.posexplode("attachments").alias("at", "a")).select("cr_number", "at", F.col("a.filename").alias("filename"), F.lower("a.filename").alias("low"))
+    pdf, sheet = F.col("low").endswith(".pdf"), F.col("low").rlike("\\.(xlsx|xls|csv)$")
+    text = pages.groupBy("filename").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
+    texts = listed.where(pdf).join(text, "filename").groupBy("cr_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n\n").alias("more"))
+    of_tables = line_items(tables.withColumn("file", F.concat_ws("\x01", "filename", F.col("table_idx").cast("string"))), C.TABLE_ALIASES, first_rows=1, normal=table_header, least=1, needs="description")
+    of_tables = of_tables.withColumns({"filename": F.split("file", "\x01")[0], "part": F.split("file", "\x01")[1].cast("int")})
+    of_sheets = line_items(sheet_rows).withColumns({"filename": F.regexp_extract("file", "([^/]*)$", 1), "part": F.lit(0)})
+    item = F.struct("at", "part", "row_idx", *C.SHEET_ALIASES).alias("x")
+    found = listed.where(pdf).join(of_tables, "filename").select("cr_number", item).unionByName(listed.where(sheet).join(of_sheets, "filename").select("cr_number", item))
+    fields = ("description", "quantity", "unit", "part_number", "vendor", "unit_price", "extended_price")
+    items = found.groupBy("cr_number").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(*[x[f].alias(f) for f in fields], F.lit("").alias("notes"))).alias("line_items"))
+    out = rfqs.join(texts, "cr_number", "left").join(items, "cr_number", "left")
+    raw = F.when(F.col("more").isNotNull(), F.concat(F.coalesce("raw_text", F.lit("")), F.lit("\n\n--- ATTACHMENTS ---\n\n"), "more")).otherwise(F.col("raw_text"))
+    return out.withColumns({"raw_text": raw, "line_items": F.coalesce("line_items", F.array().cast(f"array<{ITEM}>"))}).drop("more")
+
+
 def contacts(spark: SparkSession, path: str) -> DataFrame:
     """The contact list [A24]: header row, optional byte-order mark, stripped cells."""
     names = ["distributor_name", "rep_name", "rep_email", "vendor", "product_line", "notes"]
@@ -273,18 +364,29 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("error IS NULL").select("file", F.col("item_ord").alias("row_idx"), F.transform("cells", lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
 
 
-def line_items(rows: DataFrame, aliases: dict[str, tuple[str, ...]] = C.SHEET_ALIASES, first_rows: int = 15) -> DataFrame:
+def sheet_header(x: Column) -> Column:
+    return F.lower(F.trim(x))
+
+
+def table_header(x: Column) -> Column:
+    """A header cell of a PDF's table: its lower-case letters and digits [S12]."""
+    return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+
+
+def line_items(rows: DataFrame, aliases: dict[str, tuple[str, ...]] = C.SHEET_ALIASES, first_rows: int = 15, normal: Callable = sheet_header, least: int = 2, needs: str | None = None) -> DataFrame:
     """Line items of sheets whose header is among the first rows [S9-S13, T16-T18].
 
-    The header is the first row with two cells or more that contain an alias; a role's
-    column is its leftmost such cell. Headers, one row a file, join back by file.
+    The header is the first row with ``least`` cells or more that contain an alias, and
+    one for the role ``needs`` if that is given; a role's column is its leftmost such
+    cell. Headers, one row a file, join back by file.
     """
-    normal = lambda x: F.lower(F.trim(x))
     holds = lambda x, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda a: F.contains(x, a))
     every = sorted({w for ws in aliases.values() for w in ws})
-    cells = rows.withColumn("head", F.transform("cells", normal))
-    hits = F.size(F.filter("head", lambda x: holds(x, every)))
-    header = cells.where((F.col("row_idx") < first_rows) & (hits >= 2)).groupBy("file").agg(F.min_by("head", "row_idx").alias("head"), F.min("row_idx").alias("at"))
+    cells = rows.withColumn("head", F.transform("cells", lambda x: normal(F.coalesce(x, F.lit("")))))
+    hits = F.size(F.filter("head", lambda x: holds(x, every))) >= least
+    if needs:
+        hits = hits & F.exists("head", lambda x: holds(x, aliases[needs]))
+    header = cells.where((F.col("row_idx") < first_rows) & hits).groupBy("file").agg(F.min_by("head", "row_idx").alias("head"), F.min("row_idx").alias("at"))
     spot = lambda words: F.array_min(F.filter(F.transform("head", lambda x, i: F.when(holds(x, words), i)), lambda i: i.isNotNull()))
     roles = header.select("file", "at", *[spot(w).alias(f"_{r}") for r, w in aliases.items()])
     j = rows.join(roles, "file").where("row_idx > at")
@@ -298,3 +400,56 @@ def won_deals(deals: DataFrame, tag: str | None = None, n: int = 300) -> DataFra
     rows = deals.where("is_won")
     rows = rows if tag is None else rows.where(F.exists("tags", lambda t: F.lower(t).contains(tag.lower())))
     return rows.orderBy(F.desc("date_closed"), "name").limit(n)
+
+
+def deal_of(deals: DataFrame, cr_number: str) -> DataFrame:
+    """The first deal, by id, whose name holds the key in brackets, or no row [A29]."""
+    return deals.where(F.contains(F.lower("name"), F.lit(f"[{cr_number}]".lower()))).orderBy("id").limit(1)
+
+
+class Adapter(ABC):
+    """A source of raw stories or of requests: a name and a scan [A2, A23]."""
+
+    name: str
+
+    @abstractmethod
+    def scan(self, spark: SparkSession) -> DataFrame:
+        """Rows with ``source``, ``file``, ``item_ord`` and ``error``."""
+
+
+class Scan(Adapter):
+    """An adapter made of a function, such as a partial of ``feed`` or ``listing``."""
+
+    def __init__(self, name: str, read: Callable[[SparkSession], DataFrame]):
+        self.name, self._read = name, read
+
+    def scan(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark)
+
+
+#: Card selectors, hosts and sections of saved HTML listings (fixed values), and the sources in their order [A1].
+SOURCES = ("wgrz", "spectrum_buffalo", "city_of_buffalo", "ub", "wkbw", "wgr550", "wivb")
+CARDS = {"wkbw": "article,.story-card,.card-content", "wgr550": "article,.content-card,[data-testid='content-card'],.topic-card", "wivb": "article,.article-list__article"}
+
+
+def registry(root: str, cards: dict[str, str] | None = None) -> list[Adapter]:
+    """The adapters in their fixed order, reading saved files under ``root``/<source> [A1, A6-A10].
+
+    Two sources are HTML listings, one is a feed with a listing (``root``/<source>_html) to
+    fall back on, one is tagged official; the others are feeds.
+    """
+    select = CARDS | (cards or {})
+    page = lambda n, **k: partial(listing, path=f"{root}/{n}", source=n, cards=select[n], **k)
+    read: dict[str, Callable[[SparkSession], DataFrame]] = {n: partial(feed, path=f"{root}/{n}", source=n) for n in SOURCES}
+    read["city_of_buffalo"] = partial(feed, path=f"{root}/city_of_buffalo", source="city_of_buffalo", tags=("official",))
+    read["wkbw"] = page("wkbw", host="https://www.wkbw.com")
+    read["wgr550"] = page("wgr550", host="https://www.audacy.com", section="sports", tags=("sports",), snippet="p")
+    primary, other = read["wivb"], partial(listing, path=f"{root}/wivb_html", source="wivb", host="", cards=select["wivb"], section="news", snippet="")
+    read["wivb"] = lambda spark: with_fallback(primary(spark), other(spark))
+    return [Scan(n, read[n]) for n in SOURCES]
+
+
+def fetched(spark: SparkSession, adapters: list[Adapter]) -> dict[str, DataFrame]:
+    """``rows`` of all adapters in order, with ``ord``, and their ``report`` [A1, A12]."""
+    every = fan_in([a.scan(spark) for a in adapters])
+    return {"rows": sound(every), "report": source_report(every, [a.name for a in adapters])}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_text(df: DataFrame, path: str) -> None:
@@ -17,17 +19,37 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+_POINTER = "n long, path string"
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_POINTER).json(f"{root}/pointers")
+
+
 def save_snapshot(df: DataFrame, root: str) -> str:
-    """``df`` as a new snapshot of a table; the pointer moves only once all is written.
+    """``df`` as a new snapshot of a table, which a new pointer names once all of it is written.
 
-    The snapshot may be computed from the current one: nothing is overwritten in place.
+    Pointers are numbered and only added, never replaced: a reader at any moment finds the
+    last whole snapshot, from which the new one may be computed.
     """
+    spark = df.sparkSession
     path = f"{root}/data-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    try:
+        last = _pointers(spark, root).agg({"n": "max"}).head()[0] or 0
+    except AnalysisException:  # the table's first snapshot: there's no folder of pointers yet
+        last = 0
+    spark.range(1).select(F.lit(last + 1).alias("n"), F.lit(path).alias("path")).coalesce(1).write.mode("append").json(f"{root}/pointers")
     return path
 
 
 def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The current snapshot; additive columns merge [W11]."""
-    return spark.read.option("mergeSchema", "true").parquet(spark.read.json(f"{root}/current").head()[0])
+    return spark.read.option("mergeSchema", "true").parquet(_pointers(spark, root).agg(F.max_by("path", "n")).head()[0])
+
+
+def write_run(outputs: dict[str, DataFrame], root: str) -> None:
+    """A digest's files [W6]: top_stories.json, digest.md and run_report.json, as folders of one part each."""
+    write_json(outputs["stories"], f"{root}/top_stories.json")
+    write_text(outputs["digest"], f"{root}/digest.md")
+    write_json(outputs["report"], f"{root}/run_report.json")

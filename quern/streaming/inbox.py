@@ -18,8 +18,11 @@ def windowed_counts(events: DataFrame, at: str, by: str, size: str = "1 day", la
     return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """The stream's rows after all that is there now, from an in-memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """The stream's rows after all that is there now, from files under ``path`` beside its checkpoint.
+
+    Running it again on the same path goes on where the last run ended.
+    """
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import fuzzy
-from quern.operators import cluster, graph, inbox, news, procure, reports
+from quern.operators import cluster, graph, inbox, news, procure, reports, stages
 from quern.sources import files, sinks
 
 NOW = datetime(2026, 3, 3, 12)
@@ -56,6 +56,19 @@ def test_c1_random_rows_equal_the_fold(spark):
     assert seeds(spark, rows) == fold(rows)
 
 
+def test_c1_repeated_titles_and_spans(spark):
+    """Many stories of few titles, over days, some without a time."""
+    r = random.Random(5)
+    titles = ["Snow storm closes the thruway", "Snow storm closes thruway", "storm closes the Thruway Snow", "Bills win", "Bills win big", "", "Mayor speaks at city hall"]
+    rows = [story(i, r.choice(titles), f"u{r.randint(0, 60)}" if r.random() < 0.8 else "", None if r.random() < 0.05 else NOW + timedelta(minutes=r.randint(-9000, 9000))) for i in range(120)]
+    assert seeds(spark, rows) == fold(rows)
+    by_url = {}
+    for o, _, _, _, _, u, _ in sorted(rows):
+        by_url.setdefault(u, o)
+    got = {x.ord: x.seed for x in cluster.clustered(spark.createDataFrame(rows, STORY), fuzzy=False).collect()}
+    assert got == {o: by_url[u] if u else o for o, _, _, _, _, u, _ in rows}
+
+
 def test_c1_empty_and_time_bounds(spark):
     assert seeds(spark, [story(0, "Only", "u")]) == {0: 0}
     apart = [story(0, "Mayor announces new park", "a"), story(1, "Mayor announces new park now", "b", NOW + timedelta(hours=24)), story(2, "Mayor announces new park now!", "c", NOW - timedelta(hours=48))]
@@ -88,7 +101,8 @@ def test_news_run(spark):
     text = out["digest"].head().text
     assert "## Sports" in text and "`[OFFICIAL]`" in text and "(2 sources)" in text
     assert out["headline"].head().text.startswith("Top stories: ")
-    assert {r.source: r.raw for r in out["report"].collect()}["wgrz"] == 2
+    report = out["report"].head()
+    assert {r.source: r.raw_count for r in report.source_details}["wgrz"] == 2 and (report.raw_count, report.normalized_count, report.deduped_count, report.final_count) == (4, 3, 2, 2)
 
 
 def test_w8_state(spark):
@@ -120,10 +134,14 @@ def test_f14_w1_dispositions_and_upsert(spark):
     stored = spark.createDataFrame([("5", "new")], "cr_number string, status string")
     got = {r.cr_number: r.disposition for r in procure.disposed(new, stored, date(2026, 3, 3)).collect()}
     assert got == {"1": "kept", "2": "not_competitive", "3": "due_too_soon", "4": "not_relevant"}
+    scores = {r.cr_number: r.relevance_score for r in procure.disposed(new, stored, date(2026, 3, 3)).collect()}
+    assert scores["1"] > 0.9 and scores["2"] == scores["3"] == 0.0
     batch = spark.createDataFrame([("5", "quoted"), ("6", "new")], "cr_number string, status string")
     once = procure.upserted(stored, batch)
     assert sorted(map(tuple, procure.upserted(once, batch).collect())) == sorted(map(tuple, once.collect())) == [("5", "quoted"), ("6", "new")]
-    moves = spark.createDataFrame([("5", "analyzed"), ("6", "odd")], "cr_number string, status string")
+    wide = once.withColumn("title", F.lit("t"))
+    assert {tuple(r) for r in procure.upserted(wide, batch).collect()} == {("5", "quoted", "t"), ("6", "new", "t")}  # a column the batch lacks stays
+    moves = spark.createDataFrame([("5", "analyzed"), ("5", "processed"), ("6", "odd")], "cr_number string, status string")
     assert {r.cr_number: r.status for r in procure.with_status(once, moves).collect()} == {"5": "analyzed", "6": "new"}
 
 
@@ -155,12 +173,42 @@ def test_j2_g15_quotes(spark):
     assert "- item 1" in procure.outbox(q).head().body
 
 
+def test_j2_pruning_loses_nothing(spark):
+    r = random.Random(6)
+    word = lambda: r.choice(["cisco", "dell", "switch", "lap top", "licence", "ab", "zz9", "Ünïcode", "renewal", "x"])
+    items = [(i, " ".join(word() for _ in range(r.randint(0, 5)))) for i in range(60)]
+    reps = [(i, " ".join(word() for _ in range(r.randint(0, 4))) + r.choice(["", "e", " swich"]), f"r{i % 7}@x", "R", "D") for i in range(40)]
+    got = procure.matches(spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(reps, "ord int, text string, rep_email string, rep_name string, distributor_name string")).collect()
+    want = {(i, o): fuzzy.token_set(t, c) for i, t in items for o, c, *_ in reps if t.strip() and c.strip() and fuzzy.token_set(t, c) >= 55}
+    assert {(g.item, g.ord): g.ratio for g in got} == want
+    for i in {g.item for g in got}:
+        assert [(g.ord) for g in sorted((g for g in got if g.item == i), key=lambda g: g.rank)] == [o for _, o in sorted((-v, o) for (x, o), v in want.items() if x == i)]
+
+
+def test_j3_comparables_against_all_pairs(spark):
+    r = random.Random(7)
+    words = "alpha beta gamma delta omega the new license cloud road salt".split()
+    asks = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 6))), 0.0) for i in range(50)]
+    deals = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 6))), float(r.randint(0, 3)), r.randint(0, 9)) for i in range(200)]
+    got = procure.comparables(spark.createDataFrame(asks, "cr_number int, text string, cost double"), spark.createDataFrame(deals, "deal int, text string, revenue double, ord int")).collect()
+    kept = lambda t: {w for w in t.split() if len(w) > 2 and w not in ("the", "new")}
+    for i, t, _ in asks:
+        all_ = [(-len(kept(t) & kept(d)) / len(kept(t) | kept(d)), o, k) for k, d, v, o in deals if v > 0 and kept(t) & kept(d)]
+        want = [k for s, _, k in sorted(all_) if -s > 0.1][:10]
+        assert [g.deal for g in sorted((g for g in got if g.cr_number == i), key=lambda g: g.rank)] == want
+
+
 def test_q1_to_q6_bounds(spark):
     as_of = date(2026, 3, 3)
     due = [as_of - timedelta(1), as_of, as_of + timedelta(7), as_of + timedelta(8), None]
     df = spark.createDataFrame([(i, "t", "a", d, 0.9, False, "new") for i, d in enumerate(due)], "cr_number int, title string, agency string, due_date date, relevance_score double, is_mwbe_sdvob boolean, status string")
     keys = lambda name, n=10: [r.cr_number for r in reports.report(spark, name, df, as_of, n).collect()]
     assert sorted(keys("due", 7)) == [1, 2] and keys("top") == [4, 1, 2, 3] and keys("open") == [1, 2, 3] and keys("detail", 2) == [2]
+    assert [r.status for r in procure.reset(df.withColumn("cr_number", F.col("cr_number").cast("string")), ["2"], "quoted").orderBy("cr_number").collect()] == ["new", "new", "quoted", "new", "new"]
+    with pytest.raises(ValueError):
+        procure.reset(df, ["2"], "proposed")
+    with pytest.raises(ValueError):
+        procure.with_field(df, "2", "title", "x")
     text = procure.alert(df.withColumn("items", F.lit(0)).withColumn("cr_number", F.col("cr_number").cast("string")), as_of).head().text
     assert "TBD" in text and procure.alert(df.withColumn("items", F.lit(0)).limit(0), as_of).head().text == "HEARTBEAT_OK"
 
@@ -171,22 +219,32 @@ def test_readers(spark, tmp_path):
     (tmp_path / "feed/b.xml").write_text("not xml")
     rss = files.feed(spark, str(tmp_path / "feed"), "city", tags=("official",))
     row = rss.collect()
+    assert sorted(r.error is None for r in row) == [False, True]
+    row = files.sound(rss).collect()
     assert len(row) == 1 and row[0].title == "One" and row[0].snippet == "x" and row[0].tags == ["c", "official"] and row[0].published_at == NOW
     (tmp_path / "html").mkdir()
     (tmp_path / "html/l.html").write_text('<div class="card"><a href="/x"><h3>Head</h3></a><p>note</p><time datetime="2026-03-03T12:00:00Z"></time></div><div class="card">no link</div>')
     cards = files.listing(spark, str(tmp_path / "html"), "wkbw", "https://h", "div.card", "sports", ("sports",))
     got = cards.head()
     assert (got.title, got.url, got.snippet, got.section, got.published_at) == ("Head", "https://h/x", "note", "sports", NOW)
-    assert files.with_fallback(rss, cards).count() == 1 and files.with_fallback(rss.limit(0), cards).count() == 1
-    assert [r.ord for r in files.fan_in([rss, cards]).orderBy("ord").collect()][0] < 10**12
+    assert files.sound(files.with_fallback(rss, cards)).count() == 1 and files.with_fallback(rss.limit(0), cards).count() == 1
+    every = files.fan_in([cards, rss, cards])
+    got = [(r.source, r.file.rpartition("/")[2]) for r in every.orderBy("ord").collect()]
+    assert got == [("wkbw", "l.html"), ("city", "a.xml"), ("city", "b.xml"), ("wkbw", "l.html")] and every.select("ord").distinct().count() == 4
+    report = {r.source: (r.status, r.raw_count, r.error is None) for r in files.source_report(every, ["city", "wkbw", "ub"]).collect()}
+    assert report == {"city": ("ok", 1, False), "wkbw": ("ok", 2, True), "ub": ("ok", 0, True)}
+    broken = files.feed(spark, str(tmp_path / "feed/b.xml"), "city")
+    assert files.source_report(broken, ["city"]).head().status == "error"
     (tmp_path / "opp").mkdir()
     (tmp_path / "opp/p.html").write_text('<div class="opp-list-item" data-ad-id="7"><div class="bg-primary text-light" title="Full Title: Big  job">Big</div><div class="w-exact-8">Agency:</div><div>Parks</div><div class="w-exact-8">Due Date:</div><div>3/4/2026</div><a class="ad-action-link" href="/Account/Login">x</a></div>')
     r = files.rfq_cards(spark, str(tmp_path / "opp"), "https://h").head()
     assert (r.cr_number, r.title, r.agency, r.due_date, r.detail_url) == ("7", "Big job", "Parks", date(2026, 3, 4), "https://h/Ads/View?ID=7")
     (tmp_path / "det").mkdir()
-    (tmp_path / "det/7.html").write_text('<strong>MBE Goal:</strong> 15.5% <a href="/Download/1">a</a><a href="/Download/1">b</a>')
-    r = files.rfq_details(spark, str(tmp_path / "det")).head()
-    assert r.mbe_goal == 15.5 and r.wbe_goal is None and r.attachments == ["/Download/1"]
+    (tmp_path / "det/detail_7.html").write_text('<strong>MBE Goal:</strong> 15.5% <a href="/Step6Download?id=1" download="q.pdf">a</a><a href="/Step6Download?id=1">b</a><a href="/x/GeneratePdf?id=2">c</a><a href="/other">d</a>')
+    r = files.rfq_details(spark, str(tmp_path / "det"), host="https://h").head()
+    assert r.cr_number == "7" and r.mbe_goal == 15.5 and r.wbe_goal is None
+    assert [tuple(a) for a in r.attachments] == [("https://h/Step6Download?id=1", "q.pdf"), ("https://h/x/GeneratePdf?id=2", "GeneratePdf")]
+    assert files.rfq_cards(spark, str(tmp_path / "opp"), "https://h", max_pages=1).count() == 1
 
 
 def test_a25_sheets_and_contacts(spark, tmp_path):
@@ -206,3 +264,112 @@ def test_w6_snapshots(spark, tmp_path):
     sinks.save_snapshot(spark.createDataFrame([(1, "a")], "k int, v string"), root)
     sinks.save_snapshot(sinks.load_snapshot(spark, root).withColumn("w", F.lit(1)), root)
     assert sinks.load_snapshot(spark, root).head().w == 1
+    assert spark.read.json(f"{root}/pointers").count() == 2  # pointers are added, never replaced
+
+
+def test_a15_bodies_labels_and_search(spark):
+    stubs = spark.createDataFrame([(0, '{"id":"a"}'), (1, '{"id":"b"}')], "ord int, json string")
+    full = spark.createDataFrame([("a", {"Subject": "Invoice"}, ("plain text", "<p>html</p>"), "s", "INBOX", None), ("b", {}, (None, "<p>only <b>html</b></p>"), "s", None, None)], "msg_id string, headers map<string,string>, body struct<plain:string,html:string>, snippet string, labels string, parts array<struct<filename:string>>")
+    m = {r.msg_id: r for r in inbox.parsed(stubs, full).collect()}
+    assert (m["a"].body_plain, m["b"].body_plain) == ("plain text", "only html") and m["a"].labels == ["INBOX"]
+    mails = inbox.parsed(stubs, full).withColumn("labels", F.array(F.lit("INBOX"), F.lit("UNREAD")))
+    assert [r.msg_id for r in inbox.searched(mails, "invoice").collect()] == ["a"] and inbox.searched(mails, "", most=1).count() == 1
+    assert "Subject: Invoice" in inbox.shown(mails, "a").head().text and inbox.shown(mails, "zz").count() == 0
+    assert inbox.prompt(inbox.classified(mails)).count() == 2
+    drafts = spark.createDataFrame([("d", {"To": "x@y"}, "PHA-SGk8L3A-", "snip"), ("e", {}, "", "")], "draft_id string, headers map<string,string>, data string, snippet string")
+    assert inbox.draft_shown(drafts, "d").head().text.endswith("To: x@y\nSubject: (no subject)\nDate: (not set)\n\nHi") and "(empty body)" in inbox.draft_shown(drafts, "e").head().text
+    ids = spark.createDataFrame([("a",)], "msg_id string")
+    assert inbox.dismissed_with(inbox.dismissed_with(ids, "b"), "a").count() == 2
+
+
+def _requests(spark):
+    cards = spark.createDataFrame(
+        [
+            ("p1", 0, "1", "Software license renewal", "Parks", "", None, date(2026, 6, 1), None, "", "software cloud", "SDVOB Set-Aside", "", "u1"),
+            ("p1", 1, "1", "Later card", "Parks", "", None, date(2026, 6, 1), None, "", "", "General", "", "u1"),
+            ("p1", 2, "2", "Road salt", "Roads", "", None, date(2026, 6, 2), None, "", "", "General", "", "u2"),
+            ("p2", 0, "3", "Ads", "Parks", "", None, None, None, "", "", "Contractor Ads", "", "u3"),
+        ],
+        "file string, item_ord long, cr_number string, title string, agency string, division string, issue_date date, due_date date, ad_end_date date, location string, category string, ad_type string, note string, detail_url string",
+    )
+    details = spark.createDataFrame([("detail_1.html", "1", "page text", [("a/x.pdf", "x.pdf"), ("a/y.csv", "y.csv")], 6.0, None, None), ("detail_9.html", "9", "no card", [], None, None, None)], f"file string, cr_number string, raw_text string, attachments {files.ATTACHMENTS}, sdvob_goal double, mbe_goal double, wbe_goal double")
+    pages = spark.createDataFrame([("x.pdf", 2, "second"), ("x.pdf", 1, "saas azure microsoft")], "filename string, page int, text string")
+    tables = spark.createDataFrame([("x.pdf", 0, 0, ["Item Description", "Qty"]), ("x.pdf", 0, 1, ["cisco switch", "2"]), ("x.pdf", 1, 0, ["no", "header"])], "filename string, table_idx int, row_idx int, cells array<string>")
+    sheets = spark.createDataFrame([("/d/y.csv", 0, ["Description", "Unit Price"]), ("/d/y.csv", 1, ["dell laptop", "$5"])], "file string, row_idx int, cells array<string>")
+    return cards, details, pages, tables, sheets
+
+
+def test_stages_from_scan_to_proposal(spark):
+    cards, details, pages, tables, sheets = _requests(spark)
+    as_of = date(2026, 3, 3)
+    new = files.assembled(cards, details, NOW)
+    got = {r.cr_number: r for r in new.collect()}
+    assert set(got) == {"1", "2", "3"} and got["1"].title == "Software license renewal" and got["1"].sdvob_goal == 6.0 and got["2"].raw_text == ""
+    empty = spark.createDataFrame([], stages.TABLE)
+    out = stages.scan(new, empty, as_of, pages, tables, sheets)
+    assert {r.cr_number: r.disposition for r in out["dispositions"].collect()} == {"1": "kept", "2": "not_relevant", "3": "not_competitive"}
+    table = out["table"].localCheckpoint()
+    one = stages.decoded(table).where("cr_number = '1'").head()
+    assert one.raw_text == "page text\n\n--- ATTACHMENTS ---\n\nsaas azure microsoft\n\nsecond" and one.attachment_paths == ["x.pdf", "y.csv"]
+    assert [(i.description, i.quantity, i.unit_price) for i in one.line_items] == [("cisco switch", 2.0, None), ("dell laptop", None, 5.0)]
+    assert stages.scan(new, table, as_of, pages, tables, sheets)["dispositions"].count() == 0
+    contacts = spark.createDataFrame([(0, "cisco", "r@x", "R", "D1"), (1, "dell laptop", "r@x", "Q", "D2"), (2, "dell", "s@x", "S", "D2")], "ord int, text string, rep_email string, rep_name string, distributor_name string")
+    deals = spark.createDataFrame([("d1", "software license renewal parks", 1000.0, 0)], "deal string, text string, revenue double, ord int")
+    crm = spark.createDataFrame([(5, "[2] Road salt")], "id long, name string")
+    end = stages.run_all(table, contacts, deals, as_of, crm)
+    rows = {r.cr_number: r for r in end["table"].collect()}
+    # A request without items isn't quoted, but analyzed all the same.
+    assert {k: r.status for k, r in rows.items()} == {"1": "proposed", "2": "proposed", "3": "proposed"} and rows["2"].odoo_lead_id == 5
+    assert {r.cr_number for r in end["leads"].collect()} == {"1", "3"} and end["folders"].where("cr_number = '1'").count() == 4
+    mails = {r.to: r for r in end["mails"].collect()}
+    assert set(mails) == {"r@x", "s@x"} and mails["r@x"].n_items == 2 and "cisco switch" in mails["r@x"].body and "June 01, 2026" in mails["r@x"].subject
+    p = {r.cr_number: r for r in end["proposals"].collect()}
+    assert [s.heading for s in p["1"].sections][7:] == ["MWBE / SDVOB Compliance", "Past Performance", "Contact Information"] and "Sdvob Set Aside" in p["1"].sections[7].text and len(p["2"].sections) == 9
+    assert "Recommended bid: $" in p["1"].sections[4].text and end["bids"].count() == 3
+    again = stages.deep_dive(end["table"], ["1", "99"], contacts, deals, as_of, details.withColumn("sdvob_goal", F.lit(None).cast("double")), pages, tables, sheets)
+    one = again["table"].where("cr_number = '1'").head()
+    assert one.status == "proposed" and one.sdvob_goal is None and again["leads"].count() == 1 and len(stages.decoded(again["table"]).where("cr_number = '1'").head().line_items) == 2
+
+
+def test_listing_detail_and_backfill(spark):
+    cards, details, pages, tables, sheets = _requests(spark)
+    as_of = date(2026, 3, 3)
+    table = stages.scan(files.assembled(cards, details, NOW), spark.createDataFrame([], stages.TABLE), as_of, pages, tables, sheets)["table"].localCheckpoint()
+    lines = [r.line for r in stages.status_listing(table, as_of).orderBy("section", "rank").collect()]
+    assert lines[0] == "CR# 3 | Ads | Due: TBD" and lines[1] == "CR# 1 | Software license renewal | Due: 2026-06-01 [MWBE/SDVOB] | SDVOB=6.0% | 2 items"
+    text = stages.detail(table, "1").head().text
+    assert text.startswith("CR# 1: Software license renewal [MWBE/SDVOB]\n====") and "Line Items (2):\n  1. cisco switch | Qty: 2.0" in text and "SDVOB Goal:  6.0%" in text
+    many = table.withColumn("line_items_json", F.to_json(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(F.concat(F.lit("d"), i.cast("string")).alias("description")))))
+    assert "  ... and 5 more items" in stages.detail(many, "1").head().text and stages.detail(table, "nope").count() == 0
+    broken = stages.decoded(table.withColumn("line_items_json", F.lit("{not json"))).head()
+    assert broken.line_items == []
+    pages_ = spark.createDataFrame([("2", None, 3.0, None), ("1", 6.0, None, None)], "cr_number string, sdvob_goal double, mbe_goal double, wbe_goal double")
+    out = stages.backfilled(table.withColumn("procurement_type", F.when(F.col("cr_number") == "3", "odd").otherwise(F.col("procurement_type"))), pages_)
+    assert {r.cr_number for r in out["changed"].collect()} == {"2", "3"} and out["table"].where("cr_number = '2'").head().mbe_goal == 3.0
+    deals = spark.createDataFrame([(2, "[7] b"), (1, "x [7]"), (3, "7")], "id int, name string")
+    assert files.deal_of(deals, "7").head().id == 1 and files.deal_of(deals, "8").count() == 0
+
+
+def test_a1_registry(spark, tmp_path):
+    feed = '<rss><channel><item><title>Buffalo Bills %s</title><link>https://a/%s</link><pubDate>bad date</pubDate><updated>2026-03-03T11:00:00Z</updated></item></channel></rss>'
+    card = '<div data-testid="content-card"><a href="/g">Game</a><p>note</p></div><article><a href="/w"><h2>Head</h2></a></article>'
+    for n in files.SOURCES:
+        (tmp_path / n).mkdir()
+        if n in ("wkbw", "wgr550"):
+            (tmp_path / n / "p.html").write_text(card)
+        elif n != "wivb":
+            (tmp_path / n / "f.xml").write_text(feed % (n, n) if n != "ub" else "broken")
+    (tmp_path / "wivb/empty.xml").write_text("<rss><channel/></rss>")
+    (tmp_path / "wivb_html").mkdir()
+    (tmp_path / "wivb_html/p.html").write_text('<article><a href="/n"><h3>News</h3></a></article>')
+    out = files.fetched(spark, files.registry(str(tmp_path)))
+    rows = out["rows"].orderBy("ord").collect()
+    assert [r.source for r in rows] == ["wgrz", "spectrum_buffalo", "city_of_buffalo", "wkbw", "wgr550", "wgr550", "wivb"]
+    assert rows[0].published_at == NOW - timedelta(hours=1) and rows[2].tags == ["official"]  # the first date can't be parsed
+    assert {(r.title, r.section) for r in rows if r.source == "wgr550"} == {("Game", "sports"), ("Head", "sports")}
+    run = news.run(out["rows"], NOW, sources=out["report"])
+    r = run["report"].head()
+    assert (r.sources_attempted, r.sources_succeeded, r.sources_failed, r.raw_count) == (7, 6, 1, 7) and r.final_count == run["compact"].count() > 0
+    assert news.listed(run["stories"], NOW).count() == r.final_count and "1. [" in news.prompt(run["stories"], NOW).head().prompt
+    sinks.write_run({k: run[k] for k in ("stories", "digest", "report")}, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/run_report.json")).count() == 1
