@@ -8,12 +8,15 @@ each chunk in turn. Every pair within the distance therefore shares a key: candi
 are found by equality alone. ``shape`` chooses the number of chunks so that a pair at
 the similarity itself is within the distance but for one in a million.
 
-Links are confirmed on full shingle sets. Equal sets are one class from the start.
-Links are confirmed on full sets, and pairs are never emitted for it. First a key's
-members are compared with its hub, the member that shares most keys with others; what
-a hub links is one component. Only members of different components of keys that still
-have several are compared further: hub by hub, in blocks of bounded size, by products
-of the blocks' membership matrices, of which a task returns a spanning forest.
+Equal sets are one class from the start. Links are confirmed on full shingle sets, and
+pairs are never emitted for it. First a key's members within the distance of its hub, the
+member that shares most keys with others, are compared with it; what a hub links is one
+component. Members of keys that still have several components are narrowed: with shingles
+ordered from the rarest among them, two sets as similar as that share one of their first
+n - ceil(similarity * n) + 1. Pages of one template that differ enough share none, so a
+group of them ends here, whatever its size. What shares one across components is one
+group, compared in blocks of bounded size by products of the blocks' membership
+matrices, of which a task returns a spanning forest.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.graph import components
+
 from . import _arrow as A
 from ._spark import durable, shuffle_partitions, small
 
@@ -138,27 +143,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable, for every id with an edge in (a, b).
-
-    Rounds take the smallest label among neighbours and then the label's own label,
-    until none changes; a hub's neighbours are combined before they are shuffled.
-    """
-    edges = durable(edges.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")))
-    if edges.isEmpty():
-        return edges.select(F.col("x").alias("id"), F.col("y").alias("comp"))
-    both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    labels = durable(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("comp")))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"id": "y", "comp": "c"}), "y").groupBy("x").agg(F.min("c").alias("c"))
-        own = labels.join(near.withColumnRenamed("x", "id"), "id").select("id", "comp", F.least("comp", "c").alias("low"))
-        up = labels.select(F.col("id").alias("low"), F.col("comp").alias("c"))
-        step = durable(own.join(up, "low", "left").select("id", F.least("low", "c").alias("new"), (F.least("low", "c") != F.col("comp")).alias("moved")))
-        labels = step.select("id", F.col("new").alias("comp"))
-        if step.where("moved").isEmpty():
-            return labels
-
-
 def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """``labels`` after more edges: components of components."""
     if labels is None:
@@ -210,22 +194,50 @@ def _forest(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, same: bool, sets
     return out
 
 
+def _groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, id, comp): the ``rows`` (id, comp) that may be linked across components, by group of those that meet.
+
+    A shingle that one row alone has comes first in its row's order and meets nothing.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = A.utf8(b.column("set"))
+            n = np.diff(at) // 8
+            ids, comps = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), n) for c in ("id", "comp"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comps), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["id", "comp", "n", "shingle"])
+
+    every = rows.join(sets, "id").select("id", "comp", "set").mapInArrow(spread, "id long, comp long, n long, shingle long")
+    common = every.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
+    own = Window.partitionBy("id")
+    placed = every.join(common, "shingle").withColumns({"place": F.row_number().over(own.orderBy("rows", "shingle")), "m": F.count("*").over(own)})
+    first = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    front = durable(placed.where(F.col("place") + F.col("n") - F.col("m") <= first).select("id", "comp", "shingle"))
+    meets = front.groupBy("shingle").agg(F.min("id").alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle", "a")
+    edges = front.join(meets, "shingle").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    groups = components(edges).select("id", F.col("comp").alias("hub"))
+    return rows.join(groups, "id").select("hub", "id", "comp")
+
+
 def _across(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) between members of one hub that are in different components.
+    """Links (a, b) between members of one group that are in different components.
 
-    rows: (hub, id, comp, inner), inner if the hub's own component. Blocks of inner
-    members are compared with blocks of others, never with each other.
+    rows: (hub, id, comp), durable. A group's largest component is its inner one: blocks of
+    inner members are compared with blocks of others, never with each other.
     """
-    n = rows.groupBy("hub").agg(F.count_if("inner").alias("n_in"), F.count_if(~F.col("inner")).alias("n_out")).where("n_out > 0")
+    of_comp = rows.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    n = of_comp.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("total"))
+    n = n.select("hub", F.col("most.comp").alias("main"), F.col("most.n").alias("n_in"), (F.col("total") - F.col("most.n")).alias("n_out")).where("n_out > 0")
     blocks_in, blocks_out = F.ceil(F.col("n_in") / BLOCK).cast("int"), F.ceil(F.col("n_out") / BLOCK).cast("int")
     spread = lambda k: F.pmod(F.xxhash64("hub", "id"), k).cast("int")
     none = F.array().cast("array<int>")
     upto = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(none)
     zero = F.lit(0)
-    placed = rows.join(n, "hub").withColumns(
+    inner = F.col("comp") == F.col("main")
+    placed = rows.join(small(durable(n)), "hub").withColumns(
         {
-            "own": F.when(F.col("inner"), blocks_out + spread(F.greatest(F.lit(1), blocks_in))).otherwise(spread(blocks_out)),
-            "others": F.when(F.col("inner"), upto(zero, blocks_out)).otherwise(upto(zero, blocks_out + blocks_in)),
+            "own": F.when(inner, blocks_out + spread(F.greatest(F.lit(1), blocks_in))).otherwise(spread(blocks_out)),
+            "others": F.when(inner, upto(zero, blocks_out)).otherwise(upto(zero, blocks_out + blocks_in)),
         }
     )
     wide = placed.select("hub", "id", "comp", "own", "others").join(sets, "id")
@@ -263,9 +275,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of
     ``width``-word shingles, and a component is what links reach; kept is its smallest
     doc_id. A document of fewer words has its sequence as its one shingle; a document
-    without words, or a null text, is linked with nothing. Repeated rows
-    agree; a doc_id with several texts has a row for each. A null doc_id is linked with nothing, has no component, and is
-    kept. Other columns are ignored; no rows give no rows.
+    without words, or a null text, is linked with nothing. Repeated rows agree; a doc_id
+    with several texts has a row for each. A null doc_id is linked with nothing, has no
+    component, and is kept. A very long text is compared whole. Other columns are ignored;
+    no rows give no rows.
     """
     chunks = shape(percent / 100)
     slots, limit = CHUNK * chunks, 2 * chunks - 1
@@ -299,11 +312,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = _merged(None, durable(_linked(star, sets, percent)))
 
     of = labels.select(F.col("id").alias("_i"), F.col("comp").alias("_c"))
-    now = members.join(of, F.col("id") == F.col("_i"), "left").select("key", "id", "hub", F.coalesce("_c", "id").alias("comp"))
+    now = members.join(of, F.col("id") == F.col("_i"), "left").select("key", "id", F.coalesce("_c", "id").alias("comp"))
     several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = now.join(several, "key", "left_semi").select("hub", "id", "comp").distinct()
-    left = left.join(of, F.col("hub") == F.col("_i"), "left").select("hub", "id", "comp", (F.col("comp") == F.coalesce("_c", "hub")).alias("inner"))
-    labels = _merged(labels, durable(_across(durable(left), sets, percent, parts)))
+    left = durable(now.join(several, "key", "left_semi").select("id", "comp").distinct())
+    labels = _merged(labels, durable(_across(durable(_groups(left, sets, percent)), sets, percent, parts)))
 
     # From classes to documents: every document of a set has its class's component.
     top = classes.select("h1", "h2", "id")
