@@ -6,10 +6,10 @@ document's importance is the log ratio of the models on its n-grams, and a sampl
 without replacement in proportion to importance is the top k of log importance plus
 Gumbel noise, which a hash of the doc_id supplies.
 
-Ratios are averaged over a document's n-grams and scaled (SCALE n-grams' worth), so
-that long documents aren't chosen or dropped for their length. Counts are summed in
-each task into one array of fixed size before they are shuffled; the k-th largest key
-is found by refining a histogram, so that keys are never sorted or gathered.
+A document's log importance is the sum over its n-grams, which is the ratio of the
+models' likelihoods of the whole text. Counts are summed in each task into one array of
+fixed size before they are shuffled; the k-th largest key is found by refining a
+histogram, so that keys are never sorted or gathered.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from ._spark import durable
 BUCKETS = 1 << 14
 #: Labelled good documents that the target model reads at most, by a hash of doc_id.
 TARGETS = 4000
-SCALE = 100.0
+#: The log importance of a text without n-grams, which puts it last.
+LAST = -1e15
 SHARE = 0.85
 SEED = 11
 
@@ -91,7 +92,7 @@ def weights(docs: DataFrame, labels: DataFrame, targets: int = TARGETS) -> np.nd
 
 
 def scored(docs: DataFrame, w: np.ndarray, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_grams, log_weight, key); a document without n-grams has the weight -1e6."""
+    """(doc_id, n_grams, log_weight, key); a document without n-grams has the weight LAST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +101,7 @@ def scored(docs: DataFrame, w: np.ndarray, seed: int = SEED) -> DataFrame:
                 bucket, doc = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 n = np.bincount(doc, minlength=j - i)
                 s = np.bincount(doc, w[bucket], minlength=j - i)
-                value = np.where(n > 0, SCALE * s / np.maximum(n, 1), -1e6)
+                value = np.where(n > 0, s, LAST)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n), pa.array(value)], names=["doc_id", "n_grams", "log_weight"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
@@ -135,8 +136,9 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: in
     """(doc_id, n_grams, log_weight, key, kept): every document, and whether it is sampled.
 
     ``share`` of the rows are kept; rows that tie at the threshold all are. Null and
-    empty texts are last. A null doc_id is a row like others. Without good labels the
-    sample is uniform. Other columns are ignored; no rows give no rows.
+    empty texts are last; a very long text counts whole. A null doc_id is a row like
+    others. Repeated rows agree. Without good labels the sample is uniform. Other columns
+    are ignored; no rows give no rows.
     """
     rows = durable(scored(docs, weights(docs, labels), seed))
     least = kth_largest(rows, "key", math.ceil(share * rows.count()))
