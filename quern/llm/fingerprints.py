@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
@@ -123,8 +125,37 @@ def merged(fingerprints: DataFrame, by: list[str], column: str = "fingerprint",
     return narrow.mapInArrow(partial, out).groupBy(*by).applyInPandas(final, done)
 
 
+def _cuts(keys: list[int]) -> list[tuple[int, int]]:
+    """(key, tie) bounds, descending, from quantiles of the key.
+
+    A key that is several quantiles holds that share of the rows, which its ties, being
+    hashes, are cut into evenly.
+    """
+    out = []
+    for key, n in Counter(keys).items():
+        step = (1 << 64) // (n if n > 1 else 1)
+        out += [(key, -(1 << 63) + j * step) for j in range(n)]
+    return sorted(out, reverse=True)
+
+
+def _longs(values: list[int]) -> Column:
+    """One literal, however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def _above(key: Column, tie: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the cuts are above (key, tie): first among every step-th, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    pairs = lambda c: F.arrays_zip(_longs([k for k, _ in c]).alias("k"), _longs([t for _, t in c]).alias("t"))
+    count = lambda c: F.size(F.filter(c, lambda x: (x["k"] > key) | ((x["k"] == key) & (x["t"] > tie))))
+    whole = count(pairs(cuts[step - 1 :: step])) * step
+    return whole + count(F.slice(pairs(cuts), whole + 1, step))
+
+
 def _ordered(docs: DataFrame) -> DataFrame:
-    """``docs`` range-partitioned and sorted by descending doc_id (null last).
+    """``docs`` range-partitioned and sorted by descending doc_id (null last), equal ones by a hash of the text.
 
     Each range also gets the row that follows its last one (column ``ghost``), so
     a task knows every row's successor. Bounds are quantiles of doc_id, one per
@@ -132,32 +163,21 @@ def _ordered(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).withColumn("tie", F.xxhash64("text"))
     parts = shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 100 * max(100, parts))).head()[0]
-    cuts = sorted(set(cuts or []), reverse=True) if parts > 1 else []
-
-    def ranged(df: DataFrame) -> DataFrame:
-        # The number of cuts above the key: 0 holds the largest ids.
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-        return df.withColumn("part", F.size(F.filter(bounds, lambda c: c > F.col("key"))))
-
-    tops = {r["part"]: r["top"] for r in ranged(rows.select("key")).groupBy("part").agg(F.max("key").alias("top")).collect()}
+    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 100 * max(100, parts))).head()[0]
+    cuts = _cuts(found or []) if parts > 1 else []
+    ranged = lambda df: df.withColumn("part", _above(F.col("key"), F.col("tie"), cuts))
+    # One row per partition: bounded by the plan's width, whatever the data.
+    tops = {r["part"]: r["top"] for r in ranged(rows.select("key", "tie")).groupBy("part").agg(F.max(F.struct("key", "tie")).alias("top")).collect()}
     filled = sorted(tops)
-    follows = [(p, tops[filled[(i + 1) % len(filled)]]) for i, p in enumerate(filled)]
+    follows = [(p, *tops[filled[(i + 1) % len(filled)]]) for i, p in enumerate(filled)]
     with_ghosts = ranged(rows).withColumn("ghost", F.lit(0))
     if follows:
-        # One row per partition: bounded by the plan's width, whatever the data.
-        ghost_of = F.broadcast(spark.createDataFrame(follows, "part int, key long"))
-        ghosts = rows.where(F.col("key").isin(sorted({k for _, k in follows}))).join(ghost_of, "key")
-        with_ghosts = with_ghosts.unionByName(ghosts.select("doc_id", "text", "key", "part", F.lit(1).alias("ghost")))
-    tie = F.xxhash64("text")
-    return (
-        with_ghosts.withColumn("tie", tie)
-        .repartitionById(max(1, parts), F.col("part"))
-        .sortWithinPartitions("part", "ghost", F.desc("key"), F.desc("tie"))
-        .drop("tie", "key")
-    )
+        ghost_of = F.broadcast(spark.createDataFrame(follows, "part int, key long, tie long"))
+        ghosts = rows.join(ghost_of, ["key", "tie"])
+        with_ghosts = with_ghosts.unionByName(ghosts.select("doc_id", "text", "key", "tie", "part", F.lit(1).alias("ghost")))
+    return with_ghosts.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part", "ghost", F.desc("key"), F.desc("tie")).drop("tie", "key")
 
 
 def with_successor(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -166,7 +186,8 @@ def with_successor(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame
 
     Input: doc_id and text; other columns are ignored. A null text is empty; a null
     doc_id comes last; rows of equal doc_id follow each other by a hash of their
-    text. An only row follows itself. No rows give no rows.
+    text. An only row follows itself. A very long text is one like others, whole. No
+    rows give no rows.
     """
 
     def scored(rows: list[tuple], following: tuple) -> pa.RecordBatch:
