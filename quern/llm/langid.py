@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _arrow as A
+from ._spark import durable, small
 
 ORDERS = (1, 2, 3, 4)
 SIZE = 4096
@@ -112,13 +113,18 @@ def held_out() -> Column:
 def trained(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of at most ``per_language`` labelled documents a language, chosen by hash.
 
-    Ids are chosen on narrow rows, with the limit applied before the shuffle; texts
-    are fetched by a broadcast of those ids.
+    Ids are chosen on narrow rows: of each language those with small hashes, about four
+    times as many as are wanted, meet to be ranked, however many there are; texts are
+    fetched by a broadcast of the ids. Texts over LONGEST bytes aren't learned from. A
+    doc_id with several languages is an example of each.
     """
     able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= LONGEST))
+    slim = durable(able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct())
+    counts = slim.groupBy("lang").agg(F.count("*").alias("n"))
+    below = (F.shiftrightunsigned("h", 11) / float(2**53)) * F.col("n") < 4 * per_language
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("doc_id").distinct()
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in able.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").collect())
+    ids = slim.join(counts, "lang").where(below).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("lang", "doc_id")
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in able.join(small(durable(ids)), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect())
     return fit([t.encode() for _, _, t in rows], [v for _, v, _ in rows]) if rows else None
 
 
@@ -127,8 +133,8 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     A null text, and one without a letter, is ``und`` with score 0, and so is every
     text if nothing could be learned. A null doc_id is scored but never learned from.
-    Repeated rows agree; no rows give no rows; columns beyond doc_id, text and lang are
-    ignored.
+    Repeated rows agree; a very long text is scored whole, block by block; no rows give
+    no rows; columns beyond doc_id, text and lang are ignored.
     """
     model = model or trained(docs)
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
