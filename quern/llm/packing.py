@@ -34,8 +34,8 @@ from ._spark import durable, shuffle_partitions
 
 CAPACITY = 1024
 END = 2
-#: Parts of texts whose ids a task remembers; it forgets all of them beyond that.
-REMEMBER = 1_500_000
+#: Bytes that a task's memory of parts and their ids may take; it forgets all of them beyond that.
+REMEMBER = 64 << 20
 #: Pre-tokens of byte-level BPE files without a pattern of their own (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,9 +51,11 @@ class Encoder:
 
     A single space that begins a word always begins a pre-token, so texts are cut
     before their spaces and the ids of each part are remembered by the part's 64-bit
-    hash; new parts are encoded together, in one text. Texts in which white space
-    meets a space, or a special token's string appears, are left to ``tokenizers``,
-    and so are files that aren't plain byte-level BPE in merge order.
+    hash; new parts are encoded together, in one text. The ids of a batch are turned back
+    into bytes and compared with it, so that no chance equality of hashes goes unseen.
+    Texts that differ there, or in which white space meets a space, or a special token's
+    string appears, are left to ``tokenizers``, and so are files that aren't plain
+    byte-level BPE in merge order.
     """
 
     def __init__(self, path: str):
@@ -93,6 +95,9 @@ class Encoder:
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, i in ranks.items():
             self.lengths[i] = len(t)
+        by_id = {i: t for t, i in ranks.items()}
+        self.spelt = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+        self.spelt_at = np.cumsum(self.lengths) - self.lengths
 
     def _slow(self, raw: bytes) -> np.ndarray:
         return np.asarray(self.whole.encode(raw.decode(), add_special_tokens=False).ids, "<u4")
@@ -154,7 +159,7 @@ class Encoder:
         doc_first = np.searchsorted(cuts, begin)
         h = span_hashes(data, cuts, np.append(cuts[1:], len(data)), _BYTES)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.tables[0][0]) > REMEMBER:
+        if 24 * sum(len(t[0]) for t in self.tables) + 4 * len(self.ids) > REMEMBER:
             self._forget()
         at, count, known = self._find(unique)
         if not known.all():
@@ -165,10 +170,12 @@ class Encoder:
         at, count = at[inverse], count[inverse]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        ids = self.ids[np.repeat(at - total[:-1], count) + np.arange(total[-1])].tobytes()
+        flat = self.ids[np.repeat(at - total[:-1], count) + np.arange(total[-1])]
+        ids = flat.tobytes()
         bounds = (4 * total[doc_first]).tolist()
         out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         odd = set((np.searchsorted(begin, spaces[_after_space(data, spaces)], "right") - 1).tolist())
+        odd |= self._unequal(flat, data, total[doc_first], begin)
         if any(s in raw for s in self.specials):
             odd |= {d for d in whole if any(s in raw[begin[d] : begin[d + 1]] for s in self.specials)}
         for d in odd:
@@ -176,6 +183,17 @@ class Encoder:
         return out
 
 
+    def _unequal(self, ids: np.ndarray, data: np.ndarray, first: np.ndarray, begin: np.ndarray) -> set[int]:
+        """The documents whose ids, ``ids[first[d]:first[d + 1]]``, don't spell their bytes."""
+        sizes = self.lengths[ids]
+        upto = np.cumsum(sizes)
+        spelt = self.spelt[np.repeat(self.spelt_at[ids] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        if len(spelt) == len(data) and np.array_equal(spelt, data):
+            return set()
+        at = np.concatenate([[0], upto])[first]
+        return {d for d in range(len(begin) - 1) if not np.array_equal(spelt[at[d] : at[d + 1]], data[begin[d] : begin[d + 1]])}
+
+
 _BYTES = np.arange(256, dtype=np.uint8)
 
 
@@ -313,7 +331,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer:
     """One row per piece: its ids' place in their document, and its place in a sequence.
 
     Input: doc_id and text; other columns are ignored. A null or empty text is the end
-    id alone. Repeated rows, and rows without a doc_id, are packed like any others.
+    id alone; a very long one is many pieces. Repeated rows, and rows without a doc_id,
+    are packed like any others.
     No rows give no rows. Sequences are numbered from 0, offsets have no holes.
     """
     items = durable(pieces(docs, capacity, end, tokenizer))
