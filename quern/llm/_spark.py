@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.graph import durable, shared_dir
+
+__all__ = ["durable", "nested", "shared_dir", "shuffle_partitions", "small", "Stored"]
+
 #: Rows up to which a side with a few narrow columns may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -15,23 +19,6 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is named, one beside the warehouse's tables, which all machines share."""
-    jsc = spark.sparkContext._jsc.sc()
-    found = jsc.getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return jsc.getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder: lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already durable) with a broadcast hint if it has at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -46,9 +33,17 @@ def nested(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("doc"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+class Stored:
+    """A DataFrame written as Parquet in the shared folder and read back, until it is dropped."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        """Deletes the files; nothing may read them afterwards."""
+        spark = self.rows.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

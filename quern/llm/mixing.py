@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.order import numbered
+
 from ._spark import durable, nested, small
 
 MOST = 3
@@ -38,20 +40,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def _weighed(sizes: DataFrame) -> DataFrame:
-    """``sizes`` with ``w``: 1, 2, 3, repeating, by the source's place in code point order, null last.
-
-    Places are counted within sorted ranges of sources and carried across ranges, so no
-    task sees all sources.
-    """
-    order = F.col("source").asc_nulls_last()
-    local = sizes.repartitionByRange(order).sortWithinPartitions(order)
-    local = durable(local.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-    parts = local.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("source", "source_size", (1 + (F.col("before") + F.col("place")) % 3).cast("double").alias("w"))
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) with ``target``, in words.
 
@@ -60,7 +48,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     of no full source, each time by the words that the sources it fills can't take,
     until it fills no more of them.
     """
-    weighed = durable(_weighed(sizes))
+    placed = numbered(sizes, F.col("source").asc_nulls_last())  # no task sees all sources
+    weighed = durable(placed.select("source", "source_size", (1 + F.col("place") % 3).cast("double").alias("w")))
     cap = F.col("source_size") * MOST
     level = F.lit(0.0)
     filled = -1
