@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import linededup, mixing, neardup, packing, rules
-from quern.llm._spark import durable, nested, small, stored
+from quern.llm._spark import Stored, durable, nested, small
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's rows are written and read again."""
+    """All stages over `documents`; each one's rows are written and read again.
+
+    A stage's rows are deleted once the next one's are written, so a run leaves one copy.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    before: Stored | None = None
+    for _, stage in STAGES[:-1]:
+        after = Stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before, docs = after, after.rows
+    return STAGES[-1][1](spark, docs, sf_dir)
