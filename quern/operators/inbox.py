@@ -138,6 +138,11 @@ def classified(messages: DataFrame, account: str = "", lists: dict | None = None
     return s.withColumns({"category": category(), "priority": priority(), "summary": T.summary_of_mail(F.col("body_plain"), F.col("snippet"))})
 
 
+def projected(c: DataFrame) -> DataFrame:
+    """Classified messages as other programs read them [Q11]."""
+    return c.select("msg_id", "subject", F.col("sender_email").alias("sender"), "category", F.round("score", 2).alias("score"), "date")
+
+
 def counts(c: DataFrame) -> DataFrame:
     """Messages to answer, skipped, and skipped by kind [G17, F8]."""
     n = lambda x: F.count_if(F.col("category") == x)

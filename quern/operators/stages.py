@@ -60,6 +60,12 @@ def scan(new: DataFrame, stored: DataFrame, as_of: date, pages: DataFrame, table
     return {"table": procure.upserted(stored, encoded(rows)), "kept": rows.where("disposition = 'kept'"), "dispositions": rows.select("cr_number", "disposition", "relevance_score")}
 
 
+def alerted(new: DataFrame, stored: DataFrame, as_of: date, pages: DataFrame, tables: DataFrame, sheet_rows: DataFrame) -> dict[str, DataFrame]:
+    """A scheduled scan: ``table`` after it, and the ``alert`` for what it keeps [Q8]."""
+    out = scan(new, stored, as_of, pages, tables, sheet_rows)
+    return {"table": out["table"], "alert": procure.alert(out["kept"].withColumn("items", F.size("line_items")), as_of)}
+
+
 def lead_values(rfqs: DataFrame, as_of: date) -> DataFrame:
     """A request's lead [W10]: name, priority, deadline, description and tags."""
     c = lambda n: F.coalesce(F.col(n), F.lit(""))

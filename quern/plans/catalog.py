@@ -133,6 +133,23 @@ def rfq_upsert(spark, d):
     return procure.upserted(stored, batch[0].unionByName(batch[1]).unionByName(added))
 
 
+@query(f"""{RFQS} SELECT row_number() OVER (ORDER BY due_date, cr_number)::INT AS rank, 'CR# ' || cr_number || ' | ' || due_date::VARCHAR || ' | ' || format('{{{{:.2f}}}}', relevance_score) || CASE WHEN is_mwbe_sdvob THEN ' *' ELSE '' END || ' | ' || rpad(status, 10, ' ') || ' | ' || substr(title, 1, 50) AS line FROM rfqs WHERE due_date >= {_D}""".replace("{{", "{").replace("}}", "}"))
+def report_lines(spark, d):
+    return reports.lines(spark, "open", rfqs(spark, d), AS_OF)
+
+
+@query(f"""{RFQS} SELECT 'RFQs due in the next 14 days (' || count(*) || '):' || chr(10) || chr(10) || string_agg('CR# ' || cr_number || ' | Due: ' || due_date::VARCHAR || ' (' || (due_date - {_D}) || 'd left)' || CASE WHEN is_mwbe_sdvob THEN ' [MWBE/SDVOB]' ELSE '' END || chr(10) || '  ' || title || chr(10) || '  Agency: ' || agency || ' | Score: ' || format('{{{{:.2f}}}}', relevance_score) || ' | Status: ' || status || chr(10), chr(10) ORDER BY due_date, cr_number) AS text FROM rfqs WHERE due_date BETWEEN {_D} AND {_D} + 14""".replace("{{", "{").replace("}}", "}"))
+def due_text(spark, d):
+    return reports.text(spark, "due", rfqs(spark, d), AS_OF, 14)
+
+
+@query(f"""{RFQS}, s AS (SELECT status, count(*) AS n FROM rfqs GROUP BY 1)
+SELECT 'Procurement Pipeline Summary' || chr(10) || repeat('=', 40) || chr(10) || 'Total RFQs tracked:     ' || count(*) || chr(10) || 'MWBE/SDVOB:             ' || count(*) FILTER (is_mwbe_sdvob) || chr(10) || 'High relevance (>=0.9): ' || count(*) FILTER (relevance_score >= 0.90::DOUBLE) || chr(10)
+  || 'Due in next 14 days:    ' || count(*) FILTER (due_date BETWEEN {_D} AND {_D} + 14) || chr(10) || chr(10) || 'By status:' || chr(10) || (SELECT string_agg('  ' || rpad(status, 12, ' ') || ' ' || n, chr(10) ORDER BY n DESC, status) FROM s) AS text FROM rfqs""")
+def summary_text(spark, d):
+    return reports.summary_text(spark, rfqs(spark, d), AS_OF)
+
+
 # --- the table of requests and its stages -----------------------------------------------
 
 #: Words of the vocabulary, written out; requests get them by their key.

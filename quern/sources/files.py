@@ -449,6 +449,12 @@ def registry(root: str, cards: dict[str, str] | None = None) -> list[Adapter]:
     return [Scan(n, read[n]) for n in SOURCES]
 
 
+def source_list(spark: SparkSession) -> DataFrame:
+    """(ord, source, kind, priority): the sources in their order, and how they are read [Q9]."""
+    kind = lambda n: "feed, else html" if n == "wivb" else "html" if n in CARDS else "feed"
+    return spark.createDataFrame([(i, n, kind(n), C.SOURCE_PRIORITY.get(n, C.SOURCE_DEFAULT)) for i, n in enumerate(SOURCES)], "ord int, source string, kind string, priority double")
+
+
 def fetched(spark: SparkSession, adapters: list[Adapter]) -> dict[str, DataFrame]:
     """``rows`` of all adapters in order, with ``ord``, and their ``report`` [A1, A12]."""
     every = fan_in([a.scan(spark) for a in adapters])

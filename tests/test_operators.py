@@ -373,3 +373,19 @@ def test_a1_registry(spark, tmp_path):
     assert news.listed(run["stories"], NOW).count() == r.final_count and "1. [" in news.prompt(run["stories"], NOW).head().prompt
     sinks.write_run({k: run[k] for k in ("stories", "digest", "report")}, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/run_report.json")).count() == 1
+
+
+def test_texts_alert_and_projections(spark):
+    cards, details, pages, tables, sheets = _requests(spark)
+    as_of = date(2026, 3, 3)
+    out = stages.alerted(files.assembled(cards, details, NOW), spark.createDataFrame([], stages.TABLE), as_of, pages, tables, sheets)
+    table = out["table"].localCheckpoint()
+    assert "CR# 1 [low]" in out["alert"].head().text and "2 items" in out["alert"].head().text
+    assert stages.alerted(files.assembled(cards, details, NOW), table, as_of, pages, tables, sheets)["alert"].head().text == "HEARTBEAT_OK"
+    say = lambda name, n=10: reports.text(spark, name, table, as_of, n).head().text
+    assert say("top").startswith("Top 1 RFQs to focus on:\n\n 1. CR# 1 | Score: 1.00 [MWBE/SDVOB]\n    Software license renewal\n    Agency: Parks | Due: 2026-06-01 | Status: new")
+    assert "sdvob_set_aside" in say("flagged") and "SDVOB=6.0%" in say("flagged") and say("due", 7) == "No RFQs due in the next 7 days."
+    assert say("open").count("\n") == 1 and "Total RFQs tracked:     3" in reports.summary_text(spark, table, as_of).head().text
+    assert [r.source for r in files.source_list(spark).orderBy("ord").collect()] == list(files.SOURCES)
+    mails = spark.createDataFrame([("m", "Hi", "a@b", "sales", 0.126, None)], "msg_id string, subject string, sender_email string, category string, score double, date timestamp")
+    assert inbox.projected(mails).head().score == 0.13
