@@ -258,7 +258,13 @@ def _rejoined(spark: SparkSession, path: str, split: DataFrame, bases: DataFrame
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
-    """``pages`` written to archives in the shared folder (or kept in ``folder``) and read back."""
+    """``pages`` written to archives in the shared folder (or kept in ``folder``) and read back.
+
+    A row per page, repeated rows too; other columns are ignored, whatever their names. A
+    null html is the empty payload, a null page_id comes back null and is smaller than any,
+    a null url is empty. A very long payload, version lines in it or not, comes back whole.
+    No rows give no rows.
+    """
     spark = pages.sparkSession
     path = folder or f"{shared_dir(spark)}/quern-warc-{uuid.uuid4().hex}"
     write(pages, path, least)
