@@ -14,9 +14,9 @@ member that shares most keys with others, are compared with it; what a hub links
 component. Members of keys that still have several components are narrowed: with shingles
 ordered from the rarest among them, two sets as similar as that share one of their first
 n - ceil(similarity * n) + 1. Pages of one template that differ enough share none, so a
-group of them ends here, whatever its size. What shares one across components is one
-group, compared in blocks of bounded size by products of the blocks' membership
-matrices, of which a task returns a spanning forest.
+group of them ends here, whatever its size. The others are compared hub by hub, in blocks
+of bounded size, by products of the blocks' membership matrices, of which a task returns
+a spanning forest.
 """
 
 from __future__ import annotations
@@ -194,8 +194,8 @@ def _forest(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, same: bool, sets
     return out
 
 
-def _groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(hub, id, comp): the ``rows`` (id, comp) that may be linked across components, by group of those that meet.
+def _meeting(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id): those of the ``rows`` (id, comp) that may still be linked with one of another component.
 
     A shingle that one row alone has comes first in its row's order and meets nothing.
     """
@@ -213,16 +213,14 @@ def _groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = every.join(common, "shingle").withColumns({"place": F.row_number().over(own.orderBy("rows", "shingle")), "m": F.count("*").over(own)})
     first = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
     front = durable(placed.where(F.col("place") + F.col("n") - F.col("m") <= first).select("id", "comp", "shingle"))
-    meets = front.groupBy("shingle").agg(F.min("id").alias("a"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle", "a")
-    edges = front.join(meets, "shingle").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    groups = components(edges).select("id", F.col("comp").alias("hub"))
-    return rows.join(groups, "id").select("hub", "id", "comp")
+    meets = front.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+    return front.join(small(durable(meets)), "shingle", "left_semi").select("id").distinct()
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) between members of one group that are in different components.
+    """Links (a, b) between members of one hub that are in different components.
 
-    rows: (hub, id, comp), durable. A group's largest component is its inner one: blocks of
+    rows: (hub, id, comp), durable. A hub's largest component is its inner one: blocks of
     inner members are compared with blocks of others, never with each other.
     """
     of_comp = rows.groupBy("hub", "comp").agg(F.count("*").alias("n"))
@@ -312,10 +310,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = _merged(None, durable(_linked(star, sets, percent)))
 
     of = labels.select(F.col("id").alias("_i"), F.col("comp").alias("_c"))
-    now = members.join(of, F.col("id") == F.col("_i"), "left").select("key", "id", F.coalesce("_c", "id").alias("comp"))
+    now = members.join(of, F.col("id") == F.col("_i"), "left").select("key", "id", "hub", F.coalesce("_c", "id").alias("comp"))
     several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = durable(now.join(several, "key", "left_semi").select("id", "comp").distinct())
-    labels = _merged(labels, durable(_across(durable(_groups(left, sets, percent)), sets, percent, parts)))
+    left = durable(now.join(several, "key", "left_semi").select("hub", "id", "comp").distinct())
+    left = durable(left.join(_meeting(left.select("id", "comp").distinct(), sets, percent), "id", "left_semi"))
+    labels = _merged(labels, durable(_across(left, sets, percent, parts)))
 
     # From classes to documents: every document of a set has its class's component.
     top = classes.select("h1", "h2", "id")
