@@ -120,7 +120,7 @@ def trained(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """
     able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= LONGEST))
     slim = durable(able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct())
-    counts = slim.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = small(durable(slim.groupBy("lang").agg(F.count("*").alias("n"))))  # joined where rows are, not by language
     below = (F.shiftrightunsigned("h", 11) / float(2**53)) * F.col("n") < 4 * per_language
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = slim.join(counts, "lang").where(below).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("lang", "doc_id")
