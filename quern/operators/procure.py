@@ -253,23 +253,26 @@ def _candidates(texts: DataFrame, ctexts: DataFrame, least: int) -> DataFrame:
 
 
 def matches(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO) -> DataFrame:
-    """(item, contact columns, ratio, rank): every contact similar enough to an item, ranked in it [J2, K5].
+    """(item, contact columns, ratio): every contact similar enough to an item [J2].
 
     items: item, text. contacts: ord, text, rep_email, rep_name, distributor_name. Each
-    pair of different texts that can be similar is compared once. Equal ratios keep the
-    order of contacts.
+    pair of different texts that can be similar is compared once.
     """
     c = contacts.where(F.length(F.trim("text")) > 0).select("ord", F.col("text").alias("ctext"), "rep_email", "rep_name", "distributor_name")
     given = items.where(F.length(F.trim("text")) > 0)
     pairs = _candidates(given.select("text").distinct(), c.select("ctext").distinct(), least)
     close = pairs.withColumn("ratio", token_set_ratio(F.col("text"), F.col("ctext"), least)).where(F.col("ratio") >= least)
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("ratio"), "ord"))
-    return given.join(close, "text").join(c, "ctext").select("item", "ord", "rep_email", "rep_name", "distributor_name", "ratio").withColumn("rank", rank)
+    return given.join(close, "text").join(c, "ctext").select("item", "ord", "rep_email", "rep_name", "distributor_name", "ratio")
+
+
+def ranked(matched: DataFrame) -> DataFrame:
+    """``matched`` with ``rank`` in the item: the best ratio first, equal ones in the order of contacts [K5]."""
+    return matched.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("ratio"), "ord")))
 
 
 def quote_requests(matched: DataFrame) -> DataFrame:
     """Per rep the names of the first contact seen and the items in order of match [G15, G16, T15]."""
-    first = F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", "rank"))
+    first = F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", -F.col("ratio"), F.col("ord")))
     return matched.groupBy("rep_email").agg(first.alias("f"), F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set("distributor_name")).alias("distributors")).select("rep_email", "f.*", "items", "distributors")
 
 

@@ -121,7 +121,7 @@ def quote(table: DataFrame, contacts: DataFrame, as_of: date, keys: list[str] |
     part = lambda f: F.nullif(F.col(f"x.{f}"), F.lit(""))
     matched = procure.matches(items.select(F.struct("cr_number", "at").alias("item"), F.lower(F.concat_ws(" ", part("vendor"), part("description"), part("part_number"))).alias("text")), contacts)
     per = matched.groupBy(F.col("item.cr_number").alias("cr_number"), "rep_email").agg(
-        F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", "rank")).alias("f"), F.array_sort(F.collect_set("item.at")).alias("at")
+        F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", -F.col("ratio"), F.col("ord"))).alias("f"), F.array_sort(F.collect_set("item.at")).alias("at")
     )
     j = per.join(todo.select("cr_number", "title", "agency", "due_date", "line_items"), "cr_number").select("*", "f.*")
     due = F.when(F.col("due_date").isNull(), "TBD").otherwise(F.date_format("due_date", "MMMM dd, yyyy"))

@@ -178,7 +178,7 @@ def test_j2_pruning_loses_nothing(spark):
     word = lambda: r.choice(["cisco", "dell", "switch", "lap top", "licence", "ab", "zz9", "Ünïcode", "renewal", "x"])
     items = [(i, " ".join(word() for _ in range(r.randint(0, 5)))) for i in range(60)]
     reps = [(i, " ".join(word() for _ in range(r.randint(0, 4))) + r.choice(["", "e", " swich"]), f"r{i % 7}@x", "R", "D") for i in range(40)]
-    got = procure.matches(spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(reps, "ord int, text string, rep_email string, rep_name string, distributor_name string")).collect()
+    got = procure.ranked(procure.matches(spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(reps, "ord int, text string, rep_email string, rep_name string, distributor_name string"))).collect()
     want = {(i, o): fuzzy.token_set(t, c) for i, t in items for o, c, *_ in reps if t.strip() and c.strip() and fuzzy.token_set(t, c) >= 55}
     assert {(g.item, g.ord): g.ratio for g in got} == want
     for i in {g.item for g in got}:
