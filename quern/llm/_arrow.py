@@ -173,3 +173,18 @@ def unique_sets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin = np.zeros(len(first), np.int64)
     np.cumsum([len(p) for p in parts], out=begin[1:])
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), begin
+
+
+class Bits:
+    """A set of hashes by their top bits: says yes to all that are in it, and to a few others."""
+
+    def __init__(self, width: int, parts: dict[int, bytes]):
+        self.width = width
+        self.raw = np.zeros(1 << max(0, width - 3), np.uint8)
+        for i, part in parts.items():
+            own = np.frombuffer(part, np.uint8)[: len(self.raw)]
+            self.raw[i * 4096 : i * 4096 + len(own)] = own
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = (h.view(U64) >> U64(64 - self.width)).astype(np.int64)
+        return (self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import durable, shared_dir
 
-__all__ = ["durable", "nested", "shared_dir", "shuffle_partitions", "small", "Stored"]
+from ._arrow import Bits
+
+__all__ = ["bits", "durable", "nested", "shared_dir", "shuffle_partitions", "small", "Stored"]
 
 #: Rows up to which a side with a few narrow columns may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -47,3 +49,18 @@ class Stored:
         spark = self.rows.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A set of hashes has 16 bits for each, but no more than this power of two: 16 MB.
+WIDEST_BITS = 27
+
+
+def bits(hashes: DataFrame, column: str) -> Bits:
+    """The column's hashes (already durable) as a set that tasks ask first; its size is bounded, whatever the data.
+
+    Where there are so many that most bits are set, it lets through more, and loses none.
+    """
+    width = min(WIDEST_BITS, max(15, (16 * hashes.count()).bit_length()))
+    at = F.shiftrightunsigned(F.col(column), 64 - width)
+    parts = hashes.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+    return Bits(width, {r["part"]: bytes(r["bits"]) for r in parts.collect()})  # at most 4,096 rows of 4 kB

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, linededup, mixing, neardup, packing, resample, rules, toxicity, warc
+from . import centroids, fingerprints, langid, linededup, mixing, neardup, packing, phrases, resample, rules, sanitise, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(_table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise.findings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_resampling, op3_warc, op4_mixing, op5_toxicity, op6_near_duplicates, op7_rules, op8_line_templates, op9_language, op10_packing)
+    for f in (
+        op1_fingerprints, op2_resampling, op3_warc, op4_mixing, op5_toxicity, op6_near_duplicates, op7_rules, op8_line_templates, op9_language, op10_packing,
+        op11_phrases, op12_personal_data, op13_centroids,
+    )
 }
-ORACLES: dict[str, str] = {"op7_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op7_rules": rules.ORACLE, "op11_phrases": phrases.ORACLE, "op13_centroids": centroids.ORACLE}
