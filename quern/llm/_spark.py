@@ -51,7 +51,7 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A set of hashes has 16 bits for each, but no more than this power of two: 16 MB.
+#: A set of hashes has 64 bits for each, but no more than this power of two: 16 MB.
 WIDEST_BITS = 27
 
 
@@ -60,7 +60,7 @@ def bits(hashes: DataFrame, column: str) -> Bits:
 
     Where there are so many that most bits are set, it lets through more, and loses none.
     """
-    width = min(WIDEST_BITS, max(15, (16 * hashes.count()).bit_length()))
+    width = min(WIDEST_BITS, max(15, (64 * hashes.count()).bit_length()))
     at = F.shiftrightunsigned(F.col(column), 64 - width)
     parts = hashes.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
     return Bits(width, {r["part"]: bytes(r["bits"]) for r in parts.collect()})  # at most 4,096 rows of 4 kB

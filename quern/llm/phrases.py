@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.operators.order import numbered
 
 from . import _arrow as A
-from ._spark import bits, durable, small
+from ._spark import Stored, bits, durable, small
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
@@ -231,11 +231,12 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int
     text; memory grows with the longest text. Ties of score and count go by the phrase's
     bytes. No rows, or no frequent phrase, give no rows.
     """
-    counts = durable(words(docs))
-    all_words = durable(counts.where("w IS NULL").select("lang", "n"))
-    frequent = durable(counts.where(F.col("w").isNotNull() & (F.col("n") >= least)))
+    counts = durable(words(docs).where(F.col("w").isNull() | (F.col("n") >= least)))
+    all_words, frequent = counts.where("w IS NULL").select("lang", "n"), counts.where("w IS NOT NULL")
     twos = durable(pairs(docs, bits(_hashed(frequent), "h"), least))
-    found = durable(grown(durable(pointers(docs, bits(twos, "k"), longest)), least, longest))
+    projected = Stored(pointers(docs, bits(twos, "k"), longest))
+    found = durable(grown(projected.rows, least, longest))
+    projected.drop()
     return ranked(found, frequent, all_words, top)
 
 
