@@ -132,18 +132,20 @@ def _signed(values) -> pa.Array:
 
 
 def evidence(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(e, s, t): entity, its surroundings and a term in them, each once; t is null once for each (e, s)."""
+    """(e, s, t, d): entity, its surroundings, a term in them and the text, each once; t is null once for each (e, s, d)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in _texts(b, "text"):
+                d = None
                 for e, s, terms in _evidence(text, window):
+                    d = d or int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
                     n = len(terms)
                     mask = np.arange(n + 1) == n
                     t = pa.array(np.append(terms, np.uint64(0)).view(np.int64), mask=mask)
-                    yield pa.RecordBatch.from_arrays([_signed([e] * (n + 1)), _signed([s] * (n + 1)), t], names=["e", "s", "t"])
+                    yield pa.RecordBatch.from_arrays([_signed([e] * (n + 1)), _signed([s] * (n + 1)), t, _signed([d] * (n + 1))], names=["e", "s", "t", "d"])
 
-    return docs.select("text").mapInArrow(run, "e long, s long, t long").distinct()
+    return docs.select("text").mapInArrow(run, "e long, s long, t long, d long").distinct()
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -167,16 +169,19 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalised: float = GENERALISED, removed: float = REMOVED) -> DataFrame:
     """(e, t, share, level): terms that reveal an entity, by all documents; durable."""
     seen = durable(evidence(docs, window))
-    alone = seen.where("t IS NULL").groupBy("e").agg(F.count("*").alias("ne"))
-    both = durable(seen.where("t IS NOT NULL").groupBy("e", "t").agg(F.count("*").alias("net")).where(F.col("net") >= support))
-    terms = durable(both.select("t").distinct())
-    if terms.isEmpty():
-        return durable(both.select("e", "t", F.lit(0.0).alias("share"), F.lit(0).alias("level")))
+    contexts = seen.select("e", "s", "t").distinct()
+    alone = contexts.where("t IS NULL").groupBy("e").agg(F.count("*").alias("ne"))
+    both = contexts.where("t IS NOT NULL").groupBy("e", "t").agg(F.count("*").alias("net")).where(F.col("net") >= support)
+    # A term is in no fewer documents than there are texts with it near some entity: most terms are ruled out by that.
+    low = seen.where("t IS NOT NULL").select("t", "d").distinct().groupBy("t").agg(F.count("*").alias("nt"))
     n = F.lit(float(docs.count()))
-    rows = both.join(alone, "e").join(document_frequency(docs, terms).withColumnRenamed("n", "nt"), "t")
-    share = F.log2(F.col("net") * n / (F.col("ne") * F.col("nt"))) / F.log2(n / F.col("ne"))
-    rows = rows.where(n > F.col("ne")).select("e", "t", share.alias("share")).where(F.col("share") >= generalised)
-    return durable(rows.withColumn("level", F.when(F.col("share") >= removed, 1).otherwise(0)))
+    share = (F.log2(F.col("net") * n / (F.col("ne") * F.col("nt"))) / F.log2(n / F.col("ne"))).alias("share")
+    enough = lambda rows: rows.where(n > F.col("ne")).withColumn("share", share).where(F.col("share") >= generalised)
+    both = durable(enough(both.join(alone, "e").join(low, "t")).drop("nt", "share"))
+    if both.isEmpty():
+        return both.select("e", "t", F.lit(0.0).alias("share"), F.lit(0).alias("level"))
+    rows = enough(both.join(document_frequency(docs, durable(both.select("t").distinct())).withColumnRenamed("n", "nt"), "t"))
+    return durable(rows.select("e", "t", "share", F.when(F.col("share") >= removed, 1).otherwise(0).alias("level")))
 
 
 def _pair(e: int, terms: np.ndarray) -> np.ndarray:
