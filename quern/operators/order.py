@@ -10,13 +10,20 @@ from .graph import durable
 _ROWS = (1 << 33) - 1
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+def numbered(df: DataFrame, *order: Column, name: str = "place", flag: str | None = None) -> DataFrame:
     """``df``, made durable, with ``name``: 0, 1, ... in ``order``, which must tell all rows apart.
 
-    Ranges are sorted apart and get the number of rows in the ranges before them.
+    Ranges are sorted apart and get the number of rows in the ranges before them. With
+    ``flag``, a boolean column, ``name`` is how many of the rows before have it.
     """
     local = df.repartitionByRange(*order).sortWithinPartitions(*order)
     local = durable(local.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS))}))
-    parts = local.groupBy("_part").agg(F.count("*").alias("n"))  # one row per partition
+    if flag is None:
+        parts = local.groupBy("_part").agg(F.count("*").alias("n"))  # one row per partition
+    else:
+        own = F.col(flag).cast("long")
+        parts = local.groupBy("_part").agg(F.sum(own).alias("n"))
+        window = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)  # a range's rows
+        local = local.withColumn("_row", F.coalesce(F.sum(own).over(window), F.lit(0)))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")

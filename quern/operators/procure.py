@@ -13,6 +13,8 @@ from quern import config as C
 from quern.functions import rules as R
 from quern.functions.fuzzy import token_set_ratio
 
+from .graph import durable
+
 
 def has(x: Column, *words: str) -> Column:
     out = F.contains(x, F.lit(words[0]))
@@ -66,19 +68,31 @@ def scored_text() -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "category", "agency")], F.substring(F.coalesce("raw_text", F.lit("")), 1, 5000), F.coalesce("note", F.lit("")))
 
 
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: the first by ``ord`` if there is one, else the least by its columns that can be compared."""
+    able = [c for c, kind in rows.dtypes if not kind.startswith(("map", "array<map", "variant")) and c not in ("ord", key)]
+    order = Window.partitionBy(key).orderBy(*(["ord"] if "ord" in rows.columns else []), *able)
+    return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+
+
 def disposed(new: DataFrame, stored: DataFrame, as_of: date, enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows whose key isn't stored, classified, with ``disposition`` [F14, J4]. All are stored as new [T12].
 
+    Of a key that comes twice the first counts: by ``ord`` if there is one, else the least row.
     Rows that pass the first two rules are enriched, as with their attachments, and scored;
     the others keep a score of 0 and what they came with.
     """
-    fresh = new.join(stored.select("cr_number"), "cr_number", "left_anti")
+    fresh = first_of(new, "cr_number").join(stored.select("cr_number"), "cr_number", "left_anti")
     kind = procurement_type(F.col("ad_type"))
     soon = F.coalesce(F.datediff("due_date", F.lit(as_of)) < C.MIN_DAYS, F.lit(False))
     early = R.first_match([(~competitive(F.col("ad_type")), "not_competitive"), (soon, "due_too_soon")], F.lit(None).cast("string"))
     rows = fresh.withColumns({"procurement_type": kind["procurement_type"], "is_mwbe_sdvob": kind["flagged"], "disposition": early})
-    passed = rows.where("disposition IS NULL")
-    passed = (enrich(passed) if enrich else passed).withColumn("relevance_score", boosted(relevance(scored_text()), F.col("is_mwbe_sdvob")))
+    score = boosted(relevance(scored_text()), F.col("is_mwbe_sdvob"))
+    if enrich is None:
+        scored = rows.withColumn("relevance_score", F.when(F.col("disposition").isNull(), score).otherwise(0.0))
+        kept = F.when(F.col("relevance_score") >= C.RELEVANT, "kept").otherwise("not_relevant")
+        return scored.withColumns({"disposition": F.coalesce("disposition", kept), "status": F.lit("new")})
+    passed = enrich(rows.where("disposition IS NULL")).withColumn("relevance_score", score)
     passed = passed.withColumn("disposition", F.when(F.col("relevance_score") >= C.RELEVANT, "kept").otherwise("not_relevant"))
     out = passed.unionByName(rows.where("disposition IS NOT NULL").withColumn("relevance_score", F.lit(0.0)), allowMissingColumns=True)
     return out.withColumn("status", F.lit("new"))
@@ -178,25 +192,50 @@ def _set_key(words: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
+def _sharing(left: DataFrame, right: DataFrame, top: int, few: int = 256, levels: int = 4) -> DataFrame:
+    """(a, d): sets that share a word, without those that ``top`` others are sure to beat.
+
+    left: (a); right: (d, first); sets are words joined by spaces. A word that few sets of
+    the right have joins them all. For one that more have, the smallest ``top`` of its
+    sets, equal ones by ``first``, are taken, and it is followed together with a second
+    such word, and so on: whatever shares just the frequent words of a key is no more
+    similar than the smallest sets that have the key. Keys of ``levels`` words join all.
+    """
+    words = lambda df, c: df.select(c, F.explode(F.split(F.col(c), " ")).alias("key")).withColumn("last", F.col("key"))
+    a, d = words(left, "a"), words(right, "d")
+    pairs, frequent = None, None
+    for level in range(1, levels + 1):
+        hot = durable(d.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (few if level < levels else F.lit(None))).select("key"))
+        found = a.join(hot, "key", "left_anti").join(d, "key").select("a", "d")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if hot.isEmpty():
+            break
+        a, d = (durable(x.join(hot, "key", "left_semi")) for x in (a, d))
+        order = Window.partitionBy("key").orderBy(F.size(F.split("d", " ")), "first")
+        best = d.join(right, "d").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+        pairs = pairs.unionByName(a.join(best.select("key", "d"), "key").select("a", "d"))
+        frequent = frequent or tuple(x.select(c, F.col("key").alias("w")) for x, c in ((a, "a"), (d, "d")))
+        longer = lambda x, c, more: x.join(more, c).where("w > last").select(c, F.concat_ws(" ", "key", "w").alias("key"), F.col("w").alias("last"))
+        a, d = longer(a, "a", frequent[0]), longer(d, "d", frequent[1])
+    return pairs.distinct()
+
+
 def comparables(rfqs: DataFrame, deals: DataFrame, least: float = C.SIMILAR, top: int = C.COMPARABLES) -> DataFrame:
     """(cr_number, deal, revenue, similarity, rank): the most similar won deals [J3, G19, K4].
 
-    Similarity is one of sets of words, so equal sets are compared once: a similarity over
-    0 needs a shared word, and an equality join on words between different sets loses
-    nothing. A set's deals are equals, of which only the first ``top`` in their order can
-    be anyone's; deals and asks come back by their set.
+    Similarity is one of sets of words, so equal sets are compared once. A set's deals are
+    equals, of which only the first ``top`` in their order can be anyone's; deals and asks
+    come back by their set. Words that very many sets have don't join them all.
     """
     asks = rfqs.select("cr_number", _set_key(tokens(F.col("text"))).alias("a"))
     won = deals.where("revenue > 0").select("deal", "revenue", "ord", _set_key(tokens(F.col("text"))).alias("d"))
     first = won.where("d <> ''").withColumn("place", F.row_number().over(Window.partitionBy("d").orderBy("ord", "deal"))).where(F.col("place") <= top).drop("place")
-    words = lambda c: F.explode(F.split(F.col(c), " ")).alias("w")
-    size = lambda c: F.size(F.split(F.col(c), " "))
-    left = asks.where("a <> ''").select("a").distinct().select("a", words("a"))
-    right = won.where("d <> ''").select("d").distinct().select("d", words("d"))
-    both = left.join(right, "w").groupBy("a", "d").agg(F.count("*").alias("n"))
-    sim = (F.col("n") / (size("a") + size("d") - F.col("n"))).alias("similarity")
+    sets = durable(first.groupBy("d").agg(F.min(F.struct("ord", "deal")).alias("first")))
+    words = lambda c: F.split(F.col(c), " ")
+    both = _sharing(durable(asks.where("a <> ''").select("a").distinct()), sets, top).withColumn("n", F.size(F.array_intersect(words("a"), words("d"))))
+    sim = (F.col("n") / (F.size(words("a")) + F.size(words("d")) - F.col("n"))).alias("similarity")
     near = both.select("a", "d", sim).where(F.col("similarity") > least).join(first, "d")
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "ord", "deal")
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "ord", "deal")  # few candidates, however many deals
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return asks.join(ranked, "a").select("cr_number", "deal", "revenue", "similarity", "rank")
 
@@ -252,17 +291,24 @@ def _candidates(texts: DataFrame, ctexts: DataFrame, least: int) -> DataFrame:
     return by_word.unionByName(apart)
 
 
+def _contacts(contacts: DataFrame) -> DataFrame:
+    return contacts.where(F.length(F.trim("text")) > 0).select("ord", F.col("text").alias("ctext"), "rep_email", "rep_name", "distributor_name")
+
+
+def close_texts(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO) -> DataFrame:
+    """(text, ctext, ratio): different texts of items and contacts that are similar enough, each pair compared once [J2]."""
+    texts = items.where(F.length(F.trim("text")) > 0).select("text").distinct()
+    pairs = _candidates(texts, _contacts(contacts).select("ctext").distinct(), least)
+    return pairs.withColumn("ratio", token_set_ratio(F.col("text"), F.col("ctext"), least)).where(F.col("ratio") >= least)
+
+
 def matches(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO) -> DataFrame:
-    """(item, contact columns, ratio): every contact similar enough to an item [J2].
+    """(item, contact columns, ratio): every contact similar enough to an item [J2], a row each.
 
-    items: item, text. contacts: ord, text, rep_email, rep_name, distributor_name. Each
-    pair of different texts that can be similar is compared once.
+    items: item, text. contacts: ord, text, rep_email, rep_name, distributor_name.
     """
-    c = contacts.where(F.length(F.trim("text")) > 0).select("ord", F.col("text").alias("ctext"), "rep_email", "rep_name", "distributor_name")
-    given = items.where(F.length(F.trim("text")) > 0)
-    pairs = _candidates(given.select("text").distinct(), c.select("ctext").distinct(), least)
-    close = pairs.withColumn("ratio", token_set_ratio(F.col("text"), F.col("ctext"), least)).where(F.col("ratio") >= least)
-    return given.join(close, "text").join(c, "ctext").select("item", "ord", "rep_email", "rep_name", "distributor_name", "ratio")
+    close = close_texts(items, contacts, least)
+    return items.join(close, "text").join(_contacts(contacts), "ctext").select("item", "ord", "rep_email", "rep_name", "distributor_name", "ratio")
 
 
 def ranked(matched: DataFrame) -> DataFrame:
@@ -271,9 +317,32 @@ def ranked(matched: DataFrame) -> DataFrame:
 
 
 def quote_requests(matched: DataFrame) -> DataFrame:
-    """Per rep the names of the first contact seen and the items in order of match [G15, G16, T15]."""
+    """Per rep the names of the first contact seen and the items in order of match [G15, G16, T15]; for one request's items."""
     first = F.min_by(F.struct("rep_name", "distributor_name"), F.struct("item", -F.col("ratio"), F.col("ord")))
-    return matched.groupBy("rep_email").agg(first.alias("f"), F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set("distributor_name")).alias("distributors")).select("rep_email", "f.*", "items", "distributors")
+    grouped = matched.groupBy("rep_email").agg(first.alias("f"), F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set("distributor_name")).alias("distributors"))
+    return grouped.select("rep_email", "f.*", "items", "distributors")
+
+
+def reps(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO) -> tuple[DataFrame, DataFrame]:
+    """(heads, lines) of the quote requests of a whole table of items, as in ``quote_requests`` [J2, G15, G16, K5].
+
+    heads: rep_email, rep_name, distributor_name, n_items, n_first, distributors; n_first
+    counts the items whose best contact is the rep's. lines: (rep_email, item). Matches are
+    of texts: contacts meet the items' texts, per rep, and items are only counted; no row
+    is made for an item and a contact.
+    """
+    texts = items.groupBy("text").agg(F.count("*").alias("n"), F.min("item").alias("item"))
+    seen = close_texts(items, contacts, least).join(_contacts(contacts), "ctext")
+    place = F.struct((-F.col("ratio")).alias("worse"), "ord")
+    per = durable(seen.groupBy("text", "rep_email").agg(F.min(place).alias("place"), F.min_by(F.struct("rep_name", "distributor_name"), place).alias("f"), F.collect_set("distributor_name").alias("own")))
+    best = per.groupBy("text").agg(F.min("place").alias("best"))
+    j = per.join(best, "text").join(texts, "text")
+    heads = j.groupBy("rep_email").agg(
+        F.min_by("f", F.struct("item", "place")).alias("f"), F.sum("n").alias("n_items"), F.sum(F.when(F.col("place") == F.col("best"), F.col("n")).otherwise(0)).alias("n_first")
+    )
+    names = per.select("rep_email", F.explode("own").alias("x")).distinct().groupBy("rep_email").agg(F.array_sort(F.collect_list("x")).alias("distributors"))
+    heads = heads.join(names, "rep_email", "left").select("rep_email", "f.*", "n_items", "n_first", F.coalesce("distributors", F.array().cast("array<string>")).alias("distributors"))
+    return heads, per.select("text", "rep_email").join(items, "text").select("rep_email", "item")
 
 
 def quote_deadline(due: Column, as_of: Column) -> Column:

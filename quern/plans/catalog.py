@@ -347,13 +347,28 @@ def bid_range(spark, d):
     return b.select("cr_number", F.col("n").cast("bigint").alias("n"), "low", "mid", "high", "confidence")
 
 
-@query()
+# All texts share the word "brand": a contact is 100 like items of its own number, else 77, by the shared word alone.
+@query(
+    """WITH i AS (SELECT p_partkey AS item, lower(p_brand) AS brand FROM part),
+c AS (
+  SELECT s_suppkey AS ord, 'brand#' || (s_suppkey % 5 + 1) || (s_nationkey % 5 + 1) AS brand, 'rep' || (s_suppkey % 20) || '@example.com' AS rep_email, s_name AS rep_name, s_name AS distributor_name FROM supplier),
+b AS (SELECT i.item, coalesce(o.rep_email, (SELECT rep_email FROM c ORDER BY ord LIMIT 1)) AS rep_email FROM i LEFT JOIN (SELECT brand, first(rep_email ORDER BY ord) AS rep_email FROM c GROUP BY brand) o ON o.brand = i.brand),
+f AS (
+  SELECT rep_email, first(rep_name ORDER BY c.brand <> i.brand, ord) AS rep_name, first(distributor_name ORDER BY c.brand <> i.brand, ord) AS distributor_name, count(DISTINCT distributor_name)::INT AS n_distributors
+  FROM c, (SELECT brand FROM i ORDER BY item LIMIT 1) i GROUP BY rep_email)
+SELECT f.*, (SELECT count(*) FROM i)::BIGINT AS n_items, (SELECT count(*) FROM b WHERE b.rep_email = f.rep_email)::BIGINT AS n_first FROM f"""
+)
 def vendor_match(spark, d):
-    """Parts by contacts: a fuzzy join without an SQL form."""
+    """All parts by all contacts: quote requests per rep, and for how many parts the rep ranks first."""
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("text"))
     s = table(spark, d, "supplier")
-    reps = s.select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("brand#"), (F.col("s_suppkey") % 5 + 1).cast("string"), (F.col("s_nationkey") % 5 + 1).cast("string")).alias("text"), F.concat(F.lit("rep"), (F.col("s_suppkey") % 20).cast("string"), F.lit("@example.com")).alias("rep_email"), F.col("s_name").alias("rep_name"), F.col("s_name").alias("distributor_name"))
-    return procure.quote_requests(procure.matches(items, reps)).select("rep_email", "rep_name", "distributor_name", F.size("items").alias("n_items"), F.size("distributors").alias("n_distributors"))
+    number = lambda c: (F.col(c) % 5 + 1).cast("string")
+    reps = s.select(
+        F.col("s_suppkey").alias("ord"), F.concat(F.lit("brand#"), number("s_suppkey"), number("s_nationkey")).alias("text"),
+        F.concat(F.lit("rep"), (F.col("s_suppkey") % 20).cast("string"), F.lit("@example.com")).alias("rep_email"), F.col("s_name").alias("rep_name"), F.col("s_name").alias("distributor_name"),
+    )
+    heads, _ = procure.reps(items, reps)
+    return heads.select("rep_email", "rep_name", "distributor_name", "n_items", "n_first", F.size("distributors").alias("n_distributors"))
 
 
 # --- text ----------------------------------------------------------------------------

@@ -69,6 +69,68 @@ def test_c1_repeated_titles_and_spans(spark):
     assert got == {o: by_url[u] if u else o for o, _, _, _, _, u, _ in rows}
 
 
+def test_c1_partly_close_spans(spark):
+    """Many stories of like titles whose spans match in part: time, order and title decide together."""
+    for seed in (11, 12):
+        r = random.Random(seed)
+        titles = ["Snow storm closes the thruway", "Snow storm closes thruway", "Snow storm closed the thruway now", "Bills win"]
+        pick = lambda: r.choices(titles, (6, 3, 1, 2))[0]
+        times = [r.randint(-4000, 4000) for _ in range(40)]
+        rows = [story(i, pick(), "" if r.random() < 0.9 else f"u{r.randint(0, 9)}", None if r.random() < 0.03 else NOW + timedelta(minutes=r.choice(times))) for i in range(220)]
+        assert seeds(spark, rows) == fold(rows)
+
+
+def test_c1_rounds_on_random_graphs(spark):
+    """Least ord over descending edges is first-fit without merging; plain components aren't."""
+    r = random.Random(3)
+    edges, want, offset = [], {}, 0
+    for _ in range(300):
+        n = r.randint(2, 14)
+        own = {(i, j) for i in range(n) for j in range(i) if r.random() < 0.2}
+        clusters = []
+        for i in range(n):
+            for c in clusters:
+                if any((i, j) in own for j in c):
+                    c.append(i)
+                    break
+            else:
+                clusters.append([i])
+        want |= {offset + i: offset + c[0] for c in clusters for i in c if i != c[0]}
+        edges += [(offset + i, offset + j) for i, j in own]
+        offset += n
+    got = cluster.first_reached(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {x.ord: x.seed for x in got} == want
+    chain = spark.range(1, 300).selectExpr("id AS src", "id - 1 AS dst")
+    assert {x.seed for x in cluster.first_reached(chain).collect()} == {0}
+
+
+def test_c1_edges_of_a_hot_title_are_few(spark):
+    """One title for all rows, over days: edges grow in proportion, and no task gets them all."""
+    df = spark.range(4000).selectExpr("id AS ord", "'wgrz' AS source", "0.8D AS source_priority", "'Snow storm' AS title", "'u' AS url", "concat('u', id) AS canonical_url", "timestamp_seconds(1700000000 + pmod(id * 7919, 400000)) AS published_at")
+    rows = graph.durable(cluster.titled(df))
+    edges = graph.durable(cluster.matches(rows, cluster.similar_titles(rows)))
+    assert edges.count() < 4000 * 40
+    assert {x.seed for x in cluster.clustered(df).select("seed").distinct().collect()} == {0}
+
+
+def test_j1_bands_lose_nothing():
+    r = random.Random(8)
+    for _ in range(60):
+        letters = r.choice(["ab", "abcdefgh ", "aé𝄞x"])
+        a = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 62, 63, 64, 130, 300]))) for _ in range(40)]
+        b = []
+        for x in a:
+            y = list(x)
+            for _ in range(r.randint(0, 1 + len(x) // 2)):
+                if y and r.random() < 0.5:
+                    y.pop(r.randrange(len(y)))
+                else:
+                    y.insert(r.randint(0, len(y)), r.choice(letters))
+            b.append("".join(y if r.random() < 0.8 else r.choices(letters, k=r.randint(0, 200))))
+        for least in (55.5, 75, 100):
+            assert fuzzy.alike(a, b, least).tolist() == [fuzzy.ratio(x, y) >= least for x, y in zip(a, b)]
+
+
 def test_c1_empty_and_time_bounds(spark):
     assert seeds(spark, [story(0, "Only", "u")]) == {0: 0}
     apart = [story(0, "Mayor announces new park", "a"), story(1, "Mayor announces new park now", "b", NOW + timedelta(hours=24)), story(2, "Mayor announces new park now!", "c", NOW - timedelta(hours=48))]
@@ -173,6 +235,31 @@ def test_j2_g15_quotes(spark):
     assert "- item 1" in procure.outbox(q).head().body
 
 
+def test_f14_a_key_twice_is_stored_once(spark):
+    cols = "cr_number string, title string, category string, agency string, raw_text string, note string, ad_type string, due_date date, ord int"
+    row = lambda k, title, i: (k, title, "", "", "", "", "General", None, i)
+    new = spark.createDataFrame([row("a", "second", 1), row("a", "first", 0), row("b", "stored", 2), row("c", "only", 3)], cols)
+    got = procure.disposed(new, spark.createDataFrame([("b",)], "cr_number string"), date(2026, 3, 3)).collect()
+    assert {(x.cr_number, x.title) for x in got} == {("a", "first"), ("c", "only")} and len(got) == 2
+
+
+def test_g15_reps_of_a_table(spark):
+    """Counts and names by texts equal those of all pairs."""
+    r = random.Random(16)
+    word = lambda: r.choice(["cisco", "dell", "switch", "lap top", "licence", "ab", "zz9", "renewal"])
+    items = [(i, " ".join(word() for _ in range(r.randint(0, 3)))) for i in range(80)]
+    contacts = [(i, " ".join(word() for _ in range(r.randint(0, 3))), f"r{i % 5}@x", f"R{i}", f"D{i % 3}") for i in range(25)]
+    heads, lines = procure.reps(spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(contacts, "ord int, text string, rep_email string, rep_name string, distributor_name string"))
+    pairs = [(i, -fuzzy.token_set(t, c), o, e, n, d) for i, t in items for o, c, e, n, d in contacts if t.strip() and c.strip() and fuzzy.token_set(t, c) >= 55]
+    first = {i: min(p[1:] for p in pairs if p[0] == i)[2] for i in {p[0] for p in pairs}}
+    want = {}
+    for e in {p[3] for p in pairs}:
+        own = sorted(p for p in pairs if p[3] == e)
+        want[e] = (own[0][4], own[0][5], len({p[0] for p in own}), sum(v == e for v in first.values()), sorted({p[5] for p in own}))
+    assert {x.rep_email: (x.rep_name, x.distributor_name, x.n_items, x.n_first, x.distributors) for x in heads.collect()} == want
+    assert sorted((x.rep_email, x.item) for x in lines.collect()) == sorted({(p[3], p[0]) for p in pairs})
+
+
 def test_j2_pruning_loses_nothing(spark):
     r = random.Random(6)
     word = lambda: r.choice(["cisco", "dell", "switch", "lap top", "licence", "ab", "zz9", "Ünïcode", "renewal", "x"])
@@ -198,6 +285,32 @@ def test_j3_comparables_against_all_pairs(spark):
         assert [g.deal for g in sorted((g for g in got if g.cr_number == i), key=lambda g: g.rank)] == want
 
 
+def test_j3_frequent_words_lose_nothing(spark):
+    """Every word counts as frequent: keys of several words, the smallest sets of each."""
+    r = random.Random(9)
+    words = [f"word{c}" for c in "abcdefgh"]
+    make = lambda n: sorted({" ".join(sorted(r.sample(words, r.randint(1, 7)))) for _ in range(n)})
+    left, right = make(60), make(150)
+    rank = {d: i for i, d in enumerate(r.sample(right, len(right)))}
+    sets = spark.createDataFrame([(d, rank[d]) for d in right], "d string, first int")
+    jac = lambda a, d: len(set(a.split()) & set(d.split())) / len(set(a.split()) | set(d.split()))
+    for few, levels in ((0, 4), (3, 2), (10, 3)):
+        got = {}
+        for x in procure._sharing(spark.createDataFrame([(a,) for a in left], "a string"), sets, 5, few, levels).collect():
+            got.setdefault(x.a, set()).add(x.d)
+        for a in left:
+            best = sorted((-jac(a, d), rank[d], d) for d in right if jac(a, d) > 0)[:5]
+            assert {d for _, _, d in best} <= got[a]
+
+
+def test_j3_a_word_that_all_have(spark):
+    n = 100_000
+    asks = spark.range(n).selectExpr("id AS cr_number", "concat('common own', translate(CAST(id AS STRING), '0123456789', 'abcdefghij')) AS text", "0D AS cost")
+    deals = asks.selectExpr("cr_number AS deal", "text", "1D AS revenue", "cr_number AS ord")
+    got = procure.comparables(asks, deals).groupBy("cr_number").agg(F.count("*").alias("n"), F.max_by("deal", F.struct(-F.col("rank"))).alias("best"), F.max("deal").alias("last")).agg(F.count("*"), F.min("n"), F.max("n"), F.count_if(F.col("best") == F.col("cr_number")), F.count_if(F.col("last") > F.greatest(F.lit(9), F.col("cr_number")))).head()
+    assert tuple(got) == (n, 10, 10, n, 0)
+
+
 def test_q1_to_q6_bounds(spark):
     as_of = date(2026, 3, 3)
     due = [as_of - timedelta(1), as_of, as_of + timedelta(7), as_of + timedelta(8), None]
