@@ -29,6 +29,7 @@ UNKNOWN = "und"
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[0x20, 9, *b".,;:!?", 10, 11, 12, 13]] = False
 WORDS = A.fold_table(_BETWEEN)
+_FORTY = np.uint64((1 << 64) - (1 << 24))
 _BREAKS = np.zeros(256, np.int64)
 _BREAKS[[*b".,;:!?", 10, 11, 12, 13]] = 1
 
@@ -79,7 +80,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """(lang, h, w, n): how often each word occurs; w is null for the sum over all words."""
+    """(lang, w, n): how often each word occurs; w is null for the sum over all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,11 +97,23 @@ def words(docs: DataFrame) -> DataFrame:
                 some = np.flatnonzero(every)
                 langs = [names[i] for i in lang[first].tolist()] + [names[i] for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(np.append(h[first].view(np.int64), np.zeros(len(some), np.int64))), pa.array(text + [None] * len(some), pa.string()), pa.array(np.append(n, every[some]))],
-                    names=["lang", "h", "w", "n"],
+                    [pa.array(langs, pa.string()), pa.array(text + [None] * len(some), pa.string()), pa.array(np.append(n, every[some]))],
+                    names=["lang", "w", "n"],
                 )
 
-    return _source(docs).mapInArrow(run, "lang string, h long, w string, n long").groupBy("lang", "h", "w").agg(F.sum("n").alias("n"))
+    return _source(docs).mapInArrow(run, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+
+
+def _with_hash(counts: DataFrame) -> DataFrame:
+    """(lang, h, w, n) of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = A.utf8(b.column("w"))
+            h = A.span_hashes(data, at[:-1], at[1:], WORDS)
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(h.view(np.int64)), b.column("w"), b.column("n")], names=["lang", "h", "w", "n"])
+
+    return counts.mapInArrow(run, "lang string, h long, w string, n long")
 
 
 def _hashed(frequent: DataFrame) -> DataFrame:
@@ -117,7 +130,7 @@ def _hashed(frequent: DataFrame) -> DataFrame:
 
 
 def pairs(docs: DataFrame, among: A.Bits, least: int) -> DataFrame:
-    """(k): hashes of the adjacent pairs of frequent words that are frequent."""
+    """(k): hashes of the adjacent pairs of frequent words that are frequent, by their first 40 bits: a filter, not a count."""
     known = docs.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +139,7 @@ def pairs(docs: DataFrame, among: A.Bits, least: int) -> DataFrame:
             for _, _, _, h, lang, joined in _parts(b):
                 ok = known.value.has(_with_language(h, lang, salt))
                 i = np.flatnonzero(joined[:-1] & ok[:-1] & ok[1:])
-                k, n = np.unique(_key(lang[i], salt, h[i], h[i + 1]), return_counts=True)
+                k, n = np.unique(_key(lang[i], salt, h[i], h[i + 1]) & _FORTY, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["k", "n"])
 
     counted = _source(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
@@ -232,7 +245,7 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int
     bytes. No rows, or no frequent phrase, give no rows.
     """
     counts = durable(words(docs).where(F.col("w").isNull() | (F.col("n") >= least)))
-    all_words, frequent = counts.where("w IS NULL").select("lang", "n"), counts.where("w IS NOT NULL")
+    all_words, frequent = counts.where("w IS NULL").select("lang", "n"), durable(_with_hash(counts.where("w IS NOT NULL")))
     twos = durable(pairs(docs, bits(_hashed(frequent), "h"), least))
     projected = Stored(pointers(docs, bits(twos, "k"), longest))
     found = durable(grown(projected.rows, least, longest))
