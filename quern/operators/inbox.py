@@ -11,53 +11,69 @@ from pyspark.sql.types import ArrayType, StructType
 from quern import config as C
 from quern.functions import rules as R
 from quern.functions import text as T
+from quern.functions.html import data_of
 
 PART = "struct<filename:string>"
 STUB = "id string, threadId string, subject string, from string, date string, snippet string, labels array<string>"
 
 
 def address(raw: Column) -> Column:
-    """(name, mail) of ``Name <mail>`` or of a bare address [A16]."""
-    mail = F.regexp_extract(raw, "<([^>]+)>", 1)
-    bare = mail == ""
-    name = F.regexp_replace(F.btrim(F.regexp_replace(raw, "<[^>]*>.*$", "")), "^[\"']+|[\"']+$", "")
-    return F.struct(F.when(bare, "").otherwise(name).alias("sender"), F.lower(F.btrim(F.when(bare, raw).otherwise(mail))).alias("sender_email"))
+    """(sender, sender_email) of ``Name <mail>`` or of a bare address; without a name the raw text is the sender [A16]."""
+    open_, close = F.contains(raw, F.lit("<")), F.contains(raw, F.lit(">"))
+    after = F.get(F.split(raw, "<"), 1)
+    mail = F.when(open_ & close, F.get(F.split(after, ">"), 0)).otherwise(raw)
+    name = F.btrim(F.btrim(F.btrim(F.get(F.split(raw, "<"), 0)), F.lit('"')), F.lit("'"))
+    return F.struct(F.when(open_ & (name != ""), name).otherwise(raw).alias("sender"), F.lower(F.btrim(mail)).alias("sender_email"))
 
 
 def domain(mail: Column) -> Column:
     return F.when(F.contains(mail, F.lit("@")), F.lower(F.element_at(F.split(mail, "@"), -1))).otherwise("")
 
 
+def _lowered(headers: Column) -> Column:
+    return F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+
+
 def parsed(stubs: DataFrame, full: DataFrame) -> DataFrame:
-    """Stubs with their full records where there are any [A13, J6].
+    """Stubs, or in their place their full records where there are any [A13, J6].
 
     stubs: JSON in ``json`` and ord. full: msg_id, headers (map), body, snippet, labels,
-    parts. Stubs without an id are dropped. A body is text, or a struct of plain and html.
+    parts, and payload_headers (map) if headers of two levels are known: the upper ones
+    come first, but a reply is told by the lower ones. Stubs without an id are dropped. A
+    body is text, or a struct of plain and text; one that begins with a tag is read as
+    HTML, its first 10,000 characters.
     """
     s = stubs.select("ord", F.from_json("json", STUB).alias("j")).select("ord", "j.*").where(F.coalesce("id", F.lit("")) != "").withColumnRenamed("id", "msg_id")
-    f = full.select("msg_id", F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))).alias("headers"), _body_text(full).alias("body"), F.col("snippet").alias("full_snippet"), _labels(full).alias("full_labels"), "parts")
+    none = F.create_map().cast("map<string,string>")
+    upper = F.coalesce(_lowered(F.col("headers")), none)
+    lower = F.coalesce(_lowered(F.col("payload_headers")), none) if "payload_headers" in full.columns else upper
+    f = full.select(
+        "msg_id", upper.alias("upper"), lower.alias("lower"), _body_text(full).alias("body"), F.col("snippet").alias("full_snippet"), _labels(full).alias("full_labels"), "parts", F.lit(True).alias("whole"),
+    )
     m = s.join(f, "msg_id", "left")
-    h = lambda k: F.col("headers")[k]
-    subject = F.coalesce(h("subject"), "subject", F.lit(""))
-    who = address(F.coalesce(h("from"), "from", F.lit("")))
+    head = lambda k: F.coalesce(F.col("upper")[k], F.col("lower")[k], F.lit(""))
+    of = lambda k, stub: F.when(F.col("whole"), head(k)).otherwise(F.coalesce(stub, F.lit("")))
+    subject = of("subject", "subject")
+    who = address(of("from", "from"))
     html = F.startswith(F.ltrim(F.col("body")), F.lit("<"))
-    body = F.when(html, T.clean_text(T.strip_html(F.substring("body", 1, 10000)))).otherwise(F.coalesce("body", F.lit("")))
+    body = F.when(html, data_of(F.when(html, F.substring("body", 1, 10000)))).otherwise(F.coalesce("body", F.lit("")))
+    answers = F.coalesce(F.col("lower")["in-reply-to"], F.lit("")) != ""
     return m.select(
         "ord", "msg_id", F.coalesce("threadId", F.lit("")).alias("thread_id"), subject.alias("subject"), who["sender"].alias("sender"), who["sender_email"].alias("sender_email"),
-        F.coalesce(h("to"), F.lit("")).alias("to"), T.parse_timestamp(F.coalesce(h("date"), "date")).alias("date"), F.coalesce("full_snippet", "snippet", F.lit("")).alias("snippet"),
-        F.substring(body, 1, 5000).alias("body_plain"), F.coalesce("full_labels", "labels", F.array().cast("array<string>")).alias("labels"),
-        F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
+        of("to", F.lit("")).alias("to"), T.parse_timestamp(of("date", F.col("date"))).alias("date"), F.coalesce(F.when(F.col("whole"), F.col("full_snippet")).otherwise(F.col("snippet")), F.lit("")).alias("snippet"),
+        F.substring(body, 1, 5000).alias("body_plain"), F.coalesce(F.when(F.col("whole"), F.col("full_labels")).otherwise(F.col("labels")), F.array().cast("array<string>")).alias("labels"),
+        F.coalesce(F.map_concat("lower", "upper") if "payload_headers" in full.columns else F.col("upper"), none).alias("headers"),
         F.coalesce(F.exists("parts", lambda p: p["filename"] != ""), F.lit(False)).alias("has_attachments"),
-        (h("in-reply-to").isNotNull() | F.lower(subject).rlike("^(re:|fwd:)")).alias("is_reply"),
+        (answers | F.lower(subject).rlike("^(re:|fwd:)")).alias("is_reply"),
     )
 
 
 def _body_text(full: DataFrame) -> Column:
-    """A body that is text, or a struct of which plain comes first, then text, then html [A15]."""
+    """A body that is text, or a struct: plain, and text where plain is missing [A15]."""
     kind = full.schema["body"].dataType
     if not isinstance(kind, StructType):
         return F.col("body")
-    return F.coalesce(*[F.nullif(F.col(f"body.{f}"), F.lit("")) for f in ("plain", "text", "html") if f in kind.names], F.lit(""))
+    return F.coalesce(*[F.col(f"body.{f}") for f in ("plain", "text") if f in kind.names], F.lit(""))
 
 
 def _labels(full: DataFrame) -> Column:

@@ -412,6 +412,45 @@ def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical_url"))
 
 
+# The pages' attributes are plain; the only entity in link texts and headings is the ampersand's.
+_SHOWN = "trim(regexp_replace(replace({0}, '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""SELECT page_id, generate_subscripts(h, 1)::INT - 1 AS at, unnest(h) AS href, {_SHOWN.format("unnest(t)")} AS text
+FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)"""
+)
+def page_links(spark, d):
+    """Links of pages, by the SQL function over a column of html."""
+    files.register(spark)
+    pages = table(spark, d, "pages")
+    return spark.sql("SELECT page_id, e.at, e.attrs['href'] AS href, e.text FROM {pages}, LATERAL html_elements(html, 'a[href]') e", pages=pages)
+
+
+@query(
+    f"""SELECT page_id, generate_subscripts(h, 1)::INT - 1 AS item_ord, 'wkbw' AS source, {_SHOWN.format("unnest(t)")} AS title, 'https://x.example' || unnest(h) AS url
+FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages)"""
+)
+def page_cards(spark, d):
+    """Cards of pages as stories of a source: their lists' items."""
+    files.register(spark)
+    pages = table(spark, d, "pages")
+    found = spark.sql("SELECT page_id, c.* FROM {pages}, LATERAL html_cards(html, 'li', 'https://x.example', '') c", pages=pages)
+    return found.select("page_id", "item_ord", F.lit("wkbw").alias("source"), T.clean_text(F.col("title")).alias("title"), "url")
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages),
+f AS (SELECT page_id, count(DISTINCT href)::INT AS n FROM a WHERE contains(href, 'th') OR contains(href, 'ei') GROUP BY page_id)
+SELECT p.page_id, {_SHOWN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading, coalesce(n, 0) AS n_attachments FROM pages p LEFT JOIN f ON f.page_id = p.page_id"""
+)
+def page_details(spark, d):
+    """Headings of pages, and links that a marker makes attachments."""
+    files.register(spark)
+    sql = "SELECT page_id, e.text AS heading, size(x.attachments) AS n_attachments FROM {pages}, LATERAL html_elements(html, 'h1') e, LATERAL html_detail(html, 'th,ei', 'https://x.example') x"
+    return spark.sql(sql, pages=table(spark, d, "pages"))
+
+
 _BARE = "regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')"
 
 
@@ -495,8 +534,9 @@ def grouped_sections(spark, d):
 
 @query()
 def news_digest(spark, d):
-    """The digest's text, assembled from the ten best stories."""
-    return news.digest(news.top(_scored(spark, d), 10), NOW)
+    """The digest's text, assembled from the ten best stories of clusters by title and URL."""
+    clusters = cluster.summarised(cluster.clustered(stories(spark, d)))
+    return news.digest(news.top(news.scored(clusters, F.lit(NOW)), 10), NOW)
 
 
 # --- mail ----------------------------------------------------------------------------
@@ -537,6 +577,30 @@ def mail_classify(spark, d):
     return _classified(spark, d).select("ord", F.round("score", 6).alias("score"), "category")
 
 
+@query(
+    f"""{_MAIL} SELECT ord, 'm' || ord AS msg_id, role AS sender, CASE WHEN role = 'system' THEN 'no-reply@mailchimp.com' WHEN conv_id % 5 = 0 THEN 'news@substack.com' ELSE role || '@example.com' END AS sender_email,
+  n::INT AS n_body, turn > 0 AS is_reply, round(score, 6) AS score, category, priority FROM c WHERE conv_id % 3 <> 1 OR turn % 2 = 0"""
+)
+def mail_from_json(spark, d):
+    """Mails from JSON stubs and records of two levels of headers, to classes of those that weren't processed before."""
+    m = mails(spark, d)
+    name = lambda k, v: F.create_map(F.lit(k), v)
+    stub = F.struct(F.concat(F.lit("m"), "ord").alias("id"), "subject", F.col("sender_email").alias("from"), "snippet", F.array(F.lit("UNREAD"), F.lit("INBOX")).alias("labels"))
+    stubs = m.select("ord", F.to_json(stub).alias("json"))
+    mark = F.when(F.col("is_reply"), name("In-Reply-To", F.lit("<x>"))).otherwise(F.create_map().cast("map<string,string>"))
+    sender = F.concat(F.lit('"'), "sender", F.lit('" <'), F.upper("sender_email"), F.lit(">"))
+    # Names and addresses at either level; bodies as plain, or as text where plain is missing.
+    plain = F.when(F.col("ord") % 2 == 0, F.col("body_plain"))
+    full = m.select(
+        F.concat(F.lit("m"), "ord").alias("msg_id"), F.map_concat(name("Subject", F.col("subject")), F.when(F.col("ord") % 3 == 0, name("From", sender)).otherwise(F.create_map().cast("map<string,string>"))).alias("headers"),
+        F.map_concat(name("FROM", sender), name("To", F.col("to")), mark, "headers").alias("payload_headers"), F.struct(plain.alias("plain"), F.when(plain.isNull(), F.col("body_plain")).alias("text")).alias("body"), "snippet",
+        F.array(F.lit("UNREAD"), F.lit("INBOX")).alias("labels"), F.array().cast(f"array<{inbox.PART}>").alias("parts"),
+    )
+    c = table(spark, d, "conversations").where("conv_id % 3 = 1 AND turn % 2 = 1").select(F.concat(F.lit("m"), F.col("conv_id") * 100 + F.col("turn")).alias("msg_id"))
+    new = inbox.unseen(inbox.parsed(stubs, full), c, c.limit(0))
+    return inbox.classified(new, "me@example.com", _MAIL_WORDS).select("ord", "msg_id", "sender", "sender_email", F.length("body_plain").alias("n_body"), "is_reply", F.round("score", 6).alias("score"), "category", "priority")
+
+
 @query(f"{_MAIL} SELECT ord, priority, CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS rank FROM c")
 def mail_priority(spark, d):
     return _classified(spark, d).select("ord", "priority", inbox.priority_rank(F.col("priority")).alias("rank"))

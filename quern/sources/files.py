@@ -15,7 +15,6 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from datetime import datetime
 from functools import partial, reduce
-from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -24,77 +23,11 @@ from pyspark.sql import functions as F
 
 from quern import config as C
 from quern.functions import text as T
+from quern.functions.html import HtmlElements, Node, parse_html
 from quern.operators.order import numbered
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class Node:
-    """An element: tag, attributes, children (elements and texts)."""
-
-    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None):
-        self.tag, self.attrs, self.up, self.children = tag, attrs, up, []
-
-    def all(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                parts.append(n)
-            elif n.tag not in ("script", "style"):
-                stack.extend(reversed(n.children))
-        return " ".join(" ".join(parts).split())
-
-    def classes(self) -> set[str]:
-        return set((self.attrs.get("class") or "").split())
-
-    def find(self, selector: str) -> list[Node]:
-        """Descendants that fit ``tag.class.class[attr]`` or ``[attr='value']``, comma-separated alternatives."""
-        out = []
-        for n in self.all():
-            if n is self:
-                continue
-            for one in selector.split(","):
-                m = re.fullmatch(r"\s*([\w-]*)((?:\.[\w-]+)*)(?:\[([\w-]+)(?:='([^']*)')?\])?\s*", one)
-                if m and (not m[1] or n.tag == m[1]) and set(m[2].split(".")[1:]) <= n.classes() and (not m[3] or (m[3] in n.attrs and m[4] in (None, n.attrs[m[3]]))):
-                    out.append(n)
-                    break
-        return out
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {})
-
-    def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(n)
-        if tag not in VOID:
-            self.at = n
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n.up is not None and n.tag != tag:
-            n = n.up
-        if n.up is not None:
-            self.at = n.up
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse_html(text: str) -> Node:
-    tree = _Tree()
-    tree.feed(text)
-    return tree.root
+STORY = "title string, url string, published array<string>, snippet string, content string, author string, tags array<string>"
+ATTACHMENTS = "array<struct<url:string,filename:string>>"
 
 
 def _scan(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[dict]], schema: str) -> DataFrame:
@@ -126,7 +59,7 @@ def _columns(schema: str) -> list[str]:
     return [*out, schema[start:]]
 
 
-STORY = "title string, url string, published array<string>, snippet string, content string, author string, tags array<string>"
+
 
 
 def _feed(file: str, content: bytes) -> list[dict]:
@@ -171,26 +104,30 @@ def feed(spark: SparkSession, path: str, source: str, section: str | None = None
     return _finished(_scan(spark, path, _feed, STORY), source, section, list(tags))
 
 
+def cards_in(html: str, cards: str, host: str = "", snippet: str = "") -> list[dict]:
+    """The cards of a page that have a link and a title, as raw stories [A8-A10]."""
+    out = []
+    for card in parse_html(html).find(cards):
+        links = card.find("a[href]")
+        if not links:
+            continue
+        href = links[0].attrs["href"]
+        heads = card.find("h1,h2,h3,h4")
+        title = (heads[0].text() if heads else "") or links[0].text()
+        if not title:
+            continue
+        times = card.find("time")
+        when = (times[0].attrs.get("datetime") or times[0].text()) if times else None
+        notes = card.find(snippet) if snippet else []
+        url = host + href if host and not href.startswith("http") else href
+        out.append({"title": title, "url": url, "published": [when] if when else [], "snippet": notes[0].text() if notes else None, "content": None, "author": None, "tags": []})
+    return out
+
+
 def listing(spark: SparkSession, path: str, source: str, host: str, cards: str, section: str | None = None, tags: tuple[str, ...] = (), snippet: str = ".description,.summary,p") -> DataFrame:
     """Cards of saved HTML listings [A8-A10]. An empty host leaves links relative."""
 
-    def parse(file: str, content: bytes) -> list[dict]:
-        out = []
-        for card in parse_html(content.decode(errors="replace")).find(cards):
-            links = [a for a in card.find("a[href]")]
-            if not links:
-                continue
-            href = links[0].attrs["href"]
-            heads = card.find("h1,h2,h3,h4")
-            title = (heads[0].text() if heads else "") or links[0].text()
-            if not title:
-                continue
-            times = card.find("time")
-            when = (times[0].attrs.get("datetime") or times[0].text()) if times else None
-            notes = card.find(snippet) if snippet else []
-            out.append({"title": title, "url": host + href if host and not href.startswith("http") else href, "published": [when] if when else [], "snippet": notes[0].text() if notes else None, "content": None, "author": None, "tags": []})
-        return out
-
+    parse = lambda file, content: cards_in(content.decode(errors="replace"), cards, host, snippet)
     return _finished(_scan(spark, path, parse, STORY), source, section, list(tags))
 
 
@@ -264,24 +201,54 @@ def rfq_cards(spark: SparkSession, path: str, host: str = "", max_pages: int = 0
     return rows.withColumns({c: T.parse_date(F.col(c)) for c in ("issue_date", "due_date", "ad_end_date")})
 
 
-ATTACHMENTS = "array<struct<url:string,filename:string>>"
+
 #: What marks an attachment's address (fixed values).
 MARKERS = ("Step6Download", "GeneratePdf")
 
 
+def detail_in(html: str, markers: tuple[str, ...], host: str = "") -> dict:
+    """A page's text (up to 50,000 characters) and its attachments: distinct addresses with a marker, the first kept [A21, U4]."""
+    page = parse_html(html)
+    found: dict[str, str] = {}
+    for a in page.find("a[href]"):
+        href = a.attrs["href"]
+        if any(m in href for m in markers):
+            url = href if href.startswith("http") else host + href
+            found.setdefault(url, a.attrs.get("download") or href.split("/")[-1].split("?")[0] or "attachment")
+    return {"raw_text": page.text()[:50000], "attachments": [{"url": u, "filename": f} for u, f in found.items()]}
+
+
+@F.udtf(returnType=f"item_ord int, {STORY}", useArrow=True)
+class HtmlCards:
+    """``html_cards(html, cards, host, snippet)``: the cards of a page [A8-A10]; null has none."""
+
+    def eval(self, html: str, cards: str, host: str, snippet: str):
+        for i, card in enumerate(cards_in(html or "", cards, host, snippet)):
+            yield (i, *(card[c] for c in ("title", "url", "published", "snippet", "content", "author", "tags")))
+
+
+@F.udtf(returnType=f"raw_text string, attachments {ATTACHMENTS}", useArrow=True)
+class HtmlDetail:
+    """``html_detail(html, markers, host)``: text and attachments of a page [A21]; markers by commas."""
+
+    def eval(self, html: str, markers: str, host: str):
+        got = detail_in(html or "", tuple(markers.split(",")), host)
+        yield got["raw_text"], got["attachments"]
+
+
+def register(spark: SparkSession) -> None:
+    """The functions over columns of html for SQL, to be used laterally."""
+    spark.udtf.register("html_elements", HtmlElements)
+    spark.udtf.register("html_cards", HtmlCards)
+    spark.udtf.register("html_detail", HtmlDetail)
+
+
 def rfq_details(spark: SparkSession, path: str, markers: tuple[str, ...] = MARKERS, host: str = "") -> DataFrame:
     """cr_number (from ``detail_<key>.html``), raw_text (up to 50,000), attachments (distinct addresses, first kept), goals [A21, S14, U4]."""
 
     def parse(file: str, content: bytes) -> list[dict]:
         html = content.decode(errors="replace")
-        page = parse_html(html)
-        found: dict[str, str] = {}
-        for a in page.find("a[href]"):
-            href = a.attrs["href"]
-            if any(m in href for m in markers):
-                url = href if href.startswith("http") else host + href
-                found.setdefault(url, a.attrs.get("download") or href.split("/")[-1].split("?")[0] or "attachment")
-        return [{"raw_text": page.text()[:50000], "attachments": [{"url": u, "filename": f} for u, f in found.items()], "html": html}]
+        return [detail_in(html, markers, host) | {"html": html}]
 
     rows = _scan(spark, path, parse, f"raw_text string, attachments {ATTACHMENTS}, html string").where("error IS NULL")
     rows = rows.withColumn("cr_number", F.regexp_extract("file", "(?:detail_)?([^/]*)\\.[^./]*$", 1))

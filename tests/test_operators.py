@@ -178,9 +178,9 @@ def test_w8_state(spark):
 
 def test_a15_parse_and_run(spark):
     stubs = spark.createDataFrame([(0, '{"id":"a","subject":"Hi","from":"Ann <Ann@X.y>"}'), (1, '{"subject":"no id"}'), (2, '{"id":"b","subject":"RE: q"}')], "ord int, json string")
-    full = spark.createDataFrame([("a", {"Subject": "Hello", "List-Unsubscribe": "u"}, "<p>Hi <b>you</b></p>", None, None, [("f.pdf",)])], "msg_id string, headers map<string,string>, body string, snippet string, labels array<string>, parts array<struct<filename:string>>")
+    full = spark.createDataFrame([("a", {"Subject": "Hello", "From": "Ann <Ann@X.y>", "List-Unsubscribe": "u"}, "<p>Hi <b>you</b></p>", None, None, [("f.pdf",)])], "msg_id string, headers map<string,string>, body string, snippet string, labels array<string>, parts array<struct<filename:string>>")
     m = {r.msg_id: r for r in inbox.parsed(stubs, full).collect()}
-    assert set(m) == {"a", "b"} and m["a"].subject == "Hello" and m["a"].sender_email == "ann@x.y" and m["a"].body_plain == "Hi you" and m["a"].has_attachments
+    assert set(m) == {"a", "b"} and m["a"].subject == "Hello" and m["a"].sender_email == "ann@x.y" and m["a"].body_plain == "Hi  you" and m["a"].has_attachments
     assert "list-unsubscribe" in m["a"].headers and m["b"].is_reply and not m["a"].is_reply
     empty = spark.createDataFrame([], "msg_id string, category string, subject string, processed_at timestamp")
     out = inbox.checked(inbox.parsed(stubs, full), empty, spark.createDataFrame([("b",)], "msg_id string"), NOW)
@@ -380,11 +380,23 @@ def test_w6_snapshots(spark, tmp_path):
     assert spark.read.json(f"{root}/pointers").count() == 2  # pointers are added, never replaced
 
 
+def test_a16_senders_and_two_levels_of_headers(spark):
+    raw = ["Ann <Ann@X.y>", " ann@x.y ", '"Ann B" <a@b>', "<a@b>", "'Q' <q@r> x", "odd < no end", ""]
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(inbox.address(F.col("r")).alias("a")).select("a.*").collect()
+    assert [tuple(g) for g in got] == [("Ann", "ann@x.y"), (" ann@x.y ", "ann@x.y"), ("Ann B", "a@b"), ("<a@b>", "a@b"), ("Q", "q@r"), ("odd", "odd < no end"), ("", "")]
+    stubs = spark.createDataFrame([(0, '{"id":"a","subject":"stub"}'), (1, '{"id":"b"}')], "ord int, json string")
+    kind = "msg_id string, headers map<string,string>, payload_headers map<string,string>, body struct<plain:string,text:string>, snippet string, labels string, parts array<struct<filename:string>>"
+    full = spark.createDataFrame([("a", {"In-Reply-To": "x"}, {"FROM": "ann@x.y"}, ("", "unread"), "s", "INBOX", None), ("b", {"Subject": "top"}, {"subject": "low", "in-reply-to": "y"}, (None, " <i>a &lt; b</i> &amp; c"), "s", None, None)], kind)
+    m = {r.msg_id: r for r in inbox.parsed(stubs, full).collect()}
+    assert (m["a"].subject, m["a"].sender, m["a"].is_reply, m["a"].body_plain) == ("", "ann@x.y", False, "")
+    assert (m["b"].subject, m["b"].is_reply, m["b"].body_plain) == ("top", True, "  a < b  & c")
+
+
 def test_a15_bodies_labels_and_search(spark):
     stubs = spark.createDataFrame([(0, '{"id":"a"}'), (1, '{"id":"b"}')], "ord int, json string")
     full = spark.createDataFrame([("a", {"Subject": "Invoice"}, ("plain text", "<p>html</p>"), "s", "INBOX", None), ("b", {}, (None, "<p>only <b>html</b></p>"), "s", None, None)], "msg_id string, headers map<string,string>, body struct<plain:string,html:string>, snippet string, labels string, parts array<struct<filename:string>>")
     m = {r.msg_id: r for r in inbox.parsed(stubs, full).collect()}
-    assert (m["a"].body_plain, m["b"].body_plain) == ("plain text", "only html") and m["a"].labels == ["INBOX"]
+    assert (m["a"].body_plain, m["b"].body_plain) == ("plain text", "") and m["a"].labels == ["INBOX"]
     mails = inbox.parsed(stubs, full).withColumn("labels", F.array(F.lit("INBOX"), F.lit("UNREAD")))
     assert [r.msg_id for r in inbox.searched(mails, "invoice").collect()] == ["a"] and inbox.searched(mails, "", most=1).count() == 1
     assert "Subject: Invoice" in inbox.shown(mails, "a").head().text and inbox.shown(mails, "zz").count() == 0
