@@ -18,20 +18,21 @@ from functools import partial, reduce
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern import config as C
 from quern.functions import text as T
 from quern.functions.html import HtmlElements, Node, parse_html
+from quern.operators.graph import durable
 from quern.operators.order import numbered
 
 STORY = "title string, url string, published array<string>, snippet string, content string, author string, tags array<string>"
 ATTACHMENTS = "array<struct<url:string,filename:string>>"
 
 
-def _scan(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[dict]], schema: str) -> DataFrame:
-    """Rows of all files under ``path``, with ``file`` and ``item_ord``; failures have ``error``."""
+def _scan(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[dict]], schema: str, most: int | None = None) -> DataFrame:
+    """Rows of all files under ``path`` (of ``most`` bytes), with ``file`` and ``item_ord``; failures have ``error``."""
     names = [c.strip().split()[0] for c in _columns(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +46,8 @@ def _scan(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[dic
                     rows.append(dict.fromkeys(names) | {"file": file, "item_ord": -1, "error": f"{type(e).__name__}: {e}"[:200]})
             yield pd.DataFrame(rows, columns=["file", "item_ord", "error", *names], dtype=object)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = (files if most is None else files.where(F.col("length") <= most)).select("path", "content")
     return files.mapInPandas(run, f"file string, item_ord long, error string, {schema}")
 
 
@@ -96,12 +98,60 @@ def _finished(raw: DataFrame, source: str, section: str | None, extra_tags: list
     )
 
 
-def feed(spark: SparkSession, path: str, source: str, section: str | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+#: Bytes up to which a feed is parsed as a whole; a larger one is split, and its records are parsed by Spark.
+WHOLE = 64 << 20
+_XML = (
+    "title string, link array<struct<_VALUE:string,_href:string>>, pubDate string, published string, updated string, date string, description string, summary string, encoded string,"
+    " content string, author string, creator string, category array<struct<_VALUE:string,_term:string>>, _corrupt_record string"
+)
+
+
+def _split_feed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The items and entries of large feeds, a record at a time; one that is malformed is an error row, not its whole file."""
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    first = lambda *names: F.coalesce(*[blank(n) for n in names])
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+    atom = [p for p in paths if any("<feed" in r["value"] for r in spark.read.text(p, lineSep=">").limit(20).collect())]  # by the first tags
+
+    def read(tag: str, paths: list[str]) -> DataFrame:
+        """Text cut after each end tag, a cut that Spark finds in any part of a file."""
+        record = F.nullif(F.regexp_extract("value", f"(?s)<{tag}[\\s>].*$", 0), F.lit(""))
+        cut = spark.read.text(paths, lineSep=f"</{tag}>").select(F.concat(record, F.lit(f"</{tag}>")).alias("x"), *place)
+        return cut.where("x IS NOT NULL").select(F.from_xml("x", _XML, options).alias("r"), "file", "_block", "_id").select("r.*", "file", "_block", "_id")
+
+    kinds = [read(tag, own) for tag, own in (("item", [p for p in paths if p not in atom]), ("entry", atom)) if own]
+    rows = reduce(lambda a, b: a.unionByName(b), kinds)
+    links = F.filter(F.transform("link", lambda x: filled(x["_VALUE"])), lambda x: x.isNotNull())
+    hrefs = F.filter(F.transform("link", lambda x: x["_href"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    terms = F.transform("category", lambda x: F.coalesce(x["_term"], filled(x["_VALUE"])))
+    dates = F.array(*[blank(c) for c in ("pubDate", "published", "updated", "date")])
+    error = F.when(F.col("_corrupt_record").isNotNull(), "malformed record")
+    out = rows.where(first("title").isNotNull() | F.col("_corrupt_record").isNotNull()).select(
+        "file", "_block", "_id", error.alias("error"), first("title").alias("title"), F.coalesce(F.get(links, 0), F.get(hrefs, 0), F.lit("")).alias("url"),
+        F.filter(dates, lambda x: x.isNotNull()).alias("published"), first("description", "summary").alias("snippet"), first("encoded", "content").alias("content"),
+        F.nullif(F.trim(F.regexp_replace(first("author", "creator"), "<[^>]*>", "")), F.lit("")).alias("author"),
+        F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("tags"),
+    )
+    placed = numbered(out, F.col("file"), F.col("_block"), F.col("_id"))
+    begun = placed.groupBy("file").agg(F.min("place").alias("_first"))
+    return placed.join(begun, "file").withColumn("item_ord", F.when(F.col("error").isNull(), F.col("place") - F.col("_first")).otherwise(-1)).drop("place", "_first", "_block", "_id")
+
+
+def feed(spark: SparkSession, path: str, source: str, section: str | None = None, tags: tuple[str, ...] = (), whole: int = WHOLE) -> DataFrame:
     """RSS or Atom files as raw stories [A3-A7]; ``tags`` are appended (``official``).
 
-    A file that can't be read is one row with ``error`` and without a title, for the run's report.
+    A file that can't be read is one row with ``error`` and without a title, for the run's
+    report. Files over ``whole`` bytes are read record by record, by many tasks.
     """
-    return _finished(_scan(spark, path, _feed, STORY), source, section, list(tags))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = [r["path"] for r in listed.where(F.col("length") > whole).select("path").collect()]  # names of the few that are that large
+    raw = _scan(spark, path, _feed, STORY, whole if large else None)
+    if large:
+        raw = raw.unionByName(_split_feed(spark, large), allowMissingColumns=True)
+    return _finished(raw, source, section, list(tags))
 
 
 def cards_in(html: str, cards: str, host: str = "", snippet: str = "") -> list[dict]:
@@ -143,10 +193,14 @@ def fan_in(sources: list[DataFrame]) -> DataFrame:
     Order is that of the list, then of file paths, then of items in a file; ``ord`` is
     unique. Files are numbered in sorted ranges, so no task sees all of them.
     """
-    every = reduce(lambda a, b: a.unionByName(b), [s.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)])
+    return _in_order(reduce(lambda a, b: a.unionByName(b), [s.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)]))
+
+
+def _in_order(every: DataFrame) -> DataFrame:
     places = numbered(every.select(F.col("source_ord").alias("_s"), F.col("file").alias("_f")).distinct(), F.col("_s"), F.col("_f"), name="_n")
-    ord_ = F.col("_n") * F.lit(1 << 24) + F.col("item_ord") + 1  # 16 million items in a file
-    return every.join(places, (F.col("source_ord") == F.col("_s")) & (F.col("file") == F.col("_f"))).withColumn("ord", ord_).drop("_s", "_f", "_n", "source_ord")
+    fits = F.col("item_ord") < (1 << 24) - 1
+    ord_ = F.when(fits, F.col("_n") * F.lit(1 << 24) + F.col("item_ord") + 1).otherwise(F.raise_error(F.lit("a file has more than 16 million items")))
+    return every.join(places, (F.col("source_ord") == F.col("_s")) & (F.col("file") == F.col("_f"))).withColumn("ord", ord_.cast("long")).drop("_s", "_f", "_n", "source_ord")
 
 
 def sound(rows: DataFrame) -> DataFrame:
@@ -154,16 +208,38 @@ def sound(rows: DataFrame) -> DataFrame:
     return rows.where("error IS NULL").drop("error")
 
 
-def source_report(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(source, status, raw_count, error) of every source in ``names``: those without a row, too [A12].
+class Counters:
+    """What a scan finds, counted by the one run that reads it [A12, G18].
 
-    A source failed if none of its files could be read. Spark runs all scans as one job,
-    so there's no time per source; the run's is in its own report.
+    Put ``of(rows)`` into the plan; after a job has run it, ``report`` has each source's
+    status, rows and an error, those without a row, too. A source failed if none of its
+    files could be read. Spark runs all scans as one job, so there's no time per source.
     """
-    seen = rows.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("raw_count"), F.min("error").alias("error"))
-    given = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("source"))
-    failed = (F.coalesce("raw_count", F.lit(0)) == 0) & F.col("error").isNotNull()
-    return given.join(seen, "source", "left").select("source", F.when(failed, "error").otherwise("ok").alias("status"), F.coalesce("raw_count", F.lit(0)).alias("raw_count"), "error")
+
+    def __init__(self, names: list[str]):
+        self.names, self._seen = list(dict.fromkeys(names)), Observation()
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        sound_ = F.col("error").isNull() if "error" in rows.columns else F.lit(True)
+        error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+        per = [x for i, n in enumerate(self.names) for x in (F.count_if((F.col("source") == n) & sound_).alias(f"n{i}"), F.min(F.when(F.col("source") == n, error)).alias(f"e{i}"))]
+        return rows.observe(self._seen, F.count_if(sound_).alias("n"), *per)
+
+    @property
+    def total(self) -> int:
+        return self._seen.get["n"]
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        got = self._seen.get
+        rows = [(n, "error" if not got[f"n{i}"] and got[f"e{i}"] is not None else "ok", got[f"n{i}"], got[f"e{i}"]) for i, n in enumerate(self.names)]
+        return spark.createDataFrame(rows, "source string, status string, raw_count long, error string")
+
+
+def source_report(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(source, status, raw_count, error) of every source in ``names`` [A12]; runs the scan."""
+    seen = Counters(names)
+    seen.of(rows.select("source", "error")).write.format("noop").mode("overwrite").save()
+    return seen.report(rows.sparkSession)
 
 
 CARD = "cr_number string, title string, agency string, division string, issue_date string, due_date string, ad_end_date string, location string, category string, ad_type string, note string, detail_url string"
@@ -171,11 +247,17 @@ LABELS = {"cr#": "cr_number", "agency": "agency", "division": "division", "issue
 
 
 def rfq_cards(spark: SparkSession, path: str, host: str = "", max_pages: int = 0) -> DataFrame:
-    """Opportunity cards of saved listing pages [A18-A20]; a folder holds the pages, of which the first ``max_pages`` by path are read (0: all)."""
+    """Opportunity cards of saved listing pages [A18-A20]; a folder holds the pages.
+
+    Pages come by the last number in their name, then by path, and end with the first that
+    has no button to the next, or after ``max_pages`` (0: no limit).
+    """
 
     def parse(file: str, content: bytes) -> list[dict]:
-        out = []
-        for card in parse_html(content.decode(errors="replace")).find("div.opp-list-item[data-ad-id]"):
+        page = parse_html(content.decode(errors="replace"))
+        more = any("disabled" not in b.attrs for b in page.find("button.Next"))
+        out = [{"cr_number": "", "more": more}]
+        for card in page.find("div.opp-list-item[data-ad-id]"):
             row = dict.fromkeys(LABELS.values(), "") | {"cr_number": card.attrs["data-ad-id"], "title": "", "note": "", "detail_url": ""}
             for bar in card.find("div.bg-primary.text-light")[:1]:
                 full = bar.attrs.get("title", "")
@@ -195,9 +277,13 @@ def rfq_cards(spark: SparkSession, path: str, host: str = "", max_pages: int = 0
                 out.append(row)
         return out
 
-    rows = _scan(spark, path, parse, CARD).where("error IS NULL")
-    if max_pages:
-        rows = rows.where(F.col("file").isin([r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path").limit(max_pages).collect()]))  # max_pages rows
+    rows = durable(_scan(spark, path, parse, f"{CARD}, more boolean").where("error IS NULL"))
+    number = F.coalesce(F.regexp_extract("file", "([0-9]+)[^0-9/]*$", 1).try_cast("long"), F.lit(0))
+    pages = numbered(rows.where("more IS NOT NULL").select("file", "more", number.alias("number")), F.col("number"), F.col("file"))
+    last = pages.agg(F.coalesce(F.min(F.when(~F.col("more"), F.col("place"))), F.max("place")).alias("last"))
+    limit = F.least(F.col("last"), F.lit(max_pages - 1)) if max_pages else F.col("last")
+    read = pages.join(F.broadcast(last)).where(F.col("place") <= limit).select("file")
+    rows = rows.where("cr_number <> ''").join(read, "file", "left_semi").drop("more")
     return rows.withColumns({c: T.parse_date(F.col(c)) for c in ("issue_date", "due_date", "ad_end_date")})
 
 
@@ -423,6 +509,9 @@ def source_list(spark: SparkSession) -> DataFrame:
 
 
 def fetched(spark: SparkSession, adapters: list[Adapter]) -> dict[str, DataFrame]:
-    """``rows`` of all adapters in order, with ``ord``, and their ``report`` [A1, A12]."""
-    every = fan_in([a.scan(spark) for a in adapters])
-    return {"rows": sound(every), "report": source_report(every, [a.name for a in adapters])}
+    """``rows`` of all adapters in order, with ``ord``, and their ``report`` [A1, A12]; files are read once."""
+    names = [a.name for a in adapters]
+    seen = Counters(names)
+    scans = [a.scan(spark).withColumn("source_ord", F.lit(i)) for i, a in enumerate(adapters)]
+    every = durable(seen.of(reduce(lambda a, b: a.unionByName(b), scans)))
+    return {"rows": sound(_in_order(every)), "report": seen.report(spark)}

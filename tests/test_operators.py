@@ -1,7 +1,9 @@
 """Clustering against a sequential fold, state, keyed tables, matching, readers."""
 
+import json
 import random
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -392,6 +394,95 @@ def test_a16_senders_and_two_levels_of_headers(spark):
     assert (m["b"].subject, m["b"].is_reply, m["b"].body_plain) == ("top", True, "  a < b  & c")
 
 
+def test_w1_buckets_and_two_writers(spark, tmp_path):
+    root = str(tmp_path / "t")
+    frame = lambda rows: spark.createDataFrame(rows, "cr_number string, status string")
+    assert sinks.upsert(frame([(str(i), "new") for i in range(200)]), root, buckets=16) == 1
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert sinks.upsert(frame([("7", "quoted"), ("new", "new")]), root, buckets=16) == 2
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert before.items() <= after.items() and {p.parent.name for p in after.keys() - before.keys()} <= {p.parent.name for p in before} and len(after) - len(before) <= 2
+    got = dict(map(tuple, sinks.load_table(spark, root).collect()))
+    assert len(got) == 201 and got["7"] == "quoted" and got["8"] == "new"
+    with ThreadPoolExecutor(2) as pool:
+        numbers = list(pool.map(lambda k: sinks.upsert(frame([(k, "both"), (f"{k}x", "added")]), root, buckets=16), ("7", "9")))
+    got = dict(map(tuple, sinks.load_table(spark, root).collect()))
+    assert sorted(numbers) == [3, 4] and len(got) == 203 and got["7"] == got["9"] == "both"
+    wide = spark.createDataFrame([("9", "g")], "cr_number string, grade string")
+    sinks.upsert(wide, root, buckets=16)
+    assert sinks.load_table(spark, root).where("cr_number = '9'").select("cr_number", "status", "grade").head() == ("9", "both", "g")
+    n = sinks.save_snapshot(frame([("1", "a")]), str(tmp_path / "s"))
+    sinks.save_snapshot(frame([("1", "b")]), str(tmp_path / "s"), after=n)
+    with pytest.raises(sinks.Conflict):
+        sinks.save_snapshot(frame([("1", "c")]), str(tmp_path / "s"), after=n)
+    assert sinks.load_snapshot(spark, str(tmp_path / "s")).head().status == "b"
+
+
+def test_w6_files_and_the_last_report(spark, tmp_path):
+    root = tmp_path / "out"
+    root.mkdir()
+    assert "No previous run" in sinks.last_report(spark, str(root)).head().text
+    rows = [(0, "wgrz", "Bills win", "https://a/1", NOW, None, None, "s", "One.", []), (1, "odd", "Other", "https://a/2", None, None, None, None, None, [])]
+    out = news.run(spark.createDataFrame(rows, "ord long, source string, title string, url string, published_at timestamp, author string, section string, snippet string, content string, tags array<string>"), NOW)
+    for _ in range(2):  # a second run replaces the files
+        sinks.write_run(out, str(root))
+    assert {p.name for p in root.iterdir() if not p.name.startswith(".")} == {"top_stories.json", "digest.md", "run_report.json"} and all(p.is_file() for p in root.iterdir())
+    assert len(json.loads((root / "top_stories.json").read_text())) == 2 and (root / "digest.md").read_text().startswith("# News Digest")
+    report = json.loads((root / "run_report.json").read_text())[0]
+    assert (report["raw_count"], report["final_count"], report["source_details"][0]["source"]) == (2, 2, "wgrz")
+    assert "1/1 OK" in sinks.last_report(spark, str(root)).head().text and "2 raw → 2 final" in sinks.last_report(spark, str(root)).head().text
+
+
+def test_g18_sources_are_read_once(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a.xml").write_text("<rss><channel><item><title>One</title></item><item><title>Two</title></item></channel></rss>")
+    (tmp_path / "f/b.xml").write_text("broken")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(s):
+        def touch(batches):
+            for b in batches:
+                reads.add(b.num_rows)
+                yield b
+
+        df = files.feed(s, str(tmp_path / "f"), "wgrz")
+        return df.mapInArrow(touch, df.schema)
+
+    out = files.fetched(spark, [files.Scan("wgrz", counted), files.Scan("wivb", lambda s: files.feed(s, str(tmp_path / "f/b.xml"), "wivb"))])
+    assert {r.source: (r.status, r.raw_count) for r in out["report"].collect()} == {"wgrz": ("ok", 2), "wivb": ("error", 0)}
+    rows = out["rows"].withColumn("adapter", F.lit("x"))
+    got = news.run(rows, NOW, sources=out["report"])["report"].head()
+    assert (got.raw_count, got.normalized_count, got.sources_failed) == (2, 2, 1) and reads.value == 3
+
+
+def test_a20_pages_end_without_next(spark, tmp_path):
+    card = '<div class="opp-list-item" data-ad-id="%s"><div class="bg-primary text-light" title="t">t</div></div>'
+    button = {1: '<button class="Next">n</button>', 2: '<button class="btn Next">n</button>', 10: '<button class="Next" disabled>n</button>', 11: '<button class="Next">n</button>'}
+    for n, b in button.items():
+        (tmp_path / f"page_{n}.html").write_text(card % n + b)
+    keys = lambda **k: sorted(r.cr_number for r in files.rfq_cards(spark, str(tmp_path), **k).collect())
+    assert keys() == ["1", "10", "2"] and keys(max_pages=2) == ["1", "2"] and keys(max_pages=9) == ["1", "10", "2"]
+
+
+def test_a3_large_feeds_are_split(spark, tmp_path):
+    """Spark's XML reader, by record, gives what the parser of whole files gives."""
+    item = "<item><title>Title %d</title>\n<link>https://a/%d</link><dc:date>2026-03-03T12:00:00Z</dc:date><description>&lt;p&gt;x %d&lt;/p&gt;</description><category>c</category><category> d </category></item>"
+    entry = '<entry><title type="html">Entry %d</title><link href="https://b/%d"/><updated>2026-03-03T11:00:00Z</updated><author><name>Ann</name></author><category term="t"/><summary>s</summary></entry>'
+    (tmp_path / "a.xml").write_text('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>' + "\n".join(item % (i, i, i) for i in range(300)) + "<item><title> </title></item></channel></rss>")
+    (tmp_path / "b.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom">' + "".join(entry % (i, i) for i in range(20)) + "</feed>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        name = lambda df: df.withColumn("file", F.regexp_extract("file", "([^/]*)$", 1)).select("file", "title", "url", "published_at", "author", "snippet", "content", "tags", "error", "item_ord")
+        split = name(files.feed(spark, str(tmp_path), "s", whole=100))
+        whole = name(files.feed(spark, str(tmp_path), "s"))
+        key = lambda r: (r.file, r.item_ord)
+        assert sorted(split.collect(), key=key) == sorted(whole.where("file = 'b.xml' OR title <> ''").collect(), key=key) and split.count() == 320
+        assert files._split_feed(spark, [str(tmp_path / "a.xml")]).select("title").distinct().count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_a15_bodies_labels_and_search(spark):
     stubs = spark.createDataFrame([(0, '{"id":"a"}'), (1, '{"id":"b"}')], "ord int, json string")
     full = spark.createDataFrame([("a", {"Subject": "Invoice"}, ("plain text", "<p>html</p>"), "s", "INBOX", None), ("b", {}, (None, "<p>only <b>html</b></p>"), "s", None, None)], "msg_id string, headers map<string,string>, body struct<plain:string,html:string>, snippet string, labels string, parts array<struct<filename:string>>")
