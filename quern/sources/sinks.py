@@ -101,6 +101,11 @@ def _last(spark: SparkSession, root: str) -> tuple[int, str | None]:
     return (got["n"], got["path"]) if got else (0, None)
 
 
+def last_number(spark: SparkSession, root: str) -> int:
+    """The number of the last state or snapshot under ``root``; 0 before the first."""
+    return _last(spark, root)[0]
+
+
 def _claim(spark: SparkSession, root: str, n: int, path: str) -> bool:
     """Pointer n, made by one writer alone."""
     conf = spark._jsc.hadoopConfiguration()
