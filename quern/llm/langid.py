@@ -116,15 +116,19 @@ def trained(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     Ids are chosen on narrow rows: of each language those with small hashes, about four
     times as many as are wanted, meet to be ranked, however many there are; texts are
     fetched by a broadcast of the ids. Texts over LONGEST bytes aren't learned from. A
-    doc_id with several languages is an example of each.
+    doc_id with several languages is an example of each; of several texts of one id and
+    language that with the smallest hash is learned from, so that no more rows reach the
+    driver, however often an id repeats.
     """
     able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= LONGEST))
-    slim = durable(able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct())
+    able = able.withColumn("th", F.xxhash64("text"))
+    slim = durable(able.groupBy("lang", "doc_id").agg(F.min("th").alias("th")).withColumn("h", F.xxhash64("doc_id")))
     counts = small(durable(slim.groupBy("lang").agg(F.count("*").alias("n"))))  # joined where rows are, not by language
     below = (F.shiftrightunsigned("h", 11) / float(2**53)) * F.col("n") < 4 * per_language
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = slim.join(counts, "lang").where(below).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("lang", "doc_id")
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in able.join(small(durable(ids)), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect())
+    ids = slim.join(counts, "lang").where(below).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("lang", "doc_id", "th")
+    found = able.join(small(durable(ids)), ["doc_id", "lang", "th"]).select("doc_id", "lang", "text").distinct()
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in found.collect())
     return fit([t.encode() for _, _, t in rows], [v for _, v, _ in rows]) if rows else None
 
 

@@ -271,3 +271,25 @@ def test_op13_balls_go_whole():
         got[tree.lo[i] : tree.hi[i]] = j
     got[rest] = cluster
     assert (got == centroids.squares(tree.points, close).argmin(axis=1)).all()
+
+
+# --- training rows of earlier operators ------------------------------------------------------
+
+
+def test_op5_op9_an_id_that_repeats(spark):
+    """An id with very many rows is one example; the model is that of the rows without repeats."""
+    from quern.llm import langid, toxicity
+
+    words = {"en": "the of and to a in is it that", "fr": "le la et les des en un du que"}
+    r = random.Random(1)
+    make = lambda lang: " ".join(r.choice(words[lang].split()) for _ in range(30))
+    rows = [(i, make(lang), lang) for i in range(200) for lang in [("en", "fr")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = docs.unionByName(spark.range(100_000).selectExpr("0L AS doc_id", f"'{rows[0][1]}' AS text", "'en' AS lang"))
+    a, b = langid.trained(docs), langid.trained(many)
+    assert a.languages == b.languages and np.array_equal(a.matrix, b.matrix)
+    labels = spark.createDataFrame([(i, int(lang == "fr")) for i, _, lang in rows], "doc_id long, toxic int")
+    a, b = toxicity.scored(docs, labels), toxicity.scored(many.dropDuplicates(), labels)
+    assert sorted(a.collect()) == sorted(b.collect())
+    net, _ = toxicity.trained(many, labels)
+    assert sorted(map(str, toxicity.trained(docs, labels)[0].tables())) == sorted(map(str, net.tables()))
