@@ -371,6 +371,23 @@ def vendor_match(spark, d):
     return heads.select("rep_email", "rep_name", "distributor_name", "n_items", "n_first", F.size("distributors").alias("n_distributors"))
 
 
+@query(
+    """SELECT l_orderkey::VARCHAR AS file, l_linenumber::BIGINT AS row_idx, 'part ' || l_partkey || ' ' || l_returnflag AS description, l_quantity::DOUBLE AS quantity, l_extendedprice::DOUBLE AS unit_price,
+  'part ' || l_partkey || ' ' || l_returnflag AS part_number FROM lineitem"""
+)
+def sheet_items(spark, d):
+    """Orders as sheets of text: a title, a header by aliases, and their lines; items come back typed."""
+    line = table(spark, d, "lineitem")
+    key = F.col("l_orderkey").cast("string").alias("file")
+    money = F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice").cast("double"), 2))
+    cells = F.array(F.concat(F.lit(" part "), F.col("l_partkey").cast("string"), F.lit(" "), "l_returnflag", F.lit(" ")), F.col("l_quantity").cast("string"), money)
+    rows = line.select(key, F.col("l_linenumber").cast("long").alias("row_idx"), cells.alias("cells"))
+    names = line.select(key).distinct()
+    heads = [names.select("file", F.lit(i).cast("long").alias("row_idx"), F.array(*[F.lit(c) for c in c_]).alias("cells")) for i, c_ in ((-1, ("Quote", "", "")), (0, ("Item Description", " QTY ", "Unit Price")))]
+    found = files.line_items(rows.unionByName(heads[0]).unionByName(heads[1]))
+    return found.select("file", "row_idx", "description", "quantity", "unit_price", "part_number")
+
+
 # --- text ----------------------------------------------------------------------------
 
 _VOCABULARY = ("the", "tion", "ment", "eau", "lich", "ing", "que", "ung", "mente", "ado")
@@ -451,6 +468,16 @@ def page_details(spark, d):
     return spark.sql(sql, pages=table(spark, d, "pages"))
 
 
+@query("SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN (page_id % 30)::DOUBLE + 0.5::DOUBLE END AS mbe_goal, CASE WHEN page_id % 2 = 0 THEN (page_id % 7)::DOUBLE END AS wbe_goal FROM pages")
+def page_goals(spark, d):
+    """Percentages of goals, written into pages in two ways, read out of them again."""
+    k = F.col("page_id")
+    mbe = F.when(k % 3 != 0, F.concat(F.lit("<strong>MBE Goal:</strong> "), (k % 30).cast("string"), F.lit(".5%"))).otherwise("")
+    wbe = F.when(k % 2 == 0, F.concat(F.lit("<strong class='g'> wbe goal: </strong><span>up to "), (k % 7).cast("string"), F.lit(" %</span>"))).otherwise("")
+    html = F.concat("html", mbe, wbe)
+    return table(spark, d, "pages").select("page_id", T.goal(html, "mbe").alias("mbe_goal"), T.goal(html, "wbe").alias("wbe_goal"))
+
+
 _BARE = "regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')"
 
 
@@ -539,6 +566,37 @@ def news_digest(spark, d):
     return news.digest(news.top(news.scored(clusters, F.lit(NOW)), 10), NOW)
 
 
+_TAGS = ("snow squall", "crash on the thruway", "mayor", "nothing", "bills", "sabres game")
+_TOPIC = " ".join(f"WHEN {any_sql('x', w)} THEN 'sports'" for _, w, _ in C.TEAMS) + (
+    f" WHEN contains(lower(coalesce(section, '')), 'sport') THEN 'sports' WHEN {any_sql('x', C.WEATHER)} THEN 'weather' WHEN {any_sql('x', C.TRAFFIC)} THEN 'traffic'"
+    f" WHEN {any_sql('x', C.CIVIC)} OR source = 'city_of_buffalo' THEN 'civic' WHEN source = 'ub' THEN 'education'"
+)
+_SUBTOPIC = (
+    " ".join(f"WHEN {any_sql('x', w)} THEN '{sub}'" for sub, w, _ in C.TEAMS)
+    + f" WHEN contains(lower(coalesce(section, '')), 'sport') OR {any_sql('x', C.WEATHER + C.TRAFFIC + C.CIVIC)} THEN NULL WHEN source = 'city_of_buffalo' THEN 'city_hall' WHEN source = 'ub' THEN 'ub'"
+)
+
+
+@query(
+    f"""WITH r AS (
+  SELECT doc_id AS ord, {_SOURCE} AS source, string_split(text, chr(10))[1] AS title, text, CASE WHEN doc_id % 5 = 0 THEN 'Sports' END AS section, [{quoted(*_TAGS)}][(doc_id % 6 + 1)::INT] AS tag,
+    'https://x.example/' || sha256(text) AS url FROM documents WHERE doc_id * 13 % 96 <= 24),
+x AS (SELECT *, lower(title || ' ' || text || ' ' || tag) AS x FROM r)
+SELECT ord, CASE {_TOPIC} ELSE 'news' END AS topic, CASE {_SUBTOPIC} END AS subtopic, url AS canonical_url, source || '-' || substr(sha256(source || ':' || url), 1, 12) AS id,
+  CASE WHEN ord % 2 = 0 AND text <> '' THEN array_to_string(list_slice({_SPLIT.format('text')}, 1, 3), ' ') ELSE text END AS summary_input_text, {_case('source', C.SOURCE_PRIORITY)} AS source_priority,
+  source = 'city_of_buffalo' AS is_official_source
+FROM x"""
+)
+def normalised_stories(spark, d):
+    """Documents as raw stories: those in the window, classified and identified."""
+    k = F.col("ord")
+    raw = stories(spark, d).select(
+        "ord", "source", "title", F.concat("url", F.lit("?utm_source=feed#top")).alias("url"), "published_at", F.when(k % 5 == 0, "Sports").alias("section"), "snippet",
+        F.when(k % 2 == 0, F.col("snippet")).alias("content"), F.array(F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (k % 6 + 1).cast("int"))).alias("tags"),
+    )
+    return news.normalised(raw, NOW).select("ord", "topic", "subtopic", "canonical_url", "id", "summary_input_text", "source_priority", "is_official_source")
+
+
 # --- mail ----------------------------------------------------------------------------
 
 _MAIL_WORDS = {"sales": ("tion ", "eau "), "newsletter": ("lich",), "response": ("the ", "ing ", "ent", "ado"), "urgent": ("whst",)}
@@ -715,7 +773,6 @@ _STORIES = (
     ("Buffalo Bills win again", "", None, "wgrz"), ("Lake effect snow tonight", "", None, "wivb"), ("Crash causes detour", "", None, "wkbw"), ("Mayor speaks", "", None, "wgrz"),
     ("Notice", "", None, "city_of_buffalo"), ("Lecture", "", None, "ub"), ("Plain story", "", "Sports", "wgrz"), ("Plain story", "", None, "wgrz"),
 )
-_TOPIC = " ".join(f"WHEN {any_sql('x', w)} THEN 'sports'" for _, w, _ in C.TEAMS) + f" WHEN contains(lower(coalesce(section, '')), 'sport') THEN 'sports' WHEN {any_sql('x', C.WEATHER)} THEN 'weather' WHEN {any_sql('x', C.TRAFFIC)} THEN 'traffic' WHEN {any_sql('x', C.CIVIC)} OR source = 'city_of_buffalo' THEN 'civic' WHEN source = 'ub' THEN 'education'"
 
 
 @query(f"SELECT title, section, source, CASE {_TOPIC} ELSE 'news' END AS topic FROM (SELECT *, lower(title || ' ' || snippet || ' ') AS x FROM {_values(_STORIES)} t(title, snippet, section, source))")
