@@ -10,14 +10,22 @@ from quern.llm._spark import Stored, durable, nested, small
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy keeps."""
+    """Documents that the policy keeps.
+
+    A null or empty text has no words and goes. Rows are judged one by one: equal rows stay
+    or go together, ties don't arise, a very long text is judged whole, an empty table
+    stays empty, and columns of any other name pass untouched.
+    """
     return rules.apply_policy(rules.judged(docs)).where("kept").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their boilerplate lines; n_chars follows the text.
 
-    Copies keep what makes them copies, which the next stage judges.
+    Copies keep what makes them copies, which the next stage judges. Every row stays, if
+    need be with an empty text; a null text stays null. Equal rows lose the same lines, a
+    line that reaches the number of documents exactly is dropped, a very long text loses
+    lines like any other; an empty table stays empty, other columns pass untouched.
     """
     return linededup.deduplicated(docs, copy=linededup.COPY).select("doc.*")
 
@@ -26,7 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
     Rows that are equal in every column are one, too. Rows of one doc_id with different
-    columns stay apart if their doc_id stays.
+    columns stay apart if their doc_id stays. Texts that are null or without words have no
+    copies and stay; a null doc_id stays. A pair exactly at the similarity is linked; a very
+    long text is compared whole; an empty table stays empty, other columns pass untouched.
     """
     kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = durable(kept.withColumnRenamed("doc_id", "kept_id"))
@@ -35,12 +45,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    A null or empty text has no words to take and changes nothing in the mix. A null source
+    is a source of its own; equal rows move together, ties are broken by hashes of rows. A very long text counts whole; an empty
+    table stays empty, other columns pass untouched.
+    """
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1,024 tokens."""
+    """Sequences of at most 1,024 tokens.
+
+    A null or empty text is its end token alone. Equal rows are packed each by itself, equal
+    lengths in any order. A very long text is cut into pieces; an empty table gives none;
+    columns beyond doc_id and text aren't returned.
+    """
     return packing.packed(docs)
 
 
