@@ -27,3 +27,11 @@ def numbered(df: DataFrame, *order: Column, name: str = "place", flag: str | Non
         local = local.withColumn("_row", F.coalesce(F.sum(own).over(window), F.lit(0)))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def ranked_within(df: DataFrame, by: str, *order: Column, name: str = "rank", size: str | None = None) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in each ``by``, and ``size``, its number of rows, without a task that sees all of one; ``order`` must tell its rows apart."""
+    placed = numbered(df, F.asc(by), *order, name="_place")
+    groups = placed.groupBy(by).agg(F.min("_place").alias("_first"), F.count("*").alias(size or "_size"))
+    out = placed.join(groups, by).withColumn(name, (F.col("_place") - F.col("_first") + 1).cast("int"))
+    return out.drop("_place", "_first", "_size")

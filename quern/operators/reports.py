@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 COLUMNS = "cr_number, title, agency, due_date, relevance_score, is_mwbe_sdvob, status"
 REPORTS = {
     "top": f"SELECT {COLUMNS} FROM {{rfqs}} WHERE relevance_score >= 0.80D AND (due_date IS NULL OR due_date >= :as_of) ORDER BY is_mwbe_sdvob DESC, relevance_score DESC, due_date ASC NULLS FIRST, cr_number LIMIT :n",
@@ -63,13 +65,10 @@ def _line(name: str, rows: DataFrame, as_of: date) -> Column:
 
 
 def lines(spark: SparkSession, name: str, rfqs: DataFrame, as_of: date, n: int = 10) -> DataFrame:
-    """(rank, line): a report's requests in order, as text [W7]; ``top``, ``flagged``, ``due`` or ``open``.
-
-    The rows of a report for people: ranked in one task.
-    """
+    """(rank, line): a report's requests in order, as text [W7]; ``top``, ``flagged``, ``due`` or ``open``."""
     rows = report(spark, name, rfqs, as_of, n).select("cr_number")
     rows = rfqs.join(rows, "cr_number", "left_semi")
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(*_order(name))))
+    rows = numbered(rows, *_order(name)).withColumn("rank", (F.col("place") + 1).cast("int"))
     return rows.select("rank", _line(name, rows, as_of).alias("line"))
 
 

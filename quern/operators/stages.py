@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import config as C
@@ -18,6 +18,7 @@ from quern.sources import files
 
 from . import procure
 from .graph import durable
+from .order import ranked_within
 
 #: The keyed table of requests [S17, W11]: lists are JSON text, as they are stored.
 TABLE = (
@@ -137,8 +138,8 @@ def quote(table: DataFrame, contacts: DataFrame, as_of: date, keys: list[str] |
 def ready(table: DataFrame) -> DataFrame:
     """Quoted requests, then processed ones, each by due date, none first, with ``ord`` [U2, A30]."""
     branch = lambda s, i: table.where(F.col("status") == s).withColumn("branch", F.lit(i))
-    order = Window.partitionBy("branch").orderBy(F.col("due_date").asc_nulls_first(), "cr_number")
-    return branch("quoted", 0).unionByName(branch("processed", 1)).withColumn("ord", F.row_number().over(order))
+    both = branch("quoted", 0).unionByName(branch("processed", 1))
+    return ranked_within(both, "branch", F.col("due_date").asc_nulls_first(), F.asc("cr_number"), name="ord")
 
 
 def analyze(table: DataFrame, deals: DataFrame, keys: list[str] | None = None) -> dict[str, DataFrame]:
@@ -251,9 +252,8 @@ def status_listing(table: DataFrame, as_of: date) -> DataFrame:
         F.coalesce(F.concat(F.lit(" | "), goals), F.lit("")), F.when(n > 0, F.concat(F.lit(" | "), n.cast("string"), F.lit(" items"))).otherwise(""),
     )
     rows = decoded(table).select(place.alias("section"), "status", "due_date", "cr_number", line.alias("line")).where("section > 0")
-    counts = rows.groupBy("section").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.col("due_date").asc_nulls_first(), "cr_number"))
-    return rows.withColumn("rank", rank).join(F.broadcast(counts), "section").select("section", "status", "n", "rank", "cr_number", "line")
+    placed = ranked_within(rows, "section", F.col("due_date").asc_nulls_first(), F.asc("cr_number"), size="n")
+    return placed.select("section", "status", "n", "rank", "cr_number", "line")
 
 
 def detail(table: DataFrame, cr_number: str) -> DataFrame:
