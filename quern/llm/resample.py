@@ -29,7 +29,7 @@ BUCKETS = 1 << 14
 #: Labelled good documents that the target model reads at most, by a hash of doc_id.
 TARGETS = 4000
 #: The log importance of a text without n-grams, which puts it last.
-LAST = -1e15
+LAST = -1e9
 SHARE = 0.85
 SEED = 11
 
