@@ -408,9 +408,16 @@ def first_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_sentences(F.col("text"), 3).alias("sentences"), T.truncate(T.clean_text(F.col("text")), 80).alias("short"))
 
 
-@query()
+_GAP = "[ \\t\\n\\x0B\\f\\r]"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, 'https?://[^ \\t\\n\\x0B\\f\\r]+', '', 'g'), '{_GAP}+', ' ', 'g')) AS t FROM documents),
+s AS (SELECT doc_id, list_filter(string_split(regexp_replace(substr(t, 1, 1500), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM t)
+SELECT doc_id, trim(substr(array_to_string(list_filter(s, lambda x, i: i = 1 OR list_sum(list_transform(s[1:i], lambda y: length(y))) <= 200), ' '), 1, 200)) AS summary FROM s"""
+)
 def mail_summary(spark, d):
-    """A fold over sentences."""
+    """A fold over sentences: the SQL sums their lengths."""
     return table(spark, d, "documents").select("doc_id", T.summary_of_mail(F.col("text"), F.lit("")).alias("summary"))
 
 
@@ -855,9 +862,15 @@ def state_counts(spark, d):
     return inbox.state_counts(e.withColumn("msg_id", F.col("user_id").cast("string")), drafts)
 
 
-@query(f"{_SCORED} SELECT string_split(text, chr(10))[1] AS headline, ['https://x.example/' || sha256(text)] AS source_urls, x.topic, NULL::VARCHAR AS subtopic, score, CASE WHEN s.age < 1 THEN '0m ago' WHEN s.age < 24 THEN s.age::INT || 'h ago' ELSE (s.age / 24)::INT - CASE WHEN (s.age / 24)::INT > s.age / 24 THEN 1 ELSE 0 END || 'd ago' END AS age, g.sources AS cross_sources FROM x JOIN s ON s.ord = x.ord JOIN g ON g.ord = x.ord ORDER BY score DESC, x.ord LIMIT 10")
+@query(
+    f"""{_SCORED} SELECT string_split(text, chr(10))[1] AS headline, string_split(text, chr(10))[1] || CASE WHEN text <> '' THEN ' — ' || array_to_string(list_slice({_SPLIT.format('text')}, 1, 2), ' ') ELSE '' END AS summary,
+  ['https://x.example/' || sha256(text)] AS source_urls, x.topic, NULL::VARCHAR AS subtopic, score,
+  CASE WHEN s.age < 1 THEN '0m ago' WHEN s.age < 24 THEN s.age::INT || 'h ago' ELSE (s.age / 24)::INT - CASE WHEN (s.age / 24)::INT > s.age / 24 THEN 1 ELSE 0 END || 'd ago' END AS age,
+  g.sources AS cross_sources
+FROM x JOIN s ON s.ord = x.ord JOIN g ON g.ord = x.ord ORDER BY score DESC, x.ord LIMIT 10"""
+)
 def compact_payload(spark, d):
-    return news.compact(news.top(_scored(spark, d), 10), NOW).drop("summary")
+    return news.compact(news.top(_scored(spark, d), 10), NOW)
 
 
 @query("SELECT min(event_id) AS id FROM events WHERE event_id::VARCHAR = '77'")
