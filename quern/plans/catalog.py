@@ -431,9 +431,20 @@ def clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned"))
 
 
-@query()
+# The pages' queries have no key twice and nothing to encode.
+_QUERY = "list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda p: regexp_replace(p, '^[^=]*=?', '') <> '' AND NOT list_contains([{0}], lower(regexp_extract(p, '^[^=]*'))))"
+_CANONICAL = f"""b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+h AS (SELECT *, regexp_extract(bare, '^[a-z]+://[^/?]*') AS head, {_QUERY.format(quoted(*T.TRACKING))} AS q FROM b),
+p AS (SELECT *, regexp_replace(regexp_extract(substr(bare, length(head) + 1), '^[^?]*'), '/+$', '') AS path FROM h),
+u AS (
+  SELECT page_id, lower(head) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM p)
+"""
+
+
+@query(f"WITH {_CANONICAL} SELECT page_id, canonical_url, 'page-' || substr(sha256('page:' || canonical_url), 1, 12) AS id FROM u")
 def url_canonical(spark, d):
-    return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical_url"))
+    url = T.canonical_url(F.col("url"))
+    return table(spark, d, "pages").select("page_id", url.alias("canonical_url"), T.story_id(F.lit("page"), url).alias("id"))
 
 
 # The pages' attributes are plain; the only entity in link texts and headings is the ampersand's.
