@@ -245,12 +245,18 @@ def backfill(spark, d):
     return stages.backfilled(t, pages)["changed"].select("cr_number", "procurement_type", "mbe_goal")
 
 
-@query(f"{_TRACKED} SELECT cr_number, '[' || cr_number || '] ' || title AS name, CASE WHEN due_date - {_D} <= 7 THEN '2' ELSE '1' END AS priority, due_date AS date_deadline, 'CR#: ' || cr_number || chr(10) || 'Agency: ' || agency || chr(10) || 'Category: ' || category || chr(10) || 'Ad Type: ' || ad_type || chr(10) || 'Location: ' || chr(10) || 'Division: ' || chr(10) || 'Source: site' || chr(10) || 'Note: ' || v[(k % 22 + 1)::INT] AS description FROM k WHERE status = 'new' AND k % 12 <> 0")
+@query(
+    f"""{_TRACKED} SELECT cr_number, '[' || cr_number || '] ' || title AS name, CASE WHEN due_date - {_D} <= 7 THEN '2' ELSE '1' END AS priority, due_date AS date_deadline,
+  'CR#: ' || cr_number || chr(10) || 'Agency: ' || agency || chr(10) || 'Category: ' || category || chr(10) || 'Ad Type: ' || ad_type || chr(10) || 'Location: ' || chr(10) || 'Division: ' || chr(10)
+    || 'Source: site' || chr(10) || 'Note: ' || v[(k % 22 + 1)::INT] AS description,
+  'source:site,category:' || category || ',agency:' || agency AS tags
+FROM k WHERE status = 'new' AND k % 12 <> 0"""
+)
 def lead_values(spark, d):
     """Leads of new requests, but of those that a deal's name has."""
     t = tracked(spark, d)
     deals = t.where("CAST(cr_number AS BIGINT) % 12 = 0").select(F.col("cr_number").cast("long").alias("id"), F.concat(F.lit("Old ["), "cr_number", F.lit("] deal")).alias("name"))
-    return stages.process(t, AS_OF, deals)["leads"].select("cr_number", "name", "priority", "date_deadline", "description")
+    return stages.process(t, AS_OF, deals)["leads"].select("cr_number", "name", "priority", "date_deadline", "description", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"{_TRACKED} SELECT cr_number, ord::INT AS ord, cr_number || ' - ' || rtrim(substr(title, 1, 60)) || ' - ' || agency || ['', '/Source Documents', '/Proposal', '/Supporting Docs'][ord + 1] AS path FROM k, (SELECT unnest([0, 1, 2, 3]) AS ord) WHERE status = 'new'")
@@ -890,8 +896,15 @@ def deal_by_key(spark, d):
     return files.deal_of(deals, "77").select("id")
 
 
-@query("SELECT l_partkey, max(l_orderkey) AS l_orderkey, procurement_type, try_cast(regexp_replace('$' || l_partkey || '.50', '[^0-9.]', '', 'g') AS DOUBLE) AS value, date_trunc('day', max(l_shipdate))::DATE AS day FROM lineitem, (SELECT 'general' AS procurement_type) GROUP BY l_partkey, procurement_type")
+@query(
+    f"""WITH g AS (SELECT l_partkey, max(l_orderkey) AS l_orderkey, max(l_shipdate) AS s, {_AD_TYPES}[(l_partkey % 10 + 1)::INT] AS ad_type FROM lineitem GROUP BY l_partkey)
+SELECT l_partkey, l_orderkey, {_KIND} AS procurement_type, try_cast(regexp_replace('$' || l_partkey || '.50', '[^0-9.]', '', 'g') AS DOUBLE) AS value, date_trunc('day', s)::DATE AS day FROM g"""
+)
 def typed_columns(spark, d):
     """Types, numbers and dates from text, over a whole table."""
     rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_orderkey").alias("l_orderkey"), F.max("l_shipdate").alias("s"))
-    return rows.select("l_partkey", "l_orderkey", procure.procurement_type(F.lit("General"))["procurement_type"].alias("procurement_type"), T.safe_float(F.concat(F.lit("$"), F.col("l_partkey").cast("string"), F.lit(".50"))).alias("value"), T.parse_date(F.date_format("s", "M/d/yyyy")).alias("day"))
+    ad = F.element_at(F.expr(f"array({_AD_TYPES[1:-1]})"), (F.col("l_partkey") % 10 + 1).cast("int"))
+    value = T.safe_float(F.concat(F.lit("$"), F.col("l_partkey").cast("string"), F.lit(".50")))
+    return rows.select(
+        "l_partkey", "l_orderkey", procure.procurement_type(ad)["procurement_type"].alias("procurement_type"), value.alias("value"), T.parse_date(F.date_format("s", "M/d/yyyy")).alias("day"),
+    )
