@@ -30,8 +30,14 @@ def domain(mail: Column) -> Column:
     return F.when(F.contains(mail, F.lit("@")), F.lower(F.element_at(F.split(mail, "@"), -1))).otherwise("")
 
 
+def _last_wins(entries: Column) -> Column:
+    """A map of (key, value) entries; of equal keys the last counts, whatever the session's policy for them."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
+
+
 def _lowered(headers: Column) -> Column:
-    return F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    return _last_wins(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
 def parsed(stubs: DataFrame, full: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def parsed(stubs: DataFrame, full: DataFrame) -> DataFrame:
         "ord", "msg_id", F.coalesce("threadId", F.lit("")).alias("thread_id"), subject.alias("subject"), who["sender"].alias("sender"), who["sender_email"].alias("sender_email"),
         of("to", F.lit("")).alias("to"), T.parse_timestamp(of("date", F.col("date"))).alias("date"), F.coalesce(F.when(F.col("whole"), F.col("full_snippet")).otherwise(F.col("snippet")), F.lit("")).alias("snippet"),
         F.substring(body, 1, 5000).alias("body_plain"), F.coalesce(F.when(F.col("whole"), F.col("full_labels")).otherwise(F.col("labels")), F.array().cast("array<string>")).alias("labels"),
-        F.coalesce(F.map_concat("lower", "upper") if "payload_headers" in full.columns else F.col("upper"), none).alias("headers"),
+        F.coalesce(_last_wins(F.concat(F.map_entries("lower"), F.map_entries("upper"))) if "payload_headers" in full.columns else F.col("upper"), none).alias("headers"),
         F.coalesce(F.exists("parts", lambda p: p["filename"] != ""), F.lit(False)).alias("has_attachments"),
         (answers | F.lower(subject).rlike("^(re:|fwd:)")).alias("is_reply"),
     )
@@ -233,7 +239,7 @@ def shown(messages: DataFrame, msg_id: str) -> DataFrame:
 def draft_shown(drafts: DataFrame, draft_id: str) -> DataFrame:
     """One draft's ``text`` [A17, Q12]. drafts: draft_id, headers (map), data (base64url), snippet."""
     h = lambda k, empty: F.coalesce(F.col("headers")[k], F.lit(empty))
-    heads = F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    heads = _lowered(F.col("headers"))
     body = F.coalesce(F.nullif(T.decoded_base64url(F.col("data")), F.lit("")), F.nullif(F.col("snippet"), F.lit("")), F.lit("(empty body)"))
     rows = drafts.where(F.col("draft_id") == draft_id).withColumns({"headers": heads, "body": F.substring(T.rendered_html(body), 1, 3000)})
     text = F.concat_ws("\n", F.concat(F.lit("From: "), h("from", "(unknown)")), F.concat(F.lit("To: "), h("to", "(unknown)")), F.concat(F.lit("Subject: "), h("subject", "(no subject)")), F.concat(F.lit("Date: "), h("date", "(not set)")), F.lit(""), "body")

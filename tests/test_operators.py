@@ -394,6 +394,22 @@ def test_a16_senders_and_two_levels_of_headers(spark):
     assert (m["b"].subject, m["b"].is_reply, m["b"].body_plain) == ("top", True, "  a < b  & c")
 
 
+def test_a13_equal_header_names_under_any_policy(spark):
+    stubs = spark.createDataFrame([(0, '{"id":"a"}'), (1, '{"id":"b"}')], "ord int, json string")
+    rest = "'' AS body, '' AS snippet, '' AS labels, CAST(NULL AS ARRAY<STRUCT<filename: STRING>>) AS parts"
+    full = spark.sql(f"SELECT 'a' AS msg_id, map('FROM', 'x@y', 'From', 'ann@x.y', 'Subject', 'up') AS headers, map('subject', 'low', 'To', 'me') AS payload_headers, {rest} UNION ALL SELECT 'b', NULL, NULL, {rest}")
+    drafts = spark.sql("SELECT 'd' AS draft_id, map('To', 'a', 'TO', 'b') AS headers, CAST(NULL AS STRING) AS data, 's' AS snippet")
+    policy = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        m = {r.msg_id: r for r in inbox.parsed(stubs, full).collect()}
+        text = inbox.draft_shown(drafts, "d").first().text
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+    assert (m["a"].sender_email, m["a"].subject, m["a"].headers) == ("ann@x.y", "up", {"from": "ann@x.y", "subject": "up", "to": "me"})
+    assert (m["b"].sender_email, m["b"].headers) == ("", {}) and "To: b" in text
+
+
 def test_w1_buckets_and_two_writers(spark, tmp_path):
     root = str(tmp_path / "t")
     frame = lambda rows: spark.createDataFrame(rows, "cr_number string, status string")
