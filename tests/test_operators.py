@@ -6,6 +6,7 @@ import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,27 @@ def test_j1_bands_lose_nothing():
             assert fuzzy.alike(a, b, least).tolist() == [fuzzy.ratio(x, y) >= least for x, y in zip(a, b)]
 
 
+def test_c1_blocks_move_once_and_lose_nothing(spark, monkeypatch):
+    """One block is compared with itself without a second copy; blocks and lots of any size give the pairs of a plain comparison."""
+    r = random.Random(4)
+    words = "snow bills mayor park storm council road win thruway".split()
+    titles = sorted({" ".join(sorted(r.choice(words) for _ in range(r.randint(2, 7)))) for _ in range(90)})
+    want = {frozenset((i, j)) for i, x in enumerate(titles) for j, y in enumerate(titles[:i]) if fuzzy.ratio(x, y) >= 75}
+    assert want
+    kind = pa.list_(pa.struct([("t", pa.int64()), ("words", pa.string())]))
+    block = pa.array([[{"t": i, "words": x} for i, x in enumerate(titles)]], kind)
+    for most in (7, cluster.PAIRS):
+        monkeypatch.setattr(cluster, "PAIRS", most)
+        out = [p for b in cluster._compared(75.0)(iter([pa.RecordBatch.from_arrays([block, pa.nulls(1, kind)], names=["left", "right"])])) for p in zip(*[c.to_pylist() for c in b.columns])]
+        assert len(out) == len(want) and set(map(frozenset, out)) == want
+    rows = graph.durable(cluster.titled(spark.createDataFrame([story(i, x, "u") for i, x in enumerate(titles)], STORY)))
+    name = {row.t: row.ord for row in rows.collect()}
+    for size in (400, cluster.BLOCK):
+        monkeypatch.setattr(cluster, "BLOCK", size)
+        found = cluster.similar_titles(rows).collect()
+        assert {frozenset((name[p.a], name[p.b])) for p in found} == want and len(found) == 2 * len(want)
+
+
 def test_c1_empty_and_time_bounds(spark):
     assert seeds(spark, [story(0, "Only", "u")]) == {0: 0}
     apart = [story(0, "Mayor announces new park", "a"), story(1, "Mayor announces new park now", "b", NOW + timedelta(hours=24)), story(2, "Mayor announces new park now!", "c", NOW - timedelta(hours=48))]
