@@ -267,6 +267,18 @@ def test_f14_a_key_twice_is_stored_once(spark):
     assert {(x.cr_number, x.title) for x in got} == {("a", "first"), ("c", "only")} and len(got) == 2
 
 
+def test_f14_texts_of_single_keys_are_not_moved(spark):
+    cols = "cr_number string, title string, category string, agency string, raw_text string, note string, ad_type string, due_date date"
+    row = lambda k, text: (k, "t", "", "", text, "", "General", None)
+    stored = spark.createDataFrame([("z",)], "cr_number string")
+    one = procure.disposed(spark.createDataFrame([row("a", "software cloud SaaS azure"), row("b", None), row("z", "")], cols), stored, date(2026, 3, 3)).select("cr_number", "disposition")
+    assert "Window" not in one._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, one.collect())) == {"a": "kept", "b": "not_relevant"}
+    twice = spark.createDataFrame([row("a", "y"), row("a", "x"), row(None, "q"), row(None, "p"), row("b", "w")], cols)
+    got = procure.disposed(twice, stored, date(2026, 3, 3)).collect()
+    assert sorted((str(r.cr_number), r.raw_text) for r in got) == [("None", "p"), ("a", "x"), ("b", "w")]
+
+
 def test_g15_reps_of_a_table(spark):
     """Counts and names by texts equal those of all pairs."""
     r = random.Random(16)
