@@ -344,19 +344,21 @@ def reps(items: DataFrame, contacts: DataFrame, least: int = C.MATCH_RATIO) -> t
 
     heads: rep_email, rep_name, distributor_name, n_items, n_first, distributors; n_first
     counts the items whose best contact is the rep's. lines: (rep_email, item). Matches are
-    of texts: contacts meet the items' texts, per rep, and items are only counted; no row
-    is made for an item and a contact.
+    of texts: a rep's first contact of each text meets the items' texts, and items are only
+    counted; no row is made for an item, or an item's text, and a contact.
     """
     texts = items.groupBy("text").agg(F.count("*").alias("n"), F.min("item").alias("item"))
-    seen = close_texts(items, contacts, least).join(_contacts(contacts), "ctext")
+    close, c = durable(close_texts(items, contacts, least)), _contacts(contacts)
+    first = c.groupBy("ctext", "rep_email").agg(F.min("ord").alias("ord"), F.min_by(F.struct("rep_name", "distributor_name"), "ord").alias("f"))
     place = F.struct((-F.col("ratio")).alias("worse"), "ord")
-    per = durable(seen.groupBy("text", "rep_email").agg(F.min(place).alias("place"), F.min_by(F.struct("rep_name", "distributor_name"), place).alias("f"), F.collect_set("distributor_name").alias("own")))
+    per = durable(close.join(first, "ctext").groupBy("text", "rep_email").agg(F.min(place).alias("place"), F.min_by("f", place).alias("f")))
     best = per.groupBy("text").agg(F.min("place").alias("best"))
     j = per.join(best, "text").join(texts, "text")
     heads = j.groupBy("rep_email").agg(
         F.min_by("f", F.struct("item", "place")).alias("f"), F.sum("n").alias("n_items"), F.sum(F.when(F.col("place") == F.col("best"), F.col("n")).otherwise(0)).alias("n_first")
     )
-    names = per.select("rep_email", F.explode("own").alias("x")).distinct().groupBy("rep_email").agg(F.array_sort(F.collect_list("x")).alias("distributors"))
+    named = c.where("distributor_name IS NOT NULL").select("ctext", "rep_email", F.col("distributor_name").alias("x")).distinct()
+    names = named.join(close.select("ctext").distinct(), "ctext", "left_semi").select("rep_email", "x").distinct().groupBy("rep_email").agg(F.array_sort(F.collect_list("x")).alias("distributors"))
     heads = heads.join(names, "rep_email", "left").select("rep_email", "f.*", "n_items", "n_first", F.coalesce("distributors", F.array().cast("array<string>")).alias("distributors"))
     return heads, per.select("text", "rep_email").join(items, "text").select("rep_email", "item")
 

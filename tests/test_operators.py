@@ -279,6 +279,17 @@ def test_f14_texts_of_single_keys_are_not_moved(spark):
     assert sorted((str(r.cr_number), r.raw_text) for r in got) == [("None", "p"), ("a", "x"), ("b", "w")]
 
 
+def test_g15_contacts_are_grouped_before_they_meet_texts(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(procure, "durable", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or graph.durable(df))
+    contacts = spark.range(3000).selectExpr("id AS ord", "'dell switch' AS text", "concat('r', id % 2) AS rep_email", "concat('R', id) AS rep_name", "concat('D', id % 50) AS distributor_name")
+    items = spark.range(400).selectExpr("id AS item", "concat('dell switch ', id) AS text")
+    heads, lines = procure.reps(items, contacts)
+    got = {r.rep_email: r for r in heads.collect()}
+    assert any("Aggregate [ctext" in p and "Join" in p for p in plans)
+    assert [(got[e].rep_name, got[e].n_items, got[e].n_first, len(got[e].distributors)) for e in ("r0", "r1")] == [("R0", 400, 400, 25), ("R1", 400, 0, 25)] and lines.count() == 800
+
+
 def test_g15_reps_of_a_table(spark):
     """Counts and names by texts equal those of all pairs."""
     r = random.Random(16)
