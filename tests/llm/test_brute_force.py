@@ -626,3 +626,11 @@ def test_words_agree_with_the_pattern():
     assert np.diff(first).tolist() == [len(WORD.findall(t)) for t in texts]
     values, begin = A.unique_sets(*A.shingles(h, first, 3))
     assert np.diff(begin).tolist() == [len(shingles(t, 3)) for t in texts]
+
+
+def test_op5_learns_from_all_labelled_rows(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', IF(id = 2, 50000, 2)) AS text", "'en' AS lang")
+    rows = toxicity._examples(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).select("doc_id", "part")
+    want = {r.doc_id for r in docs.where(~toxicity.held_out()).select("doc_id").collect()}
+    got = rows.collect()
+    assert {r.doc_id for r in got} == want and len(got) == len(want) + (2 in want)
