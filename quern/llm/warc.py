@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import durable, shared_dir, small
@@ -38,15 +38,16 @@ ID = "urn:quern:page:"
 CELL = 1 << 20
 
 
-def digest(payload: Column) -> Column:
-    """Bare upper-case base32 of SHA-1: each 5 hex digits are 4 base32 digits."""
-    hexed = F.sha1(payload)
+def hashed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, n, digest: nulls are empty, n is the html's bytes, digest its bare upper-case base32 SHA-1.
 
-    def group(g: Column) -> Column:
-        v = F.conv(F.substring(hexed, g * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), "")
+    The SHA-1 is a column of its own, computed once a row; each 10 of its hex digits are 8 of base 32.
+    """
+    body = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), body.alias("html"))
+    rows = rows.withColumn("n", F.octet_length("html")).withColumn("digest", F.sha1("html"))
+    parts = [F.lpad(F.conv(F.substring("digest", k, 10), 16, 32), 8, "0") for k in (1, 11, 21, 31)]
+    return rows.withColumn("digest", F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32))
 
 
 def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -56,13 +57,12 @@ def records(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z"
     responses. Rows that tie for the largest page_id of a payload are all responses; a
     null page_id is smaller than any. Only (digest, page_id) is shuffled to find revisits.
     """
-    body = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), body.alias("html"))
-    found = rows.select("page_id", digest(F.col("html")).alias("digest"), F.octet_length("html").alias("n"))
+    rows = hashed(pages)
+    found = rows.select("page_id", "digest", "n")
     last = found.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("rows"))
     # Copies only: where all payloads differ nothing is joined at all.
     repeated = small(durable(last.where("rows > 1").select("digest", "last")))
-    full = rows.withColumn("digest", digest(F.col("html"))).withColumn("n", F.octet_length("html")).join(repeated, "digest", "left")
+    full = rows.join(repeated, "digest", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")) & (F.col("n") >= least)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(ENDING))
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))

@@ -197,6 +197,17 @@ def test_op3_odd_rows(spark):
     assert (4, "revisit", 5) in by and (9, "response", None) in by and any(i == 5 and k == "response" for i, k, _ in by) and any(i == 10 and k == "response" for i, k, _ in by)
 
 
+def test_op3_hashes_a_payload_once(spark):
+    """In each pass over the pages; a lambda or a repeated expression would hash it again for each group of digits."""
+    texts = ["", "a", "é" * 50, *("x%d" % i * i for i in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", F.lit("u"))
+    for made in (warc.records(df), warc.hashed(df).groupBy("digest").agg(F.max("page_id"))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sha1(cast") == 1 and "lambda" not in plan
+    got = {r.page_id: (r.n, r.digest) for r in warc.hashed(df).collect()}
+    assert got == {i: (len(t.encode()), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()) for i, t in enumerate(texts)}
+
+
 def goals_of(sizes):
     """Each source's target, by filling up again and again."""
     names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
