@@ -134,6 +134,22 @@ def word_hashes(data: np.ndarray, at: np.ndarray, table: np.ndarray = WORDS) ->
     return span_hashes(data, starts, ends, table), first
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct value is first, ascending; each value's number among these)."""
+    coded = pa.array(h).dictionary_encode()
+    code = coded.indices.to_numpy()
+    where = np.empty(len(coded.dictionary), np.int64)
+    where[code[::-1]] = np.arange(len(h) - 1, -1, -1)  # of several the last that is set stays
+    return where, code
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the spans of ``sizes`` bytes from ``starts``, end to end; where each begins)."""
+    begin = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=begin[1:])
+    return data[np.repeat(starts - begin[:-1], sizes) + np.arange(begin[-1])], begin[:-1]
+
+
 def shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first) of the runs of ``width`` words, repeats included, by document.
 

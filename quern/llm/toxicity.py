@@ -7,7 +7,8 @@ two and three words pass over a document, each keeps its largest response (max
 pooling), and a logistic unit reads these. It is trained in numpy, by Adam, on shards
 of all labelled rows, whose parameters are averaged; the table starts from each
 bucket's association with the label. For scoring, the table is multiplied with the filters once, so that a
-document costs additions of table rows and a running maximum.
+document costs additions of table rows and a running maximum. The rows are summed once
+for each distinct word of a batch.
 
 The threshold is calibrated on rows kept from training: scores are shifted so that it
 is THRESHOLD for all, and each language's own threshold is reported beside it.
@@ -36,21 +37,30 @@ SHARD, LONGEST = 2000, 100_000
 EPOCHS, RATE, BATCH, DECAY = 6, 0.01, 32, 1e-4
 
 
-def word_ids(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the table, (words, 2 + 2 * prefixes); first). Words are runs of letters and digits.
+def vocabulary(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the table, (distinct words, 2 + 2 * prefixes); each word's number among these; first).
 
-    A word that isn't longer than a prefix has the last row there, which stays zero.
+    Words are runs of letters and digits. One that isn't longer than a prefix has the last
+    row there, which stays zero.
     """
     starts, ends, first = A.words(data, at, A.LETTERS)
-    out = np.full((len(starts), 2 + 2 * len(PREFIXES)), BUCKETS, np.int32)
+    h = A.span_hashes(data, starts, ends, A.LETTERS)
+    where, code = A.distinct(h)
+    h, size = h[where], (ends - starts)[where]
+    heads, places = A.gathered(data, starts[where], np.minimum(size, max(PREFIXES)))
+    out = np.full((len(where), 2 + 2 * len(PREFIXES)), BUCKETS, np.int32)
     for k, n in enumerate((0, *PREFIXES)):
-        h = A.span_hashes(data, starts, np.minimum(starts + n, ends) if n else ends, A.LETTERS)
-        if n:
-            h = A.mix(h + A.U64(n))
-        some = ends - starts > n
-        out[some, 2 * k] = (h[some] >> A.U64(47)).astype(np.int32)
-        out[some, 2 * k + 1] = (h[some] & A.U64(BUCKETS - 1)).astype(np.int32)
-    return out, first
+        some = np.flatnonzero(size > n)
+        own = A.mix(A.span_hashes(heads, places[some], places[some] + n, A.LETTERS) + A.U64(n)) if n else h
+        out[some, 2 * k] = (own >> A.U64(47)).astype(np.int32)
+        out[some, 2 * k + 1] = (own & A.U64(BUCKETS - 1)).astype(np.int32)
+    return out, code, first
+
+
+def word_ids(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the table, (words, 2 + 2 * prefixes); first)."""
+    rows, code, first = vocabulary(data, at)
+    return rows[code], first
 
 
 class Net:
@@ -80,26 +90,31 @@ class Net:
         self.p["E"][:, 0] = np.clip((k - share * n) / np.sqrt(share * n + 1) / 4, -0.5, 1)
         self.p["E"][BUCKETS] = 0
 
-    def forward(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logits, pooled, positions): positions are of the largest responses, -1 if none is positive."""
-        e = sum(self.p["E"][ids[:, c]] for c in range(ids.shape[1]))
+    def forward(self, ids: np.ndarray, first: np.ndarray, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, pooled, positions): positions are of the largest responses, -1 if none is positive.
+
+        ids: the rows of each word or, with ``words``, of each distinct one, whose number words has.
+        """
+        e = sum(np.take(self.p["E"], ids[:, c], axis=0) for c in range(ids.shape[1]))
+        e = e if words is None else e[words]
         n = len(first) - 1
         pooled, spots = np.zeros((n, len(WIDTHS) * FILTERS), np.float32), np.full((n, len(WIDTHS) * FILTERS), -1)
         for k, w in enumerate(WIDTHS):
-            x = np.concatenate([e[i : len(e) - w + 1 + i] for i in range(w)], axis=1) if len(e) >= w else np.zeros((0, w * DIMS), np.float32)
+            full = np.flatnonzero(np.diff(first) >= w)
+            if not len(full):
+                continue
+            x = np.concatenate([e[i : len(e) - w + 1 + i] for i in range(w)], axis=1)
             r = x @ self.p[f"W{w}"] + self.p[f"b{w}"]
-            for d in range(n):
-                s, t = first[d], first[d + 1] - w + 1
-                if t > s:
-                    top = r[s:t].argmax(axis=0)
-                    value = r[s + top, np.arange(FILTERS)]
-                    cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                    pooled[d, cols] = np.maximum(value, 0)
-                    spots[d, cols] = np.where(value > 0, s + top, -1)
+            top = np.array([s + r[s:t].argmax(axis=0) for s, t in zip(first[full].tolist(), (first[full + 1] - w + 1).tolist())])
+            value = r[top, np.arange(FILTERS)]
+            cols = slice(k * FILTERS, (k + 1) * FILTERS)
+            pooled[full, cols] = np.maximum(value, 0)
+            spots[full, cols] = np.where(value > 0, top, -1)
         return pooled @ self.p["v"] + self.p["c"][0], pooled, spots
 
-    def gradients(self, ids, first, y, weight) -> dict:
-        z, pooled, spots = self.forward(ids, first)
+    def gradients(self, ids, first, y, weight, words=None) -> dict:
+        z, pooled, spots = self.forward(ids, first, words)
+        of = lambda at: ids[at if words is None else words[at]]
         dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)).astype(np.float32)
         g = {"v": pooled.T @ dz, "c": np.array([dz.sum()], np.float32)}
         dp = dz[:, None] * self.p["v"]
@@ -108,38 +123,43 @@ class Net:
             cols = slice(k * FILTERS, (k + 1) * FILTERS)
             d, f = np.nonzero(spots[:, cols] >= 0)
             at, by = spots[:, cols][d, f], dp[:, cols][d, f]
-            x = np.concatenate([self.p["E"][ids[at + i]].sum(axis=1) for i in range(w)], axis=1)
+            x = np.concatenate([self.p["E"][of(at + i)].sum(axis=1) for i in range(w)], axis=1)
             gw = np.zeros_like(self.p[f"W{w}"])
             np.add.at(gw.T, f, x * by[:, None])
             g[f"W{w}"], g[f"b{w}"] = gw, np.bincount(f, by, minlength=FILTERS).astype(np.float32)
             back = self.p[f"W{w}"].T[f] * by[:, None]
             for i in range(w):
                 part = back[:, i * DIMS : (i + 1) * DIMS]
-                rows.append(ids[at + i].reshape(-1))
+                rows.append(of(at + i).reshape(-1))
                 values.append(np.repeat(part, ids.shape[1], axis=0))
         rows = np.concatenate(rows)
         some, inverse = np.unique(rows, return_inverse=True)
         total = np.zeros((len(some), DIMS), np.float32)
-        np.add.at(total, inverse, np.concatenate(values))
+        np.add.at(total.reshape(-1), (inverse[:, None] * DIMS + np.arange(DIMS)).reshape(-1), np.concatenate(values).reshape(-1))
         total[some == BUCKETS] = 0
         g["E"] = (some, total)
         return g
 
-    def train(self, ids, first, y, epochs: int = EPOCHS, seed: int = 5) -> None:
+    def train(self, ids, code, first, y, epochs: int = EPOCHS, seed: int = 5) -> None:
+        """ids, code, first: a vocabulary. A batch sums the table's rows once for each of its distinct words."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         s = {k: np.zeros_like(x) for k, x in self.p.items()}
         pos = max(1, y.sum())
         weight = np.where(y > 0, np.sqrt(max(1, len(y) - y.sum()) / pos), 1.0)
-        step = 0
+        step, seen, number = 0, np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
         for _ in range(epochs):
             order = r.permutation(len(y))
             for at in range(0, len(order), BATCH):
                 some = order[at : at + BATCH]
                 pick = np.concatenate([np.arange(first[d], first[d + 1]) for d in some]).astype(np.int64)
                 own = np.concatenate([[0], np.cumsum(first[some + 1] - first[some])])
+                pick = code[pick]
+                seen[pick] = True
+                used = np.flatnonzero(seen)
+                seen[used], number[used] = False, np.arange(len(used))
                 step += 1
-                for k, g in self.gradients(ids[pick], own, y[some], weight[some]).items():
+                for k, g in self.gradients(ids[used], own, y[some], weight[some], number[pick]).items():
                     rows, g = g if k == "E" else (slice(None), g)
                     g = g + DECAY * self.p[k][rows]
                     m[k][rows] = 0.9 * m[k][rows] + 0.1 * g
@@ -156,18 +176,17 @@ class Net:
 
 def _tops(net: Net, tables: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(documents, widths * filters): the largest response of each filter, -inf without a window."""
-    ids, first = word_ids(data, at)
+    ids, code, first = vocabulary(data, at)
     out = np.full((len(at) - 1, len(WIDTHS) * FILTERS), -np.inf, np.float32)
     for k, w in enumerate(WIDTHS):
         full = np.flatnonzero(np.diff(first) >= w)
         if not len(full):
             continue
-        m = len(ids) - w + 1
+        m = len(code) - w + 1
         r = np.zeros((m, FILTERS), np.float32)
         for i in range(w):
-            t = tables[w, i]
-            for c in range(ids.shape[1]):
-                r += np.take(t, ids[i : m + i, c], axis=0)
+            own = sum(np.take(tables[w, i], ids[:, c], axis=0) for c in range(ids.shape[1]))
+            r += np.take(own, code[i : m + i], axis=0)
         # Windows that cross into the next document lie outside each [first, last].
         bounds = np.column_stack([first[full], first[full + 1] - w + 1]).reshape(-1)
         inner = bounds[:-1] if bounds[-1] >= m else bounds
@@ -211,7 +230,8 @@ def logits(net: Net, tables: dict, data: np.ndarray, at: np.ndarray, limit: int
         else:
             tops[i:j] = _tops(net, tables, data[at[i] : at[j]], at[i : j + 1] - at[i])
     bias = np.concatenate([net.p[f"b{w}"] for w in WIDTHS])
-    return net.p["c"][0] + np.maximum(tops + bias, 0) @ net.p["v"]
+    # A sum for each row, not a matrix product, whose rounding depends on the rows beside.
+    return net.p["c"][0] + (np.maximum(tops + bias, 0) * net.p["v"]).sum(axis=1)
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
@@ -248,9 +268,9 @@ def _associated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many examples, and toxic ones, each bucket is in."""
     n, k = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
     for b in batches:
-        ids, first = word_ids(*A.utf8(b.column("text")))
+        ids, code, first = vocabulary(*A.utf8(b.column("text")))
         for d, y in enumerate(b.column("toxic").to_pylist()):
-            own = A.unique(ids[first[d] : first[d + 1]].reshape(-1))
+            own = A.unique(ids[A.unique(code[first[d] : first[d + 1]])].reshape(-1))
             n[own] += 1
             k[own] += y
     at = np.flatnonzero(n)
@@ -313,7 +333,7 @@ def trained(docs: DataFrame, labels: DataFrame, seed: int = 5) -> tuple[Net, dic
         own = Net(seed)
         own.p = {k: v.copy() for k, v in start.value.p.items()}
         shard = shard.sort_by([("doc_id", "ascending"), ("part", "ascending")])
-        own.train(*word_ids(*A.utf8(shard.column("text"))), shard.column("toxic").to_numpy().astype(np.float64))
+        own.train(*vocabulary(*A.utf8(shard.column("text"))), shard.column("toxic").to_numpy().astype(np.float64))
         flat = _flat(own.p)
         at = np.flatnonzero((flat != _flat(start.value.p)).any(axis=1) | (np.arange(len(flat)) > BUCKETS))
         return pa.table([pa.array(at)] + [pa.array(np.rint(flat[at, i].astype(np.float64) / _STEP).astype(np.int64)) for i in range(DIMS)], names=["at", *[f"v{i}" for i in range(DIMS)]])

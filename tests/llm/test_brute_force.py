@@ -367,6 +367,34 @@ def test_op5_long_text_in_parts():
     assert toxicity.scores(net, tables, raw, at, 200) == pytest.approx(toxicity.scores(net, tables, raw, at), abs=1e-6)
 
 
+def test_op5_distinct_words(monkeypatch):
+    """A word's prefixes are hashed, and its table rows summed, once a batch; scores and training are as word by word."""
+    r = random.Random(8)
+    vocab = ["one", "One", "abcdefghij", "abcdefgh", "abcdéfghij", "é", "x" * 300, "sixsix", "fives"]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.choice((0, 1, 2, 3, 400)))).encode() for _ in range(70)]
+    raw, at = A.joined(texts)
+    ids, code, first = toxicity.vocabulary(raw, at)
+    assert len(ids) == len(vocab) - 1 and len(code) == first[-1] == sum(len(t.split()) for t in texts)
+    for k, w in enumerate(x for t in texts for x in t.split()):
+        h = [int(A.span_hashes(d, np.array([0]), np.array([len(d)]), A.LETTERS)[0]) for n in (len(w), *toxicity.PREFIXES) for d in [np.frombuffer(w[:n], np.uint8)]]
+        h[1:] = [int(A.mix(np.array([x], np.uint64) + np.uint64(n))[0]) for x, n in zip(h[1:], toxicity.PREFIXES)]
+        some = [True, *[len(w) > n for n in toxicity.PREFIXES]]
+        assert ids[code[k]].tolist() == [y for x, own in zip(h, some) for y in ([x >> 47, x & (toxicity.BUCKETS - 1)] if own else [toxicity.BUCKETS] * 2)]
+    y = np.array([float(b"six" in t) for t in texts])
+    net, plain = toxicity.Net(), toxicity.Net()
+    net.train(ids, code, first, y, epochs=2)
+    plain.train(ids[code], np.arange(len(code)), first, y, epochs=2)
+    assert all((net.p[k] == plain.p[k]).all() for k in net.p)
+    hashed, real = [], A.span_hashes
+    monkeypatch.setattr(A, "span_hashes", lambda data, starts, *rest: hashed.append(len(starts)) or real(data, starts, *rest))
+    tables = net.tables()
+    z = toxicity.logits(net, tables, raw, at)
+    assert sum(hashed) <= len(code) + len(toxicity.PREFIXES) * len(ids)
+    assert z == pytest.approx(net.forward(*toxicity.word_ids(raw, at))[0], abs=1e-4)
+    # Not even the last bit depends on the texts beside.
+    assert z.tolist() == [toxicity.logits(net, tables, *A.joined([t]))[0] for t in texts]
+
+
 def test_op5_odd_rows(spark):
     """A doc_id with both labels is no example; repeated rows and a very long text have scores."""
     data = [(i, ("vile " if i % 2 else "kind ") * 30 + f"w{i}", "en") for i in range(300)] + [(400, "kind " * 300_000, "en"), (400, "kind " * 300_000, "en")]
