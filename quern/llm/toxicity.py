@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.graph import durable
 from quern.operators.order import numbered
 
 from . import _arrow as A
+from ._spark import bits, durable
 
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: Bytes of the prefixes.
@@ -257,7 +257,17 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     LONGEST of them.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_m")).where("toxic = _m").drop("_m")
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(known, "doc_id")
+    known = durable(known)
+    key = F.xxhash64(F.col("doc_id").cast("long")).alias("h")
+    among = docs.sparkSession.sparkContext.broadcast(bits(known.select(key), "h"))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(among.value.has(b.column("h").to_numpy()))).select(["doc_id", "text", "lang"])
+
+    # Texts without a label stay where they are read; the join is exact.
+    some = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "text", "lang", key)
+    texts = some.mapInArrow(labelled, some.drop("h").schema).join(known, "doc_id")
     one = texts.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang")).alias("r")).select("doc_id", "toxic", "r.*")
     part = F.explode(F.sequence(F.lit(0), F.call_function("div", F.greatest(F.length("text") - 1, F.lit(0)), F.lit(LONGEST)).cast("int")))
     parts = one.withColumn("part", part).withColumn("text", F.substring(F.col("text"), F.col("part") * LONGEST + 1, F.lit(LONGEST)))

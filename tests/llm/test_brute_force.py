@@ -395,6 +395,30 @@ def test_op5_distinct_words(monkeypatch):
     assert z.tolist() == [toxicity.logits(net, tables, *A.joined([t]))[0] for t in texts]
 
 
+def test_op5_moves_labelled_texts_only(spark):
+    """Texts without a label meet no exchange; those that are learned from are what a plain join finds."""
+    docs = spark.range(4000).selectExpr("CAST(id AS INT) AS doc_id", "concat('t', id) AS text", "'en' AS lang")
+    labels = spark.range(0, 4000, 40).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 80 = 0 AS INT) AS toxic")
+    made = toxicity._examples(docs, labels)
+    assert {(r.doc_id, r.text, r.toxic) for r in made.collect()} == {(i, f"t{i}", int(i % 80 == 0)) for i in range(0, 4000, 40) if zlib.crc32(str(i).encode()) % 3 != 1}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = toxicity._examples(docs, labels)
+        made.collect()
+        plan, written = [made._jdf.queryExecution().executedPlan().executedPlan()], []
+        while plan:
+            node = plan.pop()
+            plan += [node.children().apply(k) for k in range(node.children().size())]
+            if "QueryStage" in node.nodeName():
+                plan.append(node.plan())
+            if node.metrics().contains("shuffleRecordsWritten"):
+                written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        assert written and max(written) < 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_op5_odd_rows(spark):
     """A doc_id with both labels is no example; repeated rows and a very long text have scores."""
     data = [(i, ("vile " if i % 2 else "kind ") * 30 + f"w{i}", "en") for i in range(300)] + [(400, "kind " * 300_000, "en"), (400, "kind " * 300_000, "en")]
